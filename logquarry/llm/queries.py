@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from logquarry.llm import exact_dedup, token_counts
+from logquarry.llm import exact_dedup, packing, secret_scans, token_counts, token_records
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_records": token_records.op8_token_records,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_secret_scans": secret_scans.op10_secret_scans,
 }
 
 SQL = {

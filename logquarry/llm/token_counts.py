@@ -11,6 +11,7 @@ empty result; further columns play no part.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,8 @@ MARK = "▁"
 LIMIT = 4096
 #: Counts of merged pre-tokens a worker keeps.
 MEMO = 400_000
+#: Characters whose pre-tokens are held at once.
+BATCH_CHARS = 1 << 20
 
 
 class PieceCounter:
@@ -62,6 +65,18 @@ class PieceCounter:
     def counts(self, texts: list[str]) -> list[int]:
         if not self.proved:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
+        out: list[int] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS:
+                out += self._by_words(group)
+                group, size = [], 0
+        return out + self._by_words(group)
+
+    def _by_words(self, texts: list[str]) -> list[int]:
         lines = [(" " + t.replace(MARK, " ")).split("\n") if t else [] for t in texts]
         words: list[list[str]] = []
         for parts in lines:
@@ -104,11 +119,17 @@ def _spaced(part: str) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def piece_counter(model_file: str) -> PieceCounter:
+    """One for each Python worker, which keeps its memo from task to task."""
+    return PieceCounter(model_file)
+
+
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs`` (doc_id, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = PieceCounter(model_file)
+        counter = piece_counter(model_file)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": counter.counts(list(pdf["text"]))})
 
