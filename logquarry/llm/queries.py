@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logquarry.llm import exact_dedup, packing, secret_scans, token_counts, token_records
+from logquarry.llm import exact_dedup, packing, secret_scans, token_counts, token_records, topk_search
 
 QUERIES = {
+    "op1_topk_search": topk_search.op1_topk_search,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_records": token_records.op8_token_records,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_topk_search": topk_search.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
