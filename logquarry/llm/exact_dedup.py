@@ -120,9 +120,8 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("suspect_id")), "left_semi")
     classes = texts.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1").select(sha.alias("sha"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
-    sizes = suspects.join(classes.distinct(), "sha", "left_semi").groupBy("sha").agg(
-        F.count("*").alias("group_size"), first.alias("first")
-    )
+    sizes = suspects.groupBy("sha").agg(F.count("*").alias("group_size"), first.alias("first"))
+    sizes = sizes.join(classes, "sha", "left_semi")
     found = salted_left_join(suspects, sizes, "sha", F.col("rid")).select(
         "rid",
         "doc_id",
