@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logquarry.llm import exact_dedup, packing, secret_scans, token_counts, token_records, topk_search
+from logquarry.llm import exact_dedup, packing, secret_scans, substring_dedup, token_counts, token_records, topk_search
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_records": token_records.op8_token_records,
     "op9_token_counts": token_counts.op9_token_counts,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op1_topk_search": topk_search.OP1_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
