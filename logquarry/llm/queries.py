@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from logquarry.llm import exact_dedup, near_dedup, packing, secret_scans, substring_dedup, token_counts, token_records, topk_search
+from logquarry.llm import exact_dedup, merge_dropout, near_dedup, packing, quality, secret_scans, substring_dedup, token_counts, token_records, topk_search
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_merge_dropout": merge_dropout.op4_merge_dropout,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_records": token_records.op8_token_records,
     "op9_token_counts": token_counts.op9_token_counts,

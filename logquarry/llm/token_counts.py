@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,33 @@ MEMO = 400_000
 BATCH_CHARS = 1 << 20
 
 
+def borders_proved(proto) -> bool:
+    """Whether no piece of a model reaches over a space that follows another character, or over a line break."""
+    norm, train = proto.normalizer_spec, proto.trainer_spec
+    return (
+        train.model_type == train.BPE
+        and not norm.precompiled_charsmap
+        and norm.add_dummy_prefix
+        and norm.escape_whitespaces
+        and not norm.remove_extra_whitespaces
+        and not train.treat_whitespace_as_suffix
+        and not any(p.type == p.USER_DEFINED for p in proto.pieces)
+        and not any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in proto.pieces if p.type == p.NORMAL)
+    )
+
+
+def pre_tokens(text: str) -> list[list[str]]:
+    """The pre-tokens of a text's lines; each but a line's first begins with its spaces, and the text with one more."""
+    lines = []
+    for line in (" " + text).split("\n") if text else []:
+        parts = line.split(" ")
+        if "" in parts[1:]:
+            lines.append(_spaced(line))
+        else:
+            lines.append([parts[0]] * bool(parts[0]) + [" " + w for w in parts[1:]])
+    return lines
+
+
 class PieceCounter:
     """Counts the tokens of texts as sentencepiece does."""
 
@@ -39,17 +67,8 @@ class PieceCounter:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(model_file, "rb") as f:
             proto.ParseFromString(f.read())
-        norm, normal = proto.normalizer_spec, [p.piece for p in proto.pieces if p.type == p.NORMAL]
-        self.proved = (
-            proto.trainer_spec.model_type == proto.trainer_spec.BPE
-            and not norm.precompiled_charsmap
-            and norm.add_dummy_prefix
-            and norm.escape_whitespaces
-            and not norm.remove_extra_whitespaces
-            and not proto.trainer_spec.treat_whitespace_as_suffix
-            and not any(p.type == p.USER_DEFINED for p in proto.pieces)
-            and not any(MARK in p.lstrip(MARK) or "\n" in p for p in normal)
-        )
+        normal = [p.piece for p in proto.pieces if p.type == p.NORMAL]
+        self.proved = borders_proved(proto)
         self.memo: dict[str, int] = {}
         if not self.proved:
             return
@@ -77,19 +96,8 @@ class PieceCounter:
         return out + self._by_words(group)
 
     def _by_words(self, texts: list[str]) -> list[int]:
-        lines = [(" " + t.replace(MARK, " ")).split("\n") if t else [] for t in texts]
-        words: list[list[str]] = []
-        for parts in lines:
-            own: list[str] = []
-            for part in parts:
-                pieces = part.split(" ")
-                if "" in pieces[1:]:
-                    own.extend(_spaced(part))
-                else:
-                    if pieces[0]:
-                        own.append(pieces[0])
-                    own.extend([" " + w for w in pieces[1:]])
-            words.append(own)
+        lines = [pre_tokens(t.replace(MARK, " ")) for t in texts]
+        words = [list(chain.from_iterable(own)) for own in lines]
         self._learn(words)
         get = self.memo.__getitem__
         return [sum(map(get, own)) + self.newline * max(0, len(parts) - 1) for own, parts in zip(words, lines)]
