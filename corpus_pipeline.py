@@ -1,4 +1,59 @@
-STAGES = []
+"""The corpus pipeline: quality, exact and near duplicates, secrets, packing. Each stage works on what its predecessor kept.
+
+A stage takes (spark, docs, sf_dir). All but the last return the columns of documents; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from logquarry.llm import exact_dedup, near_dedup, packing, quality, secret_scans
+from logquarry.llm.common import staged, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, white space aside, the one with the least doc_id stays."""
+    return exact_dedup.dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five-word shingles, similarity 0.8 or more) the one with the least doc_id stays."""
+    return near_dedup.dedup(docs, words=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by the name of their kind; every document stays."""
+    return secret_scans.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts as token sequences of at most 1024 ids: one row for each piece and its place."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("secret scans", secrets),
+    ("best-fit packing", packed),
+]
+
+#: Learned scores, similarity components and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs, f"stage{i}")
+    return docs
