@@ -16,7 +16,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Words a worker keeps.
-MEMO = 600_000
+MEMO = 1_000_000
 #: Texts' words looked up at once.
 BATCH_WORDS = 200_000
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
