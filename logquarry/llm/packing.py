@@ -26,7 +26,7 @@ from logquarry.llm.common import staged, table
 
 SIZE = 1024
 #: Pieces of one length that one window task numbers, about.
-RUN_ROWS = 50_000
+RUN_ROWS = 5_000
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
