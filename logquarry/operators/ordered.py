@@ -50,15 +50,33 @@ def carry(
     return out.drop(*events)
 
 
-def running_count(df: DataFrame, name: str, flag: Column, order: str = "number") -> DataFrame:
-    """``df`` with the number of rows so far, this one included, where ``flag`` holds."""
-    one = F.when(flag, 1).otherwise(0)
+def _running(df: DataFrame, name: str, value: Column, total, order: str) -> DataFrame:
     if CHUNK not in df.columns:
         w = Window.partitionBy("file_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(one).over(w))
+        return df.withColumn(name, total(value).over(w))
     keys = ["file_id", CHUNK]
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     runs = Window.partitionBy("file_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    state = df.groupBy(*keys).agg(F.sum(one).alias("n"))
-    state = state.select(*keys, F.coalesce(F.sum("n").over(runs), F.lit(0)).alias("runs_before"))
-    return df.withColumn(name, F.sum(one).over(w)).join(state, keys).withColumn(name, F.col(name) + F.col("runs_before")).drop("runs_before")
+    state = df.groupBy(*keys).agg(total(value).alias("n")).select(*keys, total("n").over(runs).alias("runs_before"))
+    return df.withColumn(name, total(value).over(w)).join(state, keys)
+
+
+def running_count(df: DataFrame, name: str, flag: Column, order: str = "number") -> DataFrame:
+    """``df`` with the number of rows so far, this one included, where ``flag`` holds."""
+    out = _running(df, name, F.when(flag, 1).otherwise(0), F.sum, order)
+    if CHUNK in df.columns:
+        out = out.withColumn(name, F.col(name) + F.coalesce("runs_before", F.lit(0))).drop("runs_before")
+    return out
+
+
+def running_max(df: DataFrame, name: str, value: Column, order: str = "number") -> DataFrame:
+    """``df`` with the largest value so far, this row's included."""
+    out = _running(df, name, value, F.max, order)
+    if CHUNK in df.columns:
+        out = out.withColumn(name, F.greatest(name, "runs_before")).drop("runs_before")
+    return out
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row at most, which goes to every task; without it, no rows."""
+    return df.withColumn("one_row", F.lit(1)).join(F.broadcast(row.withColumn("one_row", F.lit(1))), "one_row").drop("one_row")
