@@ -158,7 +158,7 @@ def base64_decode(text: Column) -> Column:
     bare = F.regexp_replace(plain, r"=+\z", "")
     padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4))))
     ok = plain.rlike(r"\A[A-Za-z0-9+/]*={0,2}\z") & (F.length(bare) % 4 != 1)
-    return F.when(ok, F.decode(F.unbase64(padded), "UTF-8"))
+    return F.when(ok, F.make_valid_utf8(F.unbase64(padded).cast("string")))
 
 
 def url_encode(text: Column) -> Column:

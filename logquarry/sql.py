@@ -1,0 +1,46 @@
+"""Scalar functions of the library as SQL functions, and the line table as a view."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logquarry.functions import text as tx
+from logquarry.functions import times
+from logquarry.functions.fields import numeric
+from logquarry.functions.levels import detect_level
+from logquarry.functions.secrets import has_secret, mask_secrets
+
+
+def functions(default_year: int = 2026) -> dict[str, object]:
+    """SQL name to Column function, all of one text argument."""
+    return {
+        "log_level": detect_level,
+        "log_time": lambda c: times.parse_timestamp(c, default_year),
+        "log_signature": tx.signature,
+        "log_normalize": tx.normalize_line,
+        "log_number": numeric,
+        "log_has_secret": has_secret,
+        "log_mask": mask_secrets,
+        "log_quote_csv": tx.quote_csv,
+        **{f"log_{k.replace('-', '_')}": f for k, f in tx.apply_tools().items()},
+    }
+
+
+def register(spark: SparkSession, default_year: int = 2026) -> None:
+    """Make every function usable in SQL, as temporary SQL functions: Catalyst inlines them, no Python runs."""
+    for name, make in functions(default_year).items():
+        probe = spark.range(1).select(F.lit("").alias("x"))
+        kind = probe.select(make(F.col("x")).alias("y")).schema["y"].dataType.simpleString()
+        body = _sql_of(spark, make)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
+
+
+def _sql_of(spark: SparkSession, make) -> str:
+    """The SQL text of a Column expression over x."""
+    column = make(F.col("x"))
+    return spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc).sql()
+
+
+def register_lines(df: DataFrame, name: str = "lines") -> None:
+    df.createOrReplaceTempView(name)
