@@ -1,8 +1,8 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding, for BPE models with byte fallback.
 
 A pre-token's characters are merged pair by pair, the best-scored adjacent pair first. Each candidate merge is skipped
-for good if a hash keyed by seed, pre-token, variant and the candidate's three borders falls under the rate. An
-occurrence's variant is a hash keyed by seed, document and place, so one word is segmented in several ways over a corpus
+for good if a hash keyed by seed, pre-token, variant and the candidate's three borders falls under the rate. A run
+of ``RUN`` pre-tokens has one variant, a hash keyed by seed, document and place, so one word is segmented in several ways over a corpus
 and in the same way whenever the run is repeated. With rate 0 the ids are the library's.
 
 Characters that are no pieces become byte pieces, and so does a space mark that stands in the text itself; decoding
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +23,15 @@ from pyspark.sql import functions as F
 
 from logquarry.llm.common import table
 from logquarry.llm.token_counts import BATCH_CHARS, MARK, borders_proved, pre_tokens
-from logquarry.llm.word_codes import mix
+from logquarry.llm.word_codes import mix, prefix_sums, range_codes
 
 RATE = 0.1
 SEED = 17
 VARIANTS = 4
+#: Pre-tokens of a line that share a variant.
+RUN = 32
 #: Segmentations a worker keeps.
-MEMO = 400_000
+MEMO = 600_000
 #: Pre-tokens longer than this go through an agenda of their own.
 LONG = 64
 
@@ -62,6 +63,9 @@ class PieceCodec:
         self.unknown = len(pieces)
         order = sorted(ids.values(), key=lambda i: (-pieces[i].score, i))
         rank = {i: r for r, i in enumerate(order)}
+        self.of_point = np.full(0x110000, self.unknown, np.int64)
+        for c, i in self.chars.items():
+            self.of_point[ord(c)] = i
         merges = {}
         for text, i in ids.items():
             for cut in range(1, len(text)):
@@ -74,13 +78,9 @@ class PieceCodec:
         self.slots = np.full(self.size, -1, np.int64)
         self.ranks, self.made = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
         home = (mix(keys.astype(np.uint64)) & _U(self.size - 1)).astype(np.int64)
-        self.probes = 0
         for key, at in zip(keys.tolist(), home.tolist()):
-            probe = 0
-            while self.slots[(at + probe) % self.size] >= 0:
-                probe += 1
-            self.probes = max(self.probes, probe)
-            at = (at + probe) % self.size
+            while self.slots[at] >= 0:
+                at = (at + 1) & (self.size - 1)
             self.slots[at] = key
             self.ranks[at], self.made[at] = merges[key]
         self.memo: list[dict[str, bytes]] = [{} for _ in range(variants)]
@@ -91,39 +91,45 @@ class PieceCodec:
         key = a << 32 | b
         at = (mix(key.astype(np.uint64)) & _U(self.size - 1)).astype(np.int64)
         rank, made = np.full(len(key), _NONE), np.zeros(len(key), np.int64)
-        for _ in range(self.probes + 1):
-            hit = self.slots[at] == key
-            rank[hit], made[hit] = self.ranks[at[hit]], self.made[at[hit]]
-            at = (at + 1) & (self.size - 1)
+        left = np.arange(len(key))
+        while len(left):
+            slot = self.slots[at]
+            hit = slot == key
+            rank[left[hit]], made[left[hit]] = self.ranks[at[hit]], self.made[at[hit]]
+            on = ~hit & (slot >= 0)
+            left, key, at = left[on], key[on], (at[on] + 1) & (self.size - 1)
         return rank, made
 
     def _skipped(self, key: np.ndarray, start: np.ndarray, cut: np.ndarray, end: np.ndarray) -> np.ndarray:
         borders = start.astype(np.uint64) << _U(42) ^ cut.astype(np.uint64) << _U(21) ^ end.astype(np.uint64)
         return mix(mix(borders) ^ key) < _U(self.limit)
 
-    def _keys(self, words: list[str], variants: np.ndarray) -> np.ndarray:
-        codes = np.array([zlib.crc32(w.encode()) | len(w) << 32 for w in words], np.uint64)
-        return mix(mix(codes * _U(self.variants) + variants.astype(np.uint64)) ^ mix(np.array([self.seed], np.uint64)))
-
     def segment(self, words: list[str], variants: np.ndarray) -> list[bytes]:
         """Ids (unsigned, 32 bit) of each pre-token in its variant."""
         out: list[bytes] = [b""] * len(words)
-        keys = self._keys(words, variants)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._ids(w, *self._agenda(w, keys[i : i + 1]))
-        for lo in range(0, len(short), 20_000):
-            part = short[lo : lo + 20_000]
-            self._rounds([words[i] for i in part], keys[part], part, out)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        end = np.cumsum(size)
+        codes = range_codes(prefix_sums(points.astype(np.uint64)), end - size, end)
+        keys = mix((codes ^ mix(np.array([self.seed], np.uint64))) + variants.astype(np.uint64))
+        short = size <= LONG
+        for i in np.flatnonzero(~short):
+            out[i] = self._ids(words[i], *self._agenda(words[i], keys[i : i + 1]))
+        points = points[np.repeat(short, size)]
+        places = np.flatnonzero(short)
+        end = np.cumsum(size[places])
+        for lo in range(0, len(places), 20_000):
+            part = places[lo : lo + 20_000]
+            sizes = size[part]
+            stop = end[min(lo + 20_000, len(places)) - 1]
+            self._rounds(self.of_point[points[stop - sizes.sum() : stop]], sizes, keys[part], words, part.tolist(), out)
         return out
 
-    def _rounds(self, words: list[str], keys: np.ndarray, places: list[int], out: list[bytes]) -> None:
+    def _rounds(
+        self, sym: np.ndarray, size: np.ndarray, keys: np.ndarray, words: list[str], places: list[int], out: list[bytes]
+    ) -> None:
         """Merge the best pair of each pre-token, for all at once, until none has any."""
-        get, unknown = self.chars.get, self.unknown
-        size = np.array([len(w) for w in words])
-        sym = np.array([get(c, unknown) for w in words for c in w], np.int64)
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(size)), size)
         first = np.cumsum(size) - size
         start = np.arange(len(sym)) - np.repeat(first, size)
         end = start + 1
@@ -148,16 +154,16 @@ class PieceCodec:
             keep[at + 1] = False
             at = at - np.arange(len(at))
             word, sym, start, end, rank, made = (x[keep] for x in (word, sym, start, end, rank, made))
-            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            touched = np.concatenate([at, at[at > 0] - 1])
             rank[touched], made[touched] = self._at(touched, sym, word, start, end, keys)
         word, sym, start = (np.concatenate(x) for x in zip(*done))
         order = np.lexsort((start, word))
         word, sym, start = word[order], sym[order], start[order]
         head = np.flatnonzero(np.diff(word, prepend=-1))
-        flat, odd = sym.astype("<u4"), set(word[sym == unknown].tolist())
+        flat, odd = sym.astype("<u4"), set(word[sym == self.unknown].tolist())
         raw, tail = flat.tobytes(), np.append(head[1:], len(word))
         for w, a, b in zip(word[head].tolist(), head.tolist(), tail.tolist()):
-            out[places[w]] = self._ids(words[w], sym[a:b], start[a:b]) if w in odd else raw[4 * a : 4 * b]
+            out[places[w]] = self._ids(words[places[w]], sym[a:b], start[a:b]) if w in odd else raw[4 * a : 4 * b]
 
     def _candidates(self, sym, word, start, end, keys):
         return self._at(np.arange(len(sym)), sym, word, start, end, keys)
@@ -210,18 +216,18 @@ class PieceCodec:
 
     def encode(self, texts: list[str], doc_ids: list[int]) -> list[bytes]:
         """Ids of each text, unsigned, 32 bit, little-endian."""
-        lines = [pre_tokens(t) for t in texts]
-        picks, new = [], [set() for _ in self.memo]
         seed = mix(np.array([self.seed + 1], np.uint64))
-        for doc_id, own in zip(doc_ids, lines):
-            n = sum(map(len, own))
+        runs: list[list[list[tuple[int, list[str]]]]] = []  # of each text, of each line: (variant, pre-tokens)
+        new: list[set[str]] = [set() for _ in self.memo]
+        for doc_id, text in zip(doc_ids, texts):
+            lines = [[line[i : i + RUN] for i in range(0, len(line), RUN)] for line in pre_tokens(text)]
+            n = sum(map(len, lines))
             key = mix(np.array([doc_id % (1 << 64)], np.uint64) ^ seed)
-            pick = (mix(key + np.arange(n, dtype=np.uint64)) % _U(self.variants)).tolist()
-            picks.append(pick)
-            at = iter(pick)
-            for line in own:
-                for w in line:
-                    new[next(at)].add(w)
+            pick = iter((mix(key + np.arange(n, dtype=np.uint64)) % _U(self.variants)).tolist())
+            runs.append([[(next(pick), run) for run in line] for line in lines])
+            for line in runs[-1]:
+                for v, run in line:
+                    new[v].update(run)
         if sum(map(len, self.memo)) + sum(map(len, new)) > MEMO:
             self.memo = [{w: m[w] for w in own if w in m} for own, m in zip(new, self.memo)]
         todo = [(w, v) for v, own in enumerate(new) for w in own.difference(self.memo[v])]
@@ -229,11 +235,10 @@ class PieceCodec:
             words, variants = zip(*todo)
             for (w, v), ids in zip(todo, self.segment(list(words), np.array(variants))):
                 self.memo[v][w] = ids
-        out, memo = [], self.memo
-        for own, pick in zip(lines, picks):
-            at = iter(pick)
-            out.append(self.newline.join([b"".join([memo[next(at)][w] for w in line]) for line in own]))
-        return out
+        get = [m.__getitem__ for m in self.memo]
+        return [
+            self.newline.join([b"".join([b"".join(map(get[v], run)) for v, run in line]) for line in own]) for own in runs
+        ]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()

@@ -5,10 +5,12 @@ is a candidate. In a band, a member's signature is compared with another's batch
 soon as the posterior chance that its similarity reaches the threshold, given the matches so far, falls below the miss
 probability. Survivors are verified on full sets.
 
-A band of m members does not give m^2 pairs: first each member is linked to the least member that looks similar, and
-these links are verified and merged into components; only then are pairs across components compared, all of them, so
-no link between components is lost. Bands beyond ``BAND_ROWS`` members are cut into blocks, and pairs of blocks are
-compared by tasks of bounded size.
+A band of m members does not give m^2 pairs. First each member is linked to the most central member that looks similar,
+and these links are verified and merged into components. Then each member is linked to the likeliest member of another
+component, again verified and merged. Only then are all pairs across components compared, with a finer sketch of SKETCH
+hashes and each pair in the first band that it shares, and what is not pruned is verified, so no link between
+components is lost. Bands beyond ``BAND_ROWS`` members are cut into blocks, and pairs of blocks are compared by tasks of
+bounded size.
 
 Defined cases: a text without words, null or not, has an empty set and is linked with nothing; a null doc_id is never
 linked and has a null component; rows with one doc_id are one document for links; an empty table gives an empty result;
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,10 @@ from logquarry.llm.common import connected_components, keep_ids, salted_left_joi
 from logquarry.llm.word_codes import mix, shingle_sets
 
 HASHES = 128
-BATCH = 16
+#: Hashes of the finer sketch, of which eight bits each are kept.
+SKETCH = 640
+#: Hashes compared at a time.
+BATCHES = (16, 16, 32, 64, 128, 128, 128, 128)
 #: Chance that a pair at the threshold shares no band, at most.
 MISS_BAND = 1e-5
 #: Posterior chance of a link below which a pair is pruned.
@@ -41,20 +45,20 @@ BAND_ROWS = 1024
 VERIFY_ROWS = 256
 
 _U = np.uint64
-_MULTIPLIERS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+_MULTIPLIERS = ((mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) >> _U(32)).astype(np.uint32) | np.uint32(1))[:, None]
 
 
-def signature(codes: np.ndarray) -> bytes:
-    """The least of each of HASHES hashes over a set of 64-bit codes; 32 bits each."""
+def min_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """The least of each of n hashes over a set of 64-bit codes; 32 bits each."""
     folded = (codes ^ (codes >> _U(32))).astype(np.uint32)
-    out = np.empty(HASHES, np.uint32)
-    for i, m in enumerate(_MULTIPLIERS):
-        h = folded * m
+    out = np.full(n, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(folded), 512):
+        h = folded[at : at + 512] * _MULTIPLIERS[:n]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
-        out[i] = h.min()
-    return out.tobytes()
+        np.minimum(out, h.min(axis=1), out=out)
+    return out
 
 
 def band_rows(threshold: float) -> int:
@@ -64,39 +68,47 @@ def band_rows(threshold: float) -> int:
 
 
 @lru_cache(maxsize=8)
-def prune_below(threshold: float) -> np.ndarray:
-    """For each number of batches seen, the matches below which the posterior chance of a link is under MISS_PRUNE.
+def prune_below(threshold: float, bits: int, hashes: int) -> tuple[tuple[int, int], ...]:
+    """(hashes seen, matches below which the posterior chance of a link is under MISS_PRUNE) after each batch.
 
-    The prior is uniform, so after m matches of n the similarity is Beta(m + 1, n - m + 1).
+    The prior is uniform; unequal minima agree in ``bits`` bits by chance, so m of n match at similarity s with the
+    binomial of s + (1 - s) / 2^bits.
     """
-    grid = (np.arange(20_000) + 0.5) / 20_000
-    out = np.zeros(HASHES // BATCH + 1, np.int64)
-    for b in range(1, len(out)):
-        n = b * BATCH
-        for m in range(n + 1):
-            density = np.exp(
-                m * np.log(grid) + (n - m) * np.log1p(-grid) - (lgamma(m + 1) + lgamma(n - m + 1) - lgamma(n + 2)) - log(20_000)
-            )
-            if density[grid >= threshold].sum() >= MISS_PRUNE:
-                out[b] = m
+    grid = (np.arange(4_000) + 0.5) / 4_000
+    hit = grid + (1 - grid) / 2.0**bits
+    out, seen = [], 0
+    for size in BATCHES:
+        seen += size
+        if seen > hashes:
+            break
+        for m in range(seen + 1):
+            density = m * np.log(hit) + (seen - m) * np.log1p(-hit)
+            density = np.exp(density - density.max())
+            if density[grid >= threshold].sum() >= MISS_PRUNE * density.sum():
+                out.append((seen, m))
                 break
-    return out
+    return tuple(out)
 
 
 def survivors(one: np.ndarray, many: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of ``many`` are not pruned against ``one``, and their matches of HASHES."""
-    least = prune_below(threshold)
-    left, matches = np.arange(len(many)), np.zeros(len(many), np.int64)
-    for b in range(HASHES // BATCH):
-        cut = slice(b * BATCH, (b + 1) * BATCH)
-        matches = matches + (many[left, cut] == one[cut]).sum(axis=1)
-        ok = matches >= least[b + 1]
-        left, matches = left[ok], matches[ok]
+    """Which rows of ``many`` are not pruned against ``one``, and how many of all their hashes match."""
+    left, matches, at = np.arange(len(many)), np.zeros(len(many), np.int64), 0
+    for seen, least in prune_below(threshold, 8 * one.itemsize, one.shape[0]):
+        matches = matches + (many[left, at:seen] == one[at:seen]).sum(axis=1)
+        ok = matches >= least
+        left, matches, at = left[ok], matches[ok], seen
         if not len(left):
             break
     return left, matches
 
 
+def _tag(codes: np.ndarray) -> bytes | None:
+    """What tells a set from every other; none for an empty one."""
+    if not len(codes):
+        return None
+    return np.bitwise_xor.reduce(codes).tobytes() + mix(codes).sum(dtype=np.uint64).tobytes() + len(codes).to_bytes(4, "little")
+
+
 def shingled(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, set_id, signature) for every row of ``docs``."""
 
@@ -105,80 +117,146 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
             for lo in range(0, len(pdf), 512):
                 part = pdf.iloc[lo : lo + 512]
                 sets = shingle_sets(list(part["text"]), words)
-                tags = [b"".join([np.bitwise_xor.reduce(s).tobytes(), mix(s).sum(dtype=np.uint64).tobytes(), len(s).to_bytes(4, "little")]) if len(s) else None for s in sets]
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64"),
                         "n_shingles": [len(s) for s in sets],
-                        "set_id": tags,
-                        "signature": [signature(s) if len(s) else None for s in sets],
+                        "set_id": [_tag(s) for s in sets],
+                        "signature": [min_hashes(s, HASHES).tobytes() if len(s) else None for s in sets],
                     }
                 )
 
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
-    return docs.select("doc_id", text).mapInPandas(shingle, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select("doc_id", _bytes()).mapInPandas(shingle, "doc_id long, n_shingles long, set_id binary, signature binary")
+
+
+def _bytes():
+    return F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
+
+
+def _band_codes(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """A code for each band of each signature."""
+    sig = signatures.astype(np.uint64)
+    codes = np.empty((len(sig), HASHES // rows), np.uint64)
+    for b in range(codes.shape[1]):
+        code = np.full(len(sig), b + 1, np.uint64)
+        for c in range(b * rows, (b + 1) * rows):
+            code = mix(code * _U(0x9E3779B97F4A7C15) ^ sig[:, c])
+        codes[:, b] = code
+    return codes
 
 
 def _bands(rows: int):
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = HASHES // rows
         for pdf in batches:
-            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), HASHES).astype(np.uint64)
-            for b in range(n):
-                code = np.full(len(pdf), b + 1, np.uint64)
-                for c in range(b * rows, (b + 1) * rows):
-                    code = mix(code * _U(0x9E3779B97F4A7C15) ^ sig[:, c])
-                yield pd.DataFrame({"rep": pdf["rep"], "band": code.view(np.int64)})
+            codes = _band_codes(np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), HASHES), rows)
+            for b in range(codes.shape[1]):
+                yield pd.DataFrame({"node": pdf["node"], "band": codes[:, b].view(np.int64), "band_no": b})
 
     return bands
 
 
-def _signatures(pdf: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), HASHES)
+def _members(
+    batches: Iterator[pd.DataFrame], key: list[str], columns: list[str], sketch: str, dtype: type
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of rows with one key, of a partition sorted by it: the columns and the sketches. One run is held at a time."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        edge = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy())
+        if held and len(pdf) and (pdf[key].iloc[0] == held[-1][key].iloc[-1]).all():
+            edge = edge[1:]
+        pieces = np.split(np.arange(len(pdf)), edge)
+        for i, piece in enumerate(pieces):
+            if i and held:
+                yield _run(held, columns, sketch, dtype)
+                held = []
+            if len(piece):
+                held.append(pdf.iloc[piece[0] : piece[-1] + 1])
+    if held:
+        yield _run(held, columns, sketch, dtype)
+
+
+def _run(held: list[pd.DataFrame], columns: list[str], sketch: str, dtype: type) -> tuple[np.ndarray, ...]:
+    rows = held[0] if len(held) == 1 else pd.concat(held)
+    return *(rows[c].to_numpy(np.int64) for c in columns), np.frombuffer(b"".join(rows[sketch]), dtype).reshape(len(rows), -1)
+
+
+def _pairs(links: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    if not links:
+        return pd.DataFrame({"a": [], "b": []})
+    return pd.DataFrame({n: np.concatenate(x) for n, x in zip("ab", zip(*links))})
+
+
+def _central(sig: np.ndarray) -> int:
+    """The row that agrees most with the commonest value of each column."""
+    if len(sig) < 4:
+        return 0
+    by = np.sort(sig, axis=0)
+    run = np.zeros(by.shape, np.int64)
+    for i in range(1, len(by)):
+        run[i] = np.where(by[i] == by[i - 1], run[i - 1] + 1, 0)
+    common = np.take_along_axis(by, run.argmax(axis=0)[None], axis=0)[0]
+    return int((sig == common).sum(axis=1).argmax())
 
 
 def _first_links(threshold: float):
-    """Each member to the least member that looks similar; at most one link a member."""
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        ids, sig = pdf["rep"].to_numpy(np.int64), _signatures(pdf)
-        left, a, b = np.arange(len(ids)), [], []
-        while len(left) > 1:
-            head, left = left[0], left[1:]
-            some, matches = survivors(sig[head], sig[left], threshold)
-            close = some[matches >= threshold * HASHES]
-            a.append(np.full(len(close), ids[head]))
-            b.append(ids[left[close]])
-            left = np.delete(left, close)
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []})
+    """Each member to the most central member that looks similar; at most one link a member of a band."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        for ids, sig in _members(batches, ["band", "own_block"], ["node"], "signature", np.uint32):
+            left, scattered = np.arange(len(ids)), False
+            while len(left) > 1:
+                at = 0 if scattered else _central(sig[left])
+                head, left = left[at], np.delete(left, at)
+                some, matches = survivors(sig[head], sig[left], threshold)
+                close = some[matches >= threshold * HASHES]
+                scattered = not len(close)
+                if len(close):
+                    links.append((np.full(len(close), ids[head]), ids[left[close]]))
+                    left = np.delete(left, close)
+            if len(links) > 10_000:
+                yield _pairs(links)
+                links = []
+        yield _pairs(links)
 
     return link
 
 
-def _cross_links(threshold: float):
-    """All surviving pairs of members of different components, in one block of a band or between two."""
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        ids, sig = pdf["rep"].to_numpy(np.int64), _signatures(pdf)
-        comp, block = pdf["component"].to_numpy(np.int64), pdf["own_block"].to_numpy(np.int64)
-        cross, a, b = pdf["x"].iloc[0] != pdf["y"].iloc[0], [], []
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            if cross:
-                other = other[block[other] != block[i]]
-            if len(other):
-                some, _ = survivors(sig[i], sig[other], threshold)
-                a.append(np.full(len(some), ids[i]))
-                b.append(ids[other[some]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []})
+def _cross_links(threshold: float, best: bool):
+    """Surviving pairs of members of different components, in one block of a band or between two.
+
+    A pair belongs to the first band that it shares. best: only each member's likeliest partner.
+    """
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        names = ["node", "component", "own_block", "x", "y", "band_no"]
+        for ids, comp, block, x, y, no, data in _members(batches, ["band", "x", "y"], names, "fine", np.uint8):
+            fine, bands = data[:, :SKETCH], np.ascontiguousarray(data[:, SKETCH:]).view("<u4")
+            for i in range(len(ids) - (not best)):
+                start = 0 if best else i + 1
+                other = np.flatnonzero(comp[start:] != comp[i]) + start
+                if x[0] != y[0]:
+                    other = other[block[other] != block[i]]
+                if no[0]:
+                    other = other[~(bands[other, : no[0]] == bands[i, : no[0]]).any(axis=1)]
+                if not len(other):
+                    continue
+                some, matches = survivors(fine[i], fine[other], threshold)
+                if best and len(some):
+                    some = some[matches.argmax()][None]
+                if len(some):
+                    links.append((np.minimum(ids[i], ids[other[some]]), np.maximum(ids[i], ids[other[some]])))
+            if len(links) > 10_000:
+                yield _pairs(links)
+                links = []
+        yield _pairs(links)
 
     return link
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets (rep, codes)."""
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets (node, codes)."""
     part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / VERIFY_ROWS)))
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(degree, "a").select("a", "b", part.alias("part"))
@@ -209,59 +287,77 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     classes = staged(
         rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature")),
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
+        .withColumn("node", F.xxhash64("set_id")),
         "classes",
     )
-    bands = classes.mapInPandas(_bands(band_rows(threshold)), "rep long, band long")
+    rows_of_band = band_rows(threshold)
+    bands = classes.mapInPandas(_bands(rows_of_band), "node long, band long, band_no int")
     full = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     shared = staged(bands.join(full, "band"), "bands")
-    members = classes.select("rep", "signature").join(shared.select("rep").distinct(), "rep", "left_semi")
+    members = classes.select("node", "signature").join(shared.select("node").distinct(), "node", "left_semi")
     members = staged(members, "members")
-    wanted = members.select(F.col("rep").alias("doc_id"))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Full sets; and finer sketches, each followed by the codes of the bands."""
         for pdf in batches:
             for lo in range(0, len(pdf), 512):
                 part = pdf.iloc[lo : lo + 512]
-                codes = [s.tobytes() for s in shingle_sets(list(part["text"]), words)]
-                yield pd.DataFrame({"rep": part["doc_id"], "codes": codes})
-
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
-    sets = docs.select("doc_id", text).join(wanted, "doc_id", "left_semi").mapInPandas(sets_of, "rep long, codes binary")
-    sets = staged(sets.dropDuplicates(["rep"]), "sets")
+                sets = shingle_sets(list(part["text"]), words)
+                sketch = np.array([min_hashes(s, SKETCH) for s in sets])
+                codes = _band_codes(sketch[:, :HASHES], rows_of_band).astype("<u4")
+                fine = [a.tobytes() + b.tobytes() for a, b in zip(sketch.astype(np.uint8), codes)]
+                tags = [_tag(s) for s in sets]
+                yield pd.DataFrame({"set_id": tags, "codes": [s.tobytes() for s in sets], "fine": fine})
+
+    # A class's text is that of its least doc_id; where that id has several texts, the class tells which.
+    wanted = classes.join(members.select("node"), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.select("doc_id", _bytes()).join(wanted, "doc_id", "left_semi")
+    sets = sets.mapInPandas(sets_of, "set_id binary, codes binary, fine binary").withColumn("node", F.xxhash64("set_id"))
+    sets = staged(sets.dropDuplicates(["node"]).drop("set_id"), "sets")
+    fine, sets = sets.select("node", "fine"), sets.select("node", "codes")
 
     blocks = F.ceil(F.col("m") / BAND_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("rep", "band"), F.greatest(F.lit(1), blocks)).cast("int")
-    near = shared.select("band", "rep", blocks.alias("blocks"), own.alias("own_block"))
-    first = (
-        near.join(members, "rep")
-        .groupBy("band", "own_block")
-        .applyInPandas(_first_links(threshold), "a long, b long")
-        .distinct()
-    )
-    links = staged(_verified(staged(first, "first"), sets, percent), "links")
-    parts = connected_components(links)
-
-    joined = near.join(members, "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    joined = staged(joined.withColumn("component", F.coalesce("component", "rep")), "joined")
-    mixed = joined.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    crossed = (
-        joined.join(mixed.select("band"), "band", "left_semi")
-        .withColumn("other", other)
-        .withColumn("x", F.least("own_block", "other"))
-        .withColumn("y", F.greatest("own_block", "other"))
-        .drop("other", "blocks")
-        .groupBy("band", "x", "y")
-        .applyInPandas(_cross_links(threshold), "a long, b long")
+    own = F.pmod(F.xxhash64("node", "band"), F.greatest(F.lit(1), blocks)).cast("int")
+    near = shared.select("band", "band_no", "node", blocks.alias("blocks"), own.alias("own_block"))
+    pairs = "a long, b long"
+    found = (
+        near.join(members, "node")
+        .repartition("band", "own_block")
+        .sortWithinPartitions("band", "own_block", "node")
+        .mapInPandas(_first_links(threshold), pairs)
         .distinct()
     )
-    more = staged(_verified(staged(crossed, "crossed"), sets, percent), "links")
-    parts = connected_components(links.union(more))
+    links = staged(_verified(staged(found, "first"), sets, percent), "links")
+    for best in (True, False):
+        parts = connected_components(links)
+        placed = staged(near.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        crossed = (
+            placed.join(mixed.select("band"), "band", "left_semi")
+            .join(fine, "node")
+            .withColumn("other", other)
+            .withColumn("x", F.least("own_block", "other"))
+            .withColumn("y", F.greatest("own_block", "other"))
+            .drop("other", "blocks")
+            .repartition("band", "x", "y")
+            .sortWithinPartitions("band", "x", "y", "node")
+            .mapInPandas(_cross_links(threshold, best), pairs)
+            .distinct()
+        )
+        links = links.union(staged(_verified(staged(crossed, "crossed"), sets, percent), "links"))
+    # Texts of one id are one document.
+    ids = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("set_id").alias("node"))
+    ends = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    again = ids.join(ends.where("a < b"), "doc_id").select(F.col("node").alias("b"), "a").where("a <> b").select("a", "b")
+    parts = connected_components(links.union(again))
 
     # What each set of several documents, or of a larger component, is called; copies may be many, so they are salted.
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 OR component IS NOT NULL")
-    named = named.select("set_id", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(parts, "node", "left").where("n > 1 OR component IS NOT NULL")
+    named = named.select("set_id", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(least, "component").select("set_id", F.col("least").alias("component"))
     out = salted_left_join(rows.select("doc_id", "n_shingles", "set_id"), named, "set_id", F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")

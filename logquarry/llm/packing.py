@@ -47,23 +47,22 @@ def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([one, pairs, np.stack([x[ok], y[ok], z[ok]], axis=1)])
 
 
-def fit(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |columns x - histogram|^2, by accelerated projected gradients."""
-    if not len(columns):
-        return np.zeros(0)
+def fit(columns: np.ndarray, histogram: np.ndarray, weights: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise the weighted |columns x - histogram|^2, by accelerated projected gradients."""
     size = len(histogram)
 
     def served(x: np.ndarray) -> np.ndarray:
         return np.bincount(columns.ravel(), np.repeat(x, 3), minlength=size) * (np.arange(size) > 0)
 
-    v = np.ones(len(columns))
+    v, top = np.ones(len(columns)), 1.0
     for _ in range(20):  # the largest eigenvalue, for the step
-        g = served(v)[columns].sum(axis=1)
-        v = g / (top := np.linalg.norm(g))
+        g = (weights * served(v))[columns].sum(axis=1)
+        top = np.linalg.norm(g)
+        v = g / top
     x = y = np.zeros(len(columns))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - (served(y) - histogram)[columns].sum(axis=1) / (1.05 * top))
+        new = np.maximum(0, y - (weights * (served(y) - histogram))[columns].sum(axis=1) / (1.05 * top))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y = new + (old - 1) / t * (new - x)
         x = new
@@ -71,25 +70,37 @@ def fit(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.nda
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), covering the histogram exactly."""
-    left = np.zeros(size + 1, np.int64)
+    """(lengths of a sequence, how many such sequences), covering the histogram exactly.
+
+    Two fits are tried, of which one counts a long length left over as worse than a short one, and a plan of no patterns
+    whose residuals are everything; the plan with the fewest sequences is taken.
+    """
+    counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    made: Counter[tuple[int, ...]] = Counter()
-    columns = patterns(np.flatnonzero(left), size)
-    x = fit(columns, left.astype(float))
+        counts[length] = n
+    columns = patterns(np.flatnonzero(counts), size)
+    plans = [_rounded(columns[:0], np.zeros(0), counts, size)]
+    if len(columns):
+        for weights in (np.ones(size + 1), (np.arange(size + 1) / size) ** 2 + 0.01):
+            plans.append(_rounded(columns, fit(columns, counts.astype(float), weights), counts, size))
+    return sorted(min(plans, key=lambda p: sum(p.values())).items(), reverse=True)
+
+
+def _rounded(columns: np.ndarray, x: np.ndarray, counts: np.ndarray, size: int) -> Counter[tuple[int, ...]]:
+    """Repeat counts rounded down, largest first, and the rest by best fit."""
+    left, made = counts.copy(), Counter()
     for i in np.argsort(-x, kind="stable"):
-        if x[i] < 0.5:
+        if x[i] < 1:
             break
         need = Counter(int(v) for v in columns[i] if v)
-        n = min(int(np.rint(x[i])), *(int(left[v]) // k for v, k in need.items()))
+        n = min(int(x[i]), *(int(left[v]) // k for v, k in need.items()))
         if n > 0:
             made[tuple(sorted(need.elements(), reverse=True))] += n
             for v, k in need.items():
                 left[v] -= n * k
-    for bin_, n in best_fit({int(v): int(left[v]) for v in np.flatnonzero(left)}, size):
-        made[bin_] += n
-    return sorted(made.items(), reverse=True)
+    for content, n in best_fit({int(v): int(left[v]) for v in np.flatnonzero(left)}, size):
+        made[content] += n
+    return made
 
 
 def best_fit(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
