@@ -31,7 +31,7 @@ ROUNDS = 3
 #: A view labels for the other what it is at least so sure of, and so many documents a round at most.
 SURE = 0.97
 GIVEN = 500
-#: Every fifth labelled document is held out, for calibration.
+#: Every fifth labelled document of each kind is held out, for calibration.
 HELD_OUT = 5
 META_BINS = 64
 CUT = 0.5
@@ -129,7 +129,8 @@ def _learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, held_x: np.ndarray,
 def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model | None:
     """``label`` is 0, 1, or -1 for unlabelled rows."""
     known = np.flatnonzero(label >= 0)
-    held, seen = known[::HELD_OUT], np.delete(known, np.s_[::HELD_OUT])
+    held = np.sort(np.concatenate([np.flatnonzero(label == c)[::HELD_OUT] for c in (0, 1)]))
+    seen = np.setdiff1d(known, held)
     if any(len(np.unique(label[part])) < 2 for part in (held, seen)):
         return None
     views = [text, meta]
