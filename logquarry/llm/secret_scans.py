@@ -95,7 +95,7 @@ def trigram_query(regex: str) -> list[list[list[str]]]:
     query = []
     for part in factors:
         if min(map(len, part)) >= 3:
-            held = [{s[i : i + 3] for i in range(len(s) - 2)} for s in sorted(part, key=len)]
+            held = [{s[i : i + 3] for i in range(len(s) - 2)} for s in sorted(part, key=lambda s: (len(s), s))]
             # A string that asks for all that another asks for, and more, adds no document.
             query.append([sorted(h) for i, h in enumerate(held) if not any(x <= h for x in held[:i])])
     return query
