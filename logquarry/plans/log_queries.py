@@ -301,7 +301,7 @@ SELECT change, count(*) AS kinds FROM (
   UNION ALL SELECT 'same' FROM a WHERE u IN (SELECT u FROM b)) GROUP BY change""")
 def error_diff(spark, sf_dir):
     """The kind of an error is a word made of its user."""
-    events = _events(spark, sf_dir).where("level = 'ERROR' AND (value > 190 OR number % 2 = 0)")
+    events = _events(spark, sf_dir).where("level = 'ERROR'")
     half = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.floor(F.count("*") / 2).alias("half"))
     events = events.drop("one").withColumn("one", F.lit(1)).join(F.broadcast(half.withColumn("one", F.lit(1))), "one")
     letter = F.translate(F.col("user_id").cast("string"), "0123456789", "ghijklmnop")
