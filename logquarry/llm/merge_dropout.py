@@ -1,9 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding, for BPE models with byte fallback.
 
 A pre-token's characters are merged pair by pair, the best-scored adjacent pair first. Each candidate merge is skipped
-for good if a hash keyed by seed, pre-token, variant and the candidate's three borders falls under the rate. A run
-of ``RUN`` pre-tokens has one variant, a hash keyed by seed, document and place, so one word is segmented in several ways over a corpus
-and in the same way whenever the run is repeated. With rate 0 the ids are the library's.
+for good if a hash keyed by seed, document, the pre-token's place in it and the candidate's three borders falls under
+the rate, so every occurrence of a word draws its own skips, and the same ones whenever the document is encoded again.
+With rate 0 the ids are the library's.
+
+Only what does not depend on the draw is kept by word: its merges without skips and the ids they give. An occurrence
+that skips none of these merges has these ids, since the best pair is then the same at each step; the others are merged
+by their own draws.
 
 Characters that are no pieces become byte pieces, and so does a space mark that stands in the text itself; decoding
 gives back every text byte by byte. Defined cases: a null text counts as empty and has no ids; rows with one doc_id are
@@ -15,6 +19,7 @@ from __future__ import annotations
 import functools
 import heapq
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -23,15 +28,12 @@ from pyspark.sql import functions as F
 
 from logquarry.llm.common import table
 from logquarry.llm.token_counts import BATCH_CHARS, MARK, borders_proved, pre_tokens
-from logquarry.llm.word_codes import mix, prefix_sums, range_codes
+from logquarry.llm.word_codes import mix
 
 RATE = 0.1
 SEED = 17
-VARIANTS = 4
-#: Pre-tokens of a line that share a variant.
-RUN = 32
-#: Segmentations a worker keeps.
-MEMO = 600_000
+#: Pre-tokens a worker keeps.
+MEMO = 400_000
 #: Pre-tokens longer than this go through an agenda of their own.
 LONG = 64
 
@@ -40,7 +42,7 @@ _NONE = np.int64(1) << 62
 
 
 class PieceCodec:
-    def __init__(self, model_file: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model_file: str, rate: float = RATE, seed: int = SEED):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -48,7 +50,7 @@ class PieceCodec:
             proto.ParseFromString(f.read())
         if not borders_proved(proto) or not proto.trainer_spec.byte_fallback:
             raise ValueError("a BPE model with byte fallback and without pieces across words is needed")
-        self.limit, self.seed, self.variants = min((1 << 64) - 1, int(rate * 2.0**64)), seed, variants
+        self.limit, self.seed = min((1 << 64) - 1, int(rate * 2.0**64)), seed
         pieces = list(proto.pieces)
         ids = {p.piece.replace(MARK, " "): i for i, p in enumerate(pieces) if p.type == p.NORMAL}
         self.byte_ids = [next(i for i, p in enumerate(pieces) if p.type == p.BYTE)] * 256
@@ -83,7 +85,8 @@ class PieceCodec:
                 at = (at + 1) & (self.size - 1)
             self.slots[at] = key
             self.ranks[at], self.made[at] = merges[key]
-        self.memo: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        # Of each pre-token without skips: the hashed borders of its merges, and its ids.
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
         self.newline = np.array([self.byte_ids[10]], "<u4").tobytes()
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +103,31 @@ class PieceCodec:
             left, key, at = left[on], key[on], (at[on] + 1) & (self.size - 1)
         return rank, made
 
+    @staticmethod
+    def _borders(start: np.ndarray, cut: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(start.astype(np.uint64) << _U(42) ^ cut.astype(np.uint64) << _U(21) ^ end.astype(np.uint64))
+
     def _skipped(self, key: np.ndarray, start: np.ndarray, cut: np.ndarray, end: np.ndarray) -> np.ndarray:
-        borders = start.astype(np.uint64) << _U(42) ^ cut.astype(np.uint64) << _U(21) ^ end.astype(np.uint64)
-        return mix(mix(borders) ^ key) < _U(self.limit)
+        return mix(self._borders(start, cut, end) ^ key) < _U(self.limit)
+
+    def segment(self, words: list[str], draws: np.ndarray) -> list[bytes]:
+        """Ids (unsigned, 32 bit) of each pre-token by its own draw."""
+        return self._segment(words, self._keys(draws), None)
+
+    def _keys(self, draws: np.ndarray) -> np.ndarray:
+        return mix(draws.astype(np.uint64) ^ mix(np.array([self.seed], np.uint64)))
 
-    def segment(self, words: list[str], variants: np.ndarray) -> list[bytes]:
-        """Ids (unsigned, 32 bit) of each pre-token in its variant."""
+    def _segment(self, words: list[str], keys: np.ndarray | None, traces: list[bytes] | None) -> list[bytes]:
+        """Ids of each pre-token; without keys nothing is skipped. ``traces`` takes the borders of the merges made."""
         out: list[bytes] = [b""] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        end = np.cumsum(size)
-        codes = range_codes(prefix_sums(points.astype(np.uint64)), end - size, end)
-        keys = mix((codes ^ mix(np.array([self.seed], np.uint64))) + variants.astype(np.uint64))
         short = size <= LONG
         for i in np.flatnonzero(~short):
-            out[i] = self._ids(words[i], *self._agenda(words[i], keys[i : i + 1]))
+            sym, start, trace = self._agenda(words[i], None if keys is None else keys[i : i + 1])
+            out[i] = self._ids(words[i], sym, start)
+            if traces is not None:
+                traces[i] = trace
         points = points[np.repeat(short, size)]
         places = np.flatnonzero(short)
         end = np.cumsum(size[places])
@@ -122,11 +135,19 @@ class PieceCodec:
             part = places[lo : lo + 20_000]
             sizes = size[part]
             stop = end[min(lo + 20_000, len(places)) - 1]
-            self._rounds(self.of_point[points[stop - sizes.sum() : stop]], sizes, keys[part], words, part.tolist(), out)
+            own = None if keys is None else keys[part]
+            self._rounds(self.of_point[points[stop - sizes.sum() : stop]], sizes, own, words, part.tolist(), out, traces)
         return out
 
     def _rounds(
-        self, sym: np.ndarray, size: np.ndarray, keys: np.ndarray, words: list[str], places: list[int], out: list[bytes]
+        self,
+        sym: np.ndarray,
+        size: np.ndarray,
+        keys: np.ndarray | None,
+        words: list[str],
+        places: list[int],
+        out: list[bytes],
+        traces: list[bytes] | None,
     ) -> None:
         """Merge the best pair of each pre-token, for all at once, until none has any."""
         word = np.repeat(np.arange(len(size)), size)
@@ -135,6 +156,7 @@ class PieceCodec:
         end = start + 1
         rank, made = self._candidates(sym, word, start, end, keys)
         done: list[tuple[np.ndarray, ...]] = []
+        made_by: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             head = np.flatnonzero(np.diff(word, prepend=-1))
             best = np.minimum.reduceat(np.where(rank < _NONE, rank << 32 | np.arange(len(rank)), _NONE), head)
@@ -149,6 +171,8 @@ class PieceCodec:
                 at = best & 0xFFFFFFFF
             if not len(sym):
                 break
+            if traces is not None:
+                made_by.append((word[at], self._borders(start[at], start[at + 1], end[at + 1])))
             sym[at], end[at] = made[at], end[at + 1]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -164,6 +188,12 @@ class PieceCodec:
         raw, tail = flat.tobytes(), np.append(head[1:], len(word))
         for w, a, b in zip(word[head].tolist(), head.tolist(), tail.tolist()):
             out[places[w]] = self._ids(words[places[w]], sym[a:b], start[a:b]) if w in odd else raw[4 * a : 4 * b]
+        if made_by:
+            word, borders = (np.concatenate(x) for x in zip(*made_by))
+            order = np.argsort(word, kind="stable")
+            raw, at = borders[order].tobytes(), np.searchsorted(word[order], np.arange(len(size) + 1)).tolist()
+            for w, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                traces[places[w]] = raw[8 * a : 8 * b]
 
     def _candidates(self, sym, word, start, end, keys):
         return self._at(np.arange(len(sym)), sym, word, start, end, keys)
@@ -176,12 +206,13 @@ class PieceCodec:
             same = (at + 1 < len(sym)) & (word[at] == word[nxt])
             a, b = at[same], nxt[same]
             r, m = self._lookup(sym[a], sym[b])
-            r[self._skipped(keys[word[a]], start[a], start[b], end[b])] = _NONE
+            if keys is not None:
+                r[self._skipped(keys[word[a]], start[a], start[b], end[b])] = _NONE
             rank[same], made[same] = r, m
         return rank, made
 
-    def _agenda(self, text: str, key: np.ndarray) -> tuple[list[int], list[int]]:
-        """The same by an agenda, for one long pre-token: (symbols, starts)."""
+    def _agenda(self, text: str, key: np.ndarray | None) -> tuple[list[int], list[int], bytes]:
+        """The same by an agenda, for one long pre-token: (symbols, starts, borders of the merges made)."""
         sym = [self.chars.get(c, self.unknown) for c in text]
         n = len(sym)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -191,22 +222,24 @@ class PieceCodec:
             pairs = [(a, b) for a, b in pairs if sym[a] << 32 | sym[b] in self.merges]
             if pairs:
                 a, b = np.array(pairs).T
-                skipped = self._skipped(key, a, b, np.array([end[x] for x in b]))
+                skipped = np.zeros(len(a), bool) if key is None else self._skipped(key, a, b, np.array([end[x] for x in b]))
                 for (x, y), skip in zip(pairs, skipped):
                     if not skip:
                         heapq.heappush(agenda, (self.merges[sym[x] << 32 | sym[y]][0], x, y, sym[x], sym[y]))
 
+        merged: list[tuple[int, int, int]] = []
         push([(i, i + 1) for i in range(n - 1)])
         while agenda:
             _, a, b, left, right = heapq.heappop(agenda)
             if not (alive[a] and alive[b] and sym[a] == left and sym[b] == right and end[a] == b):
                 continue
+            merged.append((a, b, end[b]))
             sym[a], end[a], alive[b] = self.merges[left << 32 | right][1], end[b], False
             if end[a] < n:
                 before[end[a]] = a
             push(([(before[a], a)] if before[a] >= 0 else []) + ([(a, end[a])] if end[a] < n else []))
         starts = [i for i in range(n) if alive[i]]
-        return [sym[i] for i in starts], starts
+        return [sym[i] for i in starts], starts, self._borders(*np.array(merged, np.int64).reshape(-1, 3).T).tobytes()
 
     def _ids(self, text: str, sym, start) -> bytes:
         ids: list[int] = []
@@ -217,37 +250,53 @@ class PieceCodec:
     def encode(self, texts: list[str], doc_ids: list[int]) -> list[bytes]:
         """Ids of each text, unsigned, 32 bit, little-endian."""
         seed = mix(np.array([self.seed + 1], np.uint64))
-        runs: list[list[list[tuple[int, list[str]]]]] = []  # of each text, of each line: (variant, pre-tokens)
-        new: list[set[str]] = [set() for _ in self.memo]
-        for doc_id, text in zip(doc_ids, texts):
-            lines = [[line[i : i + RUN] for i in range(0, len(line), RUN)] for line in pre_tokens(text)]
-            n = sum(map(len, lines))
-            key = mix(np.array([doc_id % (1 << 64)], np.uint64) ^ seed)
-            pick = iter((mix(key + np.arange(n, dtype=np.uint64)) % _U(self.variants)).tolist())
-            runs.append([[(next(pick), run) for run in line] for line in lines])
-            for line in runs[-1]:
-                for v, run in line:
-                    new[v].update(run)
-        if sum(map(len, self.memo)) + sum(map(len, new)) > MEMO:
-            self.memo = [{w: m[w] for w in own if w in m} for own, m in zip(new, self.memo)]
-        todo = [(w, v) for v, own in enumerate(new) for w in own.difference(self.memo[v])]
-        if todo:
-            words, variants = zip(*todo)
-            for (w, v), ids in zip(todo, self.segment(list(words), np.array(variants))):
-                self.memo[v][w] = ids
-        get = [m.__getitem__ for m in self.memo]
-        return [
-            self.newline.join([b"".join([b"".join(map(get[v], run)) for v, run in line]) for line in own]) for own in runs
-        ]
+        lines = [pre_tokens(text) for text in texts]
+        words = list(chain.from_iterable(chain.from_iterable(lines)))
+        # A key for each occurrence, of seed, document and place.
+        starts = [mix(np.array([doc_id % (1 << 64)], np.uint64) ^ seed) for doc_id in doc_ids]
+        counts = [sum(map(len, own)) for own in lines]
+        draws = [mix(key + np.arange(n, dtype=np.uint64)) for key, n in zip(starts, counts)]
+        ids = iter(self._occurrences(words, self._keys(np.concatenate([np.zeros(0, np.uint64), *draws]))))
+        return [self.newline.join([b"".join(islice(ids, len(line))) for line in own]) for own in lines]
+
+    def _occurrences(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of each occurrence by its key."""
+        places: dict[str, int] = {}
+        at = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words))
+        self._learn(list(places))
+        own = list(map(self.memo.__getitem__, places))
+        plain = [ids for _, ids in own]
+        out = list(map(plain.__getitem__, at.tolist()))
+        borders = np.frombuffer(b"".join([trace for trace, _ in own]), np.uint64)
+        size = np.fromiter((len(trace) // 8 for trace, _ in own), np.int64, len(own))
+        first = np.cumsum(size) - size
+        for lo in range(0, len(words), 50_000):
+            part = at[lo : lo + 50_000]
+            n = size[part]
+            begin = np.cumsum(n) - n
+            occurrence = np.repeat(np.arange(lo, lo + len(part)), n)
+            merge = borders[np.arange(n.sum()) + np.repeat(first[part] - begin, n)]
+            other = np.unique(occurrence[mix(merge ^ keys[occurrence]) < _U(self.limit)])
+            for i, ids in zip(other.tolist(), self._segment([words[i] for i in other.tolist()], keys[other], None)):
+                out[i] = ids
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+        traces = [b""] * len(new)
+        plain = self._segment(new, None, traces)
+        self.memo.update(zip(new, zip(traces, plain)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
 
 
 @functools.lru_cache(maxsize=2)
-def codec(model_file: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> PieceCodec:
+def codec(model_file: str, rate: float = RATE, seed: int = SEED) -> PieceCodec:
     """One for each Python worker, which keeps its memo from task to task."""
-    return PieceCodec(model_file, rate, seed, variants)
+    return PieceCodec(model_file, rate, seed)
 
 
 def encode_decode(docs: DataFrame, model_file: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
