@@ -1,12 +1,14 @@
 """Quality classification by co-training two views of a document.
 
 One view is the text's content (shares of byte values, repetition, lengths), the other the page's metadata (language,
-source, size). Each view has a logistic classifier; over some rounds each labels the unlabelled documents that it is
-surest of for the other one to learn from. Both are calibrated on held-out labels and combined there, and the
-combination scores every document.
-
-Fitting uses ``LABELLED`` labelled and ``UNLABELLED`` unlabelled documents at most, those with the least hashed ids, so
-its cost is the same at every size; scoring covers all rows and whole texts. Defined cases: a null text counts as empty;
+source, size). Each view has a logistic classifier; in each round each labels all unlabelled documents that it is sure
+of for the other one to learn from. Both are calibrated on held-out labels and combined there, and the combination
+scores every document.
+
+Fitting uses ``LABELLED`` labelled documents at most, those with the least hashed ids, and every unlabelled one. The
+features of the unlabelled ones are written once and read again at each Newton step, which takes sums of gradient and
+Hessian from them, so that no such row reaches the driver. Pseudo-labels weigh half of a label, and all of them together
+half of all labels at most. Scoring covers all rows and whole texts. Defined cases: a null text counts as empty;
 missing metadata is a value of its own; a label that is null, or whose document is missing, is left out; where labels of
 both kinds are missing, every score is 0.5 and every document is kept; an empty table gives an empty result; further
 columns are carried by ``keep_good``.
@@ -16,21 +18,27 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import table
+from logquarry.llm.common import discard, staged, table
 
 LABELLED = 12_000
-UNLABELLED = 6_000
 ROUNDS = 3
-#: A view labels for the other what it is at least so sure of, and so many documents a round at most.
+#: A view labels for the other what it is at least so sure of.
 SURE = 0.97
-GIVEN = 500
+#: Weight of a pseudo-label.
+GIVEN_WEIGHT = 0.5
+#: Rows that add up the partitions' sums, before the driver does.
+SUM_ROWS = 16
+#: Rows of features held as numbers at once.
+SUM_BATCH = 4096
 #: Every fifth labelled document of each kind is held out, for calibration.
 HELD_OUT = 5
 META_BINS = 64
@@ -75,19 +83,27 @@ def meta_features(row: tuple) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Coefficients, the intercept last, by Newton steps."""
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the rows ``x``, which end in a 1."""
+    p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+    h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+    return x.T @ (weight * (p - y)), h
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, start=None, more=None) -> np.ndarray:
+    """Coefficients, the intercept last, by Newton steps; ``more`` gives the gradient and Hessian of further rows."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
-    b = np.zeros(x.shape[1])
+    b = np.zeros(x.shape[1]) if start is None else start
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (weight * (p - y)) + ridge * b
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, g)
-        b -= step * min(1, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        g, h = _newton(x, y, weight, b)
+        if more is not None:
+            g2, h2 = more(b)
+            g, h = g + g2, h + h2
+        step = np.linalg.solve(h + np.diag(ridge), g + ridge * b)
+        b = b - step * min(1, 5 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < (1e-6 if more is None else 1e-3):
             break
     return b
 
@@ -119,40 +135,118 @@ def _p(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> View:
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    view = View(mean, scale, logistic((x - mean) / scale, y, weight), np.array([1.0, 0.0]))
+#: What is added up over the unlabelled rows: (features of the text, of the metadata) -> an array.
+Term = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+class Rows:
+    """Unlabelled rows held here."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.text, self.meta = text, meta
+
+    def total(self, term: Term) -> np.ndarray:
+        return term(self.text, self.meta)
+
+
+class StagedRows:
+    """Unlabelled rows (x) of a table, the first ``cut`` features the text's; sums are made where the rows are."""
+
+    def __init__(self, rows: DataFrame, width: int, cut: int):
+        self.rows, self.width, self.cut = rows, width, cut
+        self.many = rows.rdd.getNumPartitions() > 4 * SUM_ROWS
+
+    def total(self, term: Term) -> np.ndarray:
+        width, cut = self.width, self.cut
+
+        def partial(batches):
+            out = term(np.zeros((0, cut)), np.zeros((0, width - cut)))
+            for pdf in batches:
+                for lo in range(0, len(pdf), SUM_BATCH):
+                    x = np.frombuffer(b"".join(pdf["x"].iloc[lo : lo + SUM_BATCH]), "<f4").reshape(-1, width).astype(float)
+                    out = out + term(x[:, :cut], x[:, cut:])
+            part = TaskContext.get().partitionId()
+            yield pd.DataFrame({"part": [part], "sums": [out.tobytes()]})
+
+        def added(pdf):
+            pdf = pdf.sort_values("part")
+            out = sum(np.frombuffer(x, float) for x in pdf["sums"])
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [out.tobytes()]})
+
+        sums = self.rows.mapInPandas(partial, "part int, sums binary")
+        if self.many:
+            sums = sums.groupBy(F.col("part") % SUM_ROWS).applyInPandas(added, "part int, sums binary")
+        empty = term(np.zeros((0, cut)), np.zeros((0, width - cut)))
+        got = sorted((r["part"], r["sums"]) for r in sums.collect())
+        return empty + sum(np.frombuffer(x, float) for _, x in got)
+
+
+def _learn(
+    x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, before: View | None = None, given=None, pool=None
+) -> View:
+    """A view of the labelled rows and of what is ``given``: (text, meta) -> (own features, pseudo-labels) of ``pool``."""
+    n, one, two, width = len(x), x.sum(axis=0), (x * x).sum(axis=0), x.shape[1]
+    weight, more, start = 0.0, None, None
+    if given is not None:
+
+        def moments(text, meta):
+            z, _ = given(text, meta)
+            return np.concatenate([[len(z)], z.sum(axis=0), (z * z).sum(axis=0)])
+
+        sums = pool.total(moments)
+        if sums[0]:
+            weight = GIVEN_WEIGHT * min(1.0, n / sums[0])
+            one, two, n = one + weight * sums[1 : width + 1], two + weight * sums[width + 1 :], n + weight * sums[0]
+    mean = one / n
+    scale = np.sqrt(np.maximum(two / n - mean * mean, 0)) + 1e-3
+    if weight:
+
+        def more(b):
+            def newton(text, meta):
+                z, labels = given(text, meta)
+                z = np.hstack([(z - mean) / scale, np.ones((len(z), 1))])
+                g, h = _newton(z, labels, np.full(len(z), weight), b)
+                return np.concatenate([g, h.ravel()])
+
+            sums = pool.total(newton)
+            return sums[: len(b)], sums[len(b) :].reshape(len(b), len(b))
+
+        # The view of the round before, in this round's scale.
+        start = np.append(before.weights[:-1] / before.scale * scale, 0)
+        start[-1] = before.weights[-1] + (before.weights[:-1] / before.scale) @ (mean - before.mean)
+    weights = logistic((x - mean) / scale, y, np.ones(len(x)), start=start, more=more)
+    view = View(mean, scale, weights, np.array([1.0, 0.0]))
     view.calibration = logistic(view.logit(held_x)[:, None], held_y, np.ones(len(held_y)), 1e-2)
     return view
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """``label`` is 0, 1, or -1 for unlabelled rows."""
-    known = np.flatnonzero(label >= 0)
+def _given(giver: View, of: int, taker: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The taker's features and the labels of the rows that the giver is sure of."""
+
+    def rows(*views: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = _p(giver.logit(views[of]))
+        sure = np.maximum(p, 1 - p) >= SURE
+        return views[taker][sure], (p[sure] >= 0.5).astype(float)
+
+    return rows
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, pool=None) -> Model | None:
+    """``label`` is 0, 1, or -1 for unlabelled rows; these may be in ``pool`` instead."""
+    pool = pool or Rows(text[label < 0], meta[label < 0])
     held = np.sort(np.concatenate([np.flatnonzero(label == c)[::HELD_OUT] for c in (0, 1)]))
-    seen = np.setdiff1d(known, held)
+    seen = np.setdiff1d(np.flatnonzero(label >= 0), held)
     if any(len(np.unique(label[part])) < 2 for part in (held, seen)):
         return None
-    views = [text, meta]
-    # What each view learns from: rows, labels, weights; the other's pseudo-labels are added.
-    rows, labels = [seen, seen], [label[seen].astype(float)] * 2
-    fitted: list[View] = []
-    for i in range(rounds + 1):
+    views, y, held_y = [text, meta], label[seen].astype(float), label[held].astype(float)
+    fitted = [_learn(x[seen], y, x[held], held_y) for x in views]
+    for _ in range(rounds):
         fitted = [
-            _learn(x[r], y, np.where(label[r] >= 0, 1.0, 0.5), x[held], label[held].astype(float))
-            for x, r, y in zip(views, rows, labels)
+            _learn(views[taker][seen], y, views[taker][held], held_y, fitted[taker], _given(fitted[giver], giver, taker), pool)
+            for giver, taker in ((1, 0), (0, 1))
         ]
-        if i == rounds:
-            break
-        for giver, taker in ((0, 1), (1, 0)):
-            free = np.setdiff1d(np.flatnonzero(label < 0), rows[taker])
-            p = _p(fitted[giver].logit(views[giver][free]))
-            sure = np.argsort(-np.maximum(p, 1 - p), kind="stable")[:GIVEN]
-            sure = sure[np.maximum(p, 1 - p)[sure] >= SURE]
-            rows[taker] = np.append(rows[taker], free[sure])
-            labels[taker] = np.append(labels[taker], (p[sure] >= 0.5).astype(float))
     logits = np.stack([v.logit(x[held]) for v, x in zip(fitted, views)], axis=1)
-    return Model(*fitted, logistic(logits, label[held].astype(float), np.ones(len(held)), 1e-2))
+    return Model(*fitted, logistic(logits, held_y, np.ones(len(held)), 1e-2))
 
 
 def _meta_columns(docs: DataFrame) -> list[str]:
@@ -169,15 +263,14 @@ def _bytes_of_text() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Co-train on bounded samples of ``docs``; ``labels`` is (doc_id, quality)."""
+    """Co-train on a bounded sample of labelled ``docs`` and all unlabelled ones; ``labels`` is (doc_id, quality)."""
     meta = _meta_columns(docs)
     order = F.xxhash64("doc_id")
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
     named = labels.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(LABELLED)
-    others = ids.join(labels, "doc_id", "left_anti").orderBy(order, "doc_id").limit(UNLABELLED)
-    chosen = named.union(others.select("doc_id", F.lit(-1).alias("quality")))
-    sample = docs.select("doc_id", _bytes_of_text(), *meta).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", _bytes_of_text(), *meta)
+    sample = texts.join(F.broadcast(named), "doc_id")
     width = len(text_features(b"")) + META_BINS * len(meta)
 
     def featurise(batches):
@@ -187,13 +280,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 both = np.hstack(_features(part, meta)).astype("<f4")
                 yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "x": [r.tobytes() for r in both]})
 
+    def features_only(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                both = np.hstack(_features(pdf.iloc[lo : lo + 256], meta)).astype("<f4")
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo : lo + 256].astype("Int64"), "x": [r.tobytes() for r in both]})
+
     got = sample.mapInPandas(featurise, "doc_id long, quality int, x binary").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     if got.empty:
         return None
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, width).astype(float)
     cut = width - META_BINS * len(meta)
-    return co_train(x[:, :cut], x[:, cut:], got["quality"].to_numpy())
+    quality = got["quality"].to_numpy()
+    if min((quality == c).sum() for c in (0, 1)) < 2:
+        return None
+    # Features are shuffled instead of texts. Repeated and null ids are rows like others here.
+    others = texts.mapInPandas(features_only, "doc_id long, x binary").join(labels.select("doc_id"), "doc_id", "left_anti")
+    pool = staged(others.select("x"), "unlabelled")
+    model = co_train(x[:, :cut], x[:, cut:], quality, pool=StagedRows(pool, width, cut))
+    discard(pool)
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> Column:
