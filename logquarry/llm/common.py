@@ -93,7 +93,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected ``edges`` (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star steps, O(log^2 n) rounds. Each round is a written table, so lineage stays
-    short; minima are pre-aggregated, so a hub costs one row a task; only the number of edges and a checksum reach the driver.
+    short; minima are pre-aggregated and a hub's neighbours are dealt over tasks; only the number of edges and a checksum
+    reach the driver.
     """
     cur = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
@@ -118,7 +119,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     down = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
     sides = down.union(edges.select("b", "a")) if large else down
     least = sides.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-    moved = sides.join(least, "v")
+    moved = salted_left_join(sides, least, "v", F.col("u"), salts=8)
     if large:
         moved = moved.where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b"))
     else:

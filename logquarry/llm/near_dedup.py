@@ -1,59 +1,67 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents with equal shingle sets are one class, of which one stands for all. Signatures are banded; what shares a band
-is a candidate. In a band, a member's signature is compared with another's batch by batch, and the pair is pruned as
-soon as the posterior chance that its similarity reaches the threshold, given the matches so far, falls below the miss
-probability. Survivors are verified on full sets.
-
-A band of m members does not give m^2 pairs. First each member is linked to the most central member that looks similar,
-and these links are verified and merged into components. Then each member is linked to the likeliest member of another
-component, again verified and merged. Only then are all pairs across components compared, with a finer sketch of SKETCH
-hashes and each pair in the first band that it shares, and what is not pruned is verified, so no link between
-components is lost. Bands beyond ``BAND_ROWS`` members are cut into blocks, and pairs of blocks are compared by tasks of
-bounded size.
+Documents whose words are equal, case of A-Z aside, are one class (by the SHA-256 of those words); its least doc_id
+stands for it and is its node. Signatures are banded; what shares a band is a candidate. In a band, a member's signature
+is compared with others batch by batch, and a pair is pruned as soon as the posterior chance that its similarity reaches
+the threshold, given the matches so far, falls below the miss probability. Survivors are verified on full sets of the
+shingles themselves; codes of 64 bits serve to find them only.
+
+A band of m members does not give m^2 pairs, in rows or in copies:
+
+* Nodes in bands of more than ``BAND_ROWS`` members leave those for stricter bands: more hashes to a band, more bands,
+  under the same chance of a miss. Members that are only somewhat alike do not meet there.
+* First each member is linked to the most central member that looks similar; these links, one a member and band at most,
+  are verified and merged into components.
+* Bands that still hold several components are dealt into tiles of bounded size with their texts. A tile compares members
+  of different components only, verifies what is not pruned at once, and merges the components of a link before it goes
+  on, so it gives fewer links than it has components. The members of a band's largest component meet the others, not
+  each other.
 
 Defined cases: a text without words, null or not, has an empty set and is linked with nothing; a null doc_id is never
-linked and has a null component; rows with one doc_id are one document for links; an empty table gives an empty result;
-further columns are carried by ``dedup``.
+linked and has a null component; rows with one doc_id are one document for links; very long texts are one class and one
+set like others, whole; an empty table gives an empty result; further columns are carried by ``dedup``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import connected_components, keep_ids, salted_left_join, staged, table
-from logquarry.llm.word_codes import mix, shingle_sets
+from logquarry.llm.common import connected_components, discard, keep_ids, salted_left_join, staged, table
+from logquarry.llm.word_codes import mix, shingle_sets, shingles
 
 HASHES = 128
-#: Hashes of the finer sketch, of which eight bits each are kept.
-SKETCH = 640
+#: Further hashes, of which stricter bands are made.
+STRICT_HASHES = 512
 #: Hashes compared at a time.
-BATCHES = (16, 16, 32, 64, 128, 128, 128, 128)
+BATCHES = (16, 16, 32, 64)
 #: Chance that a pair at the threshold shares no band, at most.
 MISS_BAND = 1e-5
 #: Posterior chance of a link below which a pair is pruned.
 MISS_PRUNE = 1e-6
 #: Members of a band that one task compares with each other or with as many others.
-BAND_ROWS = 1024
+BAND_ROWS = 512
 #: Pairs with one document that a task verifies.
 VERIFY_ROWS = 256
 
 _U = np.uint64
-_MULTIPLIERS = ((mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) >> _U(32)).astype(np.uint32) | np.uint32(1))[:, None]
+_ALL = HASHES + STRICT_HASHES
+_MULTIPLIERS = ((mix(np.arange(1, _ALL + 1, dtype=np.uint64)) >> _U(32)).astype(np.uint32) | np.uint32(1))[:, None]
 
 
-def min_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """The least of each of n hashes over a set of 64-bit codes; 32 bits each."""
+def min_hashes(codes: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The least of each of n hashes, counted from ``first``, over a set of 64-bit codes; 32 bits each."""
     folded = (codes ^ (codes >> _U(32))).astype(np.uint32)
     out = np.full(n, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(folded), 512):
-        h = folded[at : at + 512] * _MULTIPLIERS[:n]
+        h = folded[at : at + 512] * _MULTIPLIERS[first : first + n]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
@@ -61,28 +69,28 @@ def min_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_rows(threshold: float) -> int:
-    """The most hashes in a band for which a pair at the threshold is missed with MISS_BAND at most."""
-    fits = [r for r in range(1, 17) if (1 - threshold**r) ** (HASHES // r) <= MISS_BAND]
-    return max(fits, default=1)
+def band_shape(threshold: float, hashes: int) -> tuple[int, int]:
+    """(hashes a band, bands): the most hashes for which ``hashes`` give enough bands, so that a pair at the threshold is
+    missed with MISS_BAND at most; of one hash where none are enough."""
+    for rows in range(24, 0, -1):
+        bands = math.ceil(math.log(MISS_BAND) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if rows * bands <= hashes:
+            return rows, hashes // rows if hashes == HASHES else bands
+    return 1, hashes
 
 
 @lru_cache(maxsize=8)
-def prune_below(threshold: float, bits: int, hashes: int) -> tuple[tuple[int, int], ...]:
+def prune_below(threshold: float) -> tuple[tuple[int, int], ...]:
     """(hashes seen, matches below which the posterior chance of a link is under MISS_PRUNE) after each batch.
 
-    The prior is uniform; unequal minima agree in ``bits`` bits by chance, so m of n match at similarity s with the
-    binomial of s + (1 - s) / 2^bits.
+    The prior is uniform; m of n match at similarity s with the binomial of s.
     """
     grid = (np.arange(4_000) + 0.5) / 4_000
-    hit = grid + (1 - grid) / 2.0**bits
     out, seen = [], 0
     for size in BATCHES:
         seen += size
-        if seen > hashes:
-            break
         for m in range(seen + 1):
-            density = m * np.log(hit) + (seen - m) * np.log1p(-hit)
+            density = m * np.log(grid) + (seen - m) * np.log1p(-grid)
             density = np.exp(density - density.max())
             if density[grid >= threshold].sum() >= MISS_PRUNE * density.sum():
                 out.append((seen, m))
@@ -93,7 +101,7 @@ def prune_below(threshold: float, bits: int, hashes: int) -> tuple[tuple[int, in
 def survivors(one: np.ndarray, many: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Which rows of ``many`` are not pruned against ``one``, and how many of all their hashes match."""
     left, matches, at = np.arange(len(many)), np.zeros(len(many), np.int64), 0
-    for seen, least in prune_below(threshold, 8 * one.itemsize, one.shape[0]):
+    for seen, least in prune_below(threshold):
         matches = matches + (many[left, at:seen] == one[at:seen]).sum(axis=1)
         ok = matches >= least
         left, matches, at = left[ok], matches[ok], seen
@@ -102,88 +110,99 @@ def survivors(one: np.ndarray, many: np.ndarray, threshold: float) -> tuple[np.n
     return left, matches
 
 
-def _tag(codes: np.ndarray) -> bytes | None:
-    """What tells a set from every other; none for an empty one."""
-    if not len(codes):
-        return None
-    return np.bitwise_xor.reduce(codes).tobytes() + mix(codes).sum(dtype=np.uint64).tobytes() + len(codes).to_bytes(4, "little")
+def similar(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def shingled(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature) for every row of ``docs``."""
+    """(doc_id, n_shingles, sha, signature) for every row of ``docs``; sha tells which words a text has, if any."""
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 512):
                 part = pdf.iloc[lo : lo + 512]
-                sets = shingle_sets(list(part["text"]), words)
+                texts = [t.lower() for t in part["text"]]
+                sets = shingle_sets(texts, words)
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64"),
-                        "n_shingles": [len(s) for s in sets],
-                        "set_id": [_tag(s) for s in sets],
-                        "signature": [min_hashes(s, HASHES).tobytes() if len(s) else None for s in sets],
+                        "n_shingles": [len(shingles(t, words)) for t in texts],
+                        "sha": [hashlib.sha256(b" ".join(t.split())).digest() if len(s) else None for t, s in zip(texts, sets)],
+                        "signature": [min_hashes(s, 0, HASHES).tobytes() if len(s) else None for s in sets],
                     }
                 )
 
-    return docs.select("doc_id", _bytes()).mapInPandas(shingle, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select("doc_id", _bytes()).mapInPandas(shingle, "doc_id long, n_shingles long, sha binary, signature binary")
 
 
-def _bytes():
+def _bytes() -> Column:
     return F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
 
 
-def _band_codes(signatures: np.ndarray, rows: int) -> np.ndarray:
-    """A code for each band of each signature."""
-    sig = signatures.astype(np.uint64)
-    codes = np.empty((len(sig), HASHES // rows), np.uint64)
-    for b in range(codes.shape[1]):
-        code = np.full(len(sig), b + 1, np.uint64)
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): the texts of the documents ``nodes`` (node), each text of an id once."""
+    texts = docs.select(F.col("doc_id").alias("node"), _bytes())
+    return texts.join(nodes, "node", "left_semi").dropDuplicates(["node", "text"])
+
+
+def _band_codes(hashes: np.ndarray, rows: int, bands: int, kind: int) -> np.ndarray:
+    """A code for each band of each row of hashes."""
+    sig = hashes.astype(np.uint64)
+    codes = np.empty((len(sig), bands), np.int64)
+    for b in range(bands):
+        code = np.full(len(sig), kind * 1000 + b + 1, np.uint64)
         for c in range(b * rows, (b + 1) * rows):
             code = mix(code * _U(0x9E3779B97F4A7C15) ^ sig[:, c])
-        codes[:, b] = code
+        codes[:, b] = code.view(np.int64)
     return codes
 
 
-def _bands(rows: int):
+def _bands(threshold: float):
+    shape = band_shape(threshold, HASHES)
+
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            codes = _band_codes(np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), HASHES), rows)
+            codes = _band_codes(np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), HASHES), *shape, 0)
             for b in range(codes.shape[1]):
-                yield pd.DataFrame({"node": pdf["node"], "band": codes[:, b].view(np.int64), "band_no": b})
+                yield pd.DataFrame({"node": pdf["node"], "band": codes[:, b]})
+
+    return bands
+
+
+def _strict_bands(threshold: float, words: int):
+    rows, n = band_shape(threshold, STRICT_HASHES)
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                sets = shingle_sets(list(part["text"]), words)
+                codes = _band_codes(np.array([min_hashes(s, HASHES, rows * n) for s in sets]), rows, n, 1)
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "band": codes.ravel()})
 
     return bands
 
 
-def _members(
-    batches: Iterator[pd.DataFrame], key: list[str], columns: list[str], sketch: str, dtype: type
-) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of rows with one key, of a partition sorted by it: the columns and the sketches. One run is held at a time."""
+def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with one key, of a partition sorted by it. One run is held at a time."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         edge = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy())
         if held and len(pdf) and (pdf[key].iloc[0] == held[-1][key].iloc[-1]).all():
             edge = edge[1:]
-        pieces = np.split(np.arange(len(pdf)), edge)
-        for i, piece in enumerate(pieces):
+        for i, piece in enumerate(np.split(np.arange(len(pdf)), edge)):
             if i and held:
-                yield _run(held, columns, sketch, dtype)
+                yield pd.concat(held) if len(held) > 1 else held[0]
                 held = []
             if len(piece):
                 held.append(pdf.iloc[piece[0] : piece[-1] + 1])
     if held:
-        yield _run(held, columns, sketch, dtype)
-
+        yield pd.concat(held) if len(held) > 1 else held[0]
 
-def _run(held: list[pd.DataFrame], columns: list[str], sketch: str, dtype: type) -> tuple[np.ndarray, ...]:
-    rows = held[0] if len(held) == 1 else pd.concat(held)
-    return *(rows[c].to_numpy(np.int64) for c in columns), np.frombuffer(b"".join(rows[sketch]), dtype).reshape(len(rows), -1)
 
-
-def _pairs(links: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    if not links:
-        return pd.DataFrame({"a": [], "b": []})
-    return pd.DataFrame({n: np.concatenate(x) for n, x in zip("ab", zip(*links))})
+def _signatures(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), HASHES)
 
 
 def _central(sig: np.ndarray) -> int:
@@ -202,9 +221,9 @@ def _first_links(threshold: float):
     """Each member to the most central member that looks similar; at most one link a member of a band."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links: list[tuple[np.ndarray, np.ndarray]] = []
-        for ids, sig in _members(batches, ["band", "own_block"], ["node"], "signature", np.uint32):
-            left, scattered = np.arange(len(ids)), False
+        for rows in _groups(batches, ["band", "block"]):
+            ids, sig = rows["node"].to_numpy(np.int64), _signatures(rows)
+            left, scattered, heads, members = np.arange(len(ids)), False, [], []
             while len(left) > 1:
                 at = 0 if scattered else _central(sig[left])
                 head, left = left[at], np.delete(left, at)
@@ -212,71 +231,108 @@ def _first_links(threshold: float):
                 close = some[matches >= threshold * HASHES]
                 scattered = not len(close)
                 if len(close):
-                    links.append((np.full(len(close), ids[head]), ids[left[close]]))
+                    heads.append(np.full(len(close), ids[head]))
+                    members.append(ids[left[close]])
                     left = np.delete(left, close)
-            if len(links) > 10_000:
-                yield _pairs(links)
-                links = []
-        yield _pairs(links)
+            if heads:
+                yield pd.DataFrame({"a": np.concatenate(heads), "b": np.concatenate(members)}).query("a != b")
 
     return link
 
 
-def _cross_links(threshold: float, best: bool):
-    """Surviving pairs of members of different components, in one block of a band or between two.
-
-    A pair belongs to the first band that it shares. best: only each member's likeliest partner.
-    """
+class _Tile:
+    """Members of a band, with their sets, and which of their components are one by now."""
+
+    def __init__(self, rows: pd.DataFrame, words: int, percent: int):
+        self.words, self.percent = words, percent
+        self.nodes = rows["node"].to_numpy(np.int64)
+        self.texts = [t.lower() for t in rows["text"]]
+        self.signatures = _signatures(rows)
+        sets = shingle_sets(self.texts, words)
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.cumsum(self.size) - self.size
+        found, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(found), bool)
+        _, self.component = np.unique(rows["component"].to_numpy(np.int64), return_inverse=True)
+        self.known: dict[int, set] = {}
+
+    def _set(self, i: int) -> set:
+        if len(self.known) > 64:
+            self.known.clear()
+        if i not in self.known:
+            self.known[i] = shingles(self.texts[i], self.words)
+        return self.known[i]
+
+    def links(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Verified links of member i to ``others``, one for each component that it joins."""
+        others = others[self.component[others] != self.component[i]]
+        if not len(others):
+            return
+        left, _ = survivors(self.signatures[i], self.signatures[others], self.percent / 100)
+        others = others[left]
+        if not len(others):
+            return
+        own = self.codes[self.start[i] : self.start[i] + self.size[i]]
+        self.mark[own] = True
+        if 4 * len(others) > len(self.size):
+            both = np.add.reduceat(self.mark[self.codes].astype(np.int32), self.start)[others]
+        else:
+            both = np.array([self.mark[self.codes[self.start[j] : self.start[j] + self.size[j]]].sum() for j in others])
+        self.mark[own] = False
+        union = self.size[i] + self.size[others] - both
+        order = np.argsort(-both / union, kind="stable")
+        for j in others[order][(100 * both >= self.percent * union)[order]].tolist():
+            if self.component[i] != self.component[j] and similar(self._set(i), self._set(j), self.percent):
+                self.component[self.component == self.component[j]] = self.component[i]
+                yield int(self.nodes[i]), int(self.nodes[j])
+
+
+def _cross_links(words: int, percent: int):
+    """Links between the components that meet in a tile. y is the block that is compared with block x, or with itself."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links: list[tuple[np.ndarray, np.ndarray]] = []
-        names = ["node", "component", "own_block", "x", "y", "band_no"]
-        for ids, comp, block, x, y, no, data in _members(batches, ["band", "x", "y"], names, "fine", np.uint8):
-            fine, bands = data[:, :SKETCH], np.ascontiguousarray(data[:, SKETCH:]).view("<u4")
-            for i in range(len(ids) - (not best)):
-                start = 0 if best else i + 1
-                other = np.flatnonzero(comp[start:] != comp[i]) + start
-                if x[0] != y[0]:
-                    other = other[block[other] != block[i]]
-                if no[0]:
-                    other = other[~(bands[other, : no[0]] == bands[i, : no[0]]).any(axis=1)]
-                if not len(other):
-                    continue
-                some, matches = survivors(fine[i], fine[other], threshold)
-                if best and len(some):
-                    some = some[matches.argmax()][None]
-                if len(some):
-                    links.append((np.minimum(ids[i], ids[other[some]]), np.maximum(ids[i], ids[other[some]])))
-            if len(links) > 10_000:
-                yield _pairs(links)
-                links = []
-        yield _pairs(links)
+        for rows in _groups(batches, ["band", "x", "y"]):
+            block, y = rows["block"].to_numpy(), rows["y"].iloc[0]
+            asked, given = np.flatnonzero(block == y), np.flatnonzero(block != y)
+            if not len(asked) or rows["component"].nunique() < 2:
+                continue
+            tile = _Tile(rows, words, percent)
+            within = rows["x"].iloc[0] == y
+            found = [
+                pair for k, i in enumerate(asked.tolist()) for pair in tile.links(i, asked[k + 1 :] if within else given)
+            ]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     return link
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets (node, codes)."""
-    part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / VERIFY_ROWS)))
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes of which any texts are similar, on full sets."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(degree, "a").select("a", "b", part.alias("part"))
-    right = dealt.join(sets.toDF("b", "codes"), "b").select("a", "part", "b", "codes")
-    left = dealt.select("a", "part").distinct().join(sets.toDF("a", "codes"), "a").toDF("one", "one_part", "one_codes")
+    part = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / VERIFY_ROWS)))
+    dealt = salted_left_join(pairs, degree, "a", F.col("b"), salts=8).select("a", "b", part.alias("part"))
+    right = dealt.join(texts.toDF("b", "text"), "b").select("a", "part", "b", "text")
+    left = dealt.select("a", "part").distinct().join(texts.toDF("a", "text"), "a").toDF("one", "one_part", "one_text")
 
     def verify(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        own = [shingles(t.lower(), words) for t in one["one_text"]]
         rows = []
-        for x in one["one_codes"]:
-            x = np.frombuffer(x, np.uint64)
-            for b, y in zip(many["b"], many["codes"]):
-                y = np.frombuffer(y, np.uint64)
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    rows.append((one["one"].iloc[0], b))
+        for b, text in zip(many["b"], many["text"]):
+            other = shingles(text.lower(), words)
+            if any(similar(x, other, percent) for x in own):
+                rows.append((one["one"].iloc[0], b))
         return pd.DataFrame(rows, columns=["a", "b"])
 
     return left.groupBy("one", "one_part").cogroup(right.groupBy("a", "part")).applyInPandas(verify, "a long, b long")
 
 
+def _crowded(bands: DataFrame) -> DataFrame:
+    """(node, band, m) for bands of m > 1 members."""
+    full = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    return salted_left_join(bands, full, "band", F.col("node"), salts=8).where("m IS NOT NULL")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -284,81 +340,86 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     threshold = percent / 100
     rows = staged(shingled(docs, words), "shingled")
+    named = rows.where("sha IS NOT NULL AND doc_id IS NOT NULL")
     classes = staged(
-        rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
-        .withColumn("node", F.xxhash64("set_id")),
+        named.groupBy("sha").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("signature").alias("signature")),
         "classes",
     )
-    rows_of_band = band_rows(threshold)
-    bands = classes.mapInPandas(_bands(rows_of_band), "node long, band long, band_no int")
-    full = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    shared = staged(bands.join(full, "band"), "bands")
-    members = classes.select("node", "signature").join(shared.select("node").distinct(), "node", "left_semi")
-    members = staged(members, "members")
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Full sets; and finer sketches, each followed by the codes of the bands."""
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                sets = shingle_sets(list(part["text"]), words)
-                sketch = np.array([min_hashes(s, SKETCH) for s in sets])
-                codes = _band_codes(sketch[:, :HASHES], rows_of_band).astype("<u4")
-                fine = [a.tobytes() + b.tobytes() for a, b in zip(sketch.astype(np.uint8), codes)]
-                tags = [_tag(s) for s in sets]
-                yield pd.DataFrame({"set_id": tags, "codes": [s.tobytes() for s in sets], "fine": fine})
-
-    # A class's text is that of its least doc_id; where that id has several texts, the class tells which.
-    wanted = classes.join(members.select("node"), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", _bytes()).join(wanted, "doc_id", "left_semi")
-    sets = sets.mapInPandas(sets_of, "set_id binary, codes binary, fine binary").withColumn("node", F.xxhash64("set_id"))
-    sets = staged(sets.dropDuplicates(["node"]).drop("set_id"), "sets")
-    fine, sets = sets.select("node", "fine"), sets.select("node", "codes")
-
-    blocks = F.ceil(F.col("m") / BAND_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node", "band"), F.greatest(F.lit(1), blocks)).cast("int")
-    near = shared.select("band", "band_no", "node", blocks.alias("blocks"), own.alias("own_block"))
-    pairs = "a long, b long"
+    wide = staged(_crowded(classes.mapInPandas(_bands(threshold), "node long, band long").distinct()), "bands")
+    hot = wide.where(F.col("m") > BAND_ROWS).select("node").distinct()
+    strict = _texts_of(docs, hot).mapInPandas(_strict_bands(threshold, words), "node long, band long").distinct()
+    shared = staged(wide.where(F.col("m") <= BAND_ROWS).union(_crowded(strict).select(wide.columns)), "shared")
+    discard(wide)
+    nodes = shared.select("node").distinct()
+    signatures = classes.select("node", "signature").join(nodes, "node", "left_semi")
+    texts = staged(_texts_of(docs, nodes), "texts")
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BAND_ROWS).cast("int")
+
+    def dealt(n: Column) -> Column:
+        return F.pmod(F.xxhash64("node", "band"), n).cast("int")
+
+    first = (
+        shared.select("band", "node", dealt(blocks(F.col("m"))).alias("block"))
+        .join(signatures, "node")
+        .repartition("band", "block")
+        .sortWithinPartitions("band", "block", "node")
+        .mapInPandas(_first_links(threshold), "a long, b long")
+        .distinct()
+    )
+    first = staged(first, "first")
+    links = staged(_verified(first, texts, words, percent), "links")
+    discard(first)
+    parts = connected_components(links)
+
+    placed = shared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = staged(placed.select("band", "node", "component"), "placed")
+    # Of a band with several components: its largest one is dealt to blocks below ``main``, all others to those from there on.
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+    sizes = sizes.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m")).where("top.n < m")
+    mixed = sizes.select(
+        "band",
+        F.col("top.component").alias("main_component"),
+        blocks(F.col("top.n")).alias("main"),
+        blocks(F.col("m") - F.col("top.n")).alias("others"),
+    )
+    in_main = F.col("component") == F.col("main_component")
+    crossed = salted_left_join(placed, mixed, "band", F.col("node"), salts=8).where("main IS NOT NULL")
+    crossed = crossed.withColumn(
+        "block", F.when(in_main, dealt(F.col("main"))).otherwise(F.col("main") + dealt(F.col("others")))
+    )
+    last = F.col("main") + F.col("others") - 1
+    later = F.transform(
+        F.sequence(F.greatest("block", "main"), last), lambda y: F.struct(F.col("block").alias("x"), y.alias("y"))
+    )
+    earlier = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("block")), lambda x: x < F.col("block")),
+        lambda x: F.struct(x.alias("x"), F.col("block").alias("y")),
+    )
+    tiles = F.explode(F.when(in_main, later).otherwise(F.concat(later, earlier)))
     found = (
-        near.join(members, "node")
-        .repartition("band", "own_block")
-        .sortWithinPartitions("band", "own_block", "node")
-        .mapInPandas(_first_links(threshold), pairs)
+        crossed.select("band", "node", "component", "block", tiles.alias("tile"))
+        .select("band", "node", "component", "block", "tile.x", "tile.y")
+        .join(signatures, "node")
+        .join(texts, "node")
+        .repartition("band", "x", "y")
+        .sortWithinPartitions("band", "x", "y", "node")
+        .mapInPandas(_cross_links(words, percent), "a long, b long")
         .distinct()
     )
-    links = staged(_verified(staged(found, "first"), sets, percent), "links")
-    for best in (True, False):
-        parts = connected_components(links)
-        placed = staged(near.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        crossed = (
-            placed.join(mixed.select("band"), "band", "left_semi")
-            .join(fine, "node")
-            .withColumn("other", other)
-            .withColumn("x", F.least("own_block", "other"))
-            .withColumn("y", F.greatest("own_block", "other"))
-            .drop("other", "blocks")
-            .repartition("band", "x", "y")
-            .sortWithinPartitions("band", "x", "y", "node")
-            .mapInPandas(_cross_links(threshold, best), pairs)
-            .distinct()
-        )
-        links = links.union(staged(_verified(staged(crossed, "crossed"), sets, percent), "links"))
     # Texts of one id are one document.
-    ids = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("set_id").alias("node"))
-    ends = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    again = ids.join(ends.where("a < b"), "doc_id").select(F.col("node").alias("b"), "a").where("a <> b").select("a", "b")
-    parts = connected_components(links.union(again))
-
-    # What each set of several documents, or of a larger component, is called; copies may be many, so they are salted.
-    named = classes.join(parts, "node", "left").where("n > 1 OR component IS NOT NULL")
-    named = named.select("set_id", "rep", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("set_id", F.col("least").alias("component"))
-    out = salted_left_join(rows.select("doc_id", "n_shingles", "set_id"), named, "set_id", F.col("doc_id"))
+    ids = named.groupBy("doc_id", "sha").agg(F.lit(1).alias("one")).join(classes.select("sha", "node"), "sha")
+    ends = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    again = ids.join(ends, "doc_id").select("a", F.col("node").alias("b"))
+    links = staged(links.union(found).union(again), "all-links")
+    discard(placed, shared, texts)
+    parts = connected_components(links)
+
+    # What each class of several documents, or of a larger component, is called; copies may be many, so they are salted.
+    called = classes.join(parts, "node", "left").where("n > 1 OR component IS NOT NULL")
+    called = called.select("sha", F.coalesce("component", "node").alias("component"))
+    out = salted_left_join(rows.select("doc_id", "n_shingles", "sha"), called, "sha", F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )

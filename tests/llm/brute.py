@@ -44,6 +44,25 @@ def documents(seed=1):
     return [(i, t, r.choice(["en", None]), "s", len(t) if t else None, "x", 7, "c") for i, t in rows]
 
 
+def crowd(seed=5, n=150):
+    """Many near copies of one text around every threshold, and two texts whose long words collide under weak codes."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    base = [r.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(r.randint(1, 9)):
+            words[r.randrange(120)] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    tail = " ".join(r.choice(vocabulary) for _ in range(12))
+    texts += [f"{word} {tail}", f"{word.translate({97: 98, 98: 97})} {tail}"]
+    return [(1000 + i, t, "en", "s", len(t), "x", 7, "c") for i, t in enumerate(texts)]
+
+
 def frame(spark, rows=None, parts=3):
     return spark.createDataFrame(documents() if rows is None else rows, SCHEMA).repartition(parts)
 

@@ -101,12 +101,24 @@ def test_large_bands_are_cut_and_lose_no_link(spark, monkeypatch):
     assert all(r["component_id"] == want[r["doc_id"]] for r in got)
 
 
+def test_a_crowd_of_near_copies_loses_no_link(spark, monkeypatch):
+    """Similarities lie on both sides of the thresholds; the last two texts have long words that differ everywhere."""
+    rows = brute.crowd()
+    for words, percent, size in ((3, 85, 512), (3, 85, 16), (5, 80, 40)):
+        monkeypatch.setattr(near_dedup, "BAND_ROWS", size)
+        got = near_dedup.near_groups(brute.frame(spark, rows), words, percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == brute.components([(r[0], r[1]) for r in rows], words, percent)
+
+
 def test_sequential_pruning_keeps_pairs_at_the_threshold():
-    for bits, hashes in ((32, near_dedup.HASHES), (8, near_dedup.SKETCH)):
-        seen, least = map(np.array, zip(*near_dedup.prune_below(0.85, bits, hashes)))
-        assert seen[-1] == hashes and (np.diff(least) > 0).all()
-        assert (least < 0.85 * seen).all() and least[-1] > 0.6 * hashes
-    assert near_dedup.band_rows(0.85) == 5
+    seen, least = map(np.array, zip(*near_dedup.prune_below(0.85)))
+    assert seen[-1] == near_dedup.HASHES and (np.diff(least) > 0).all()
+    assert (least < 0.85 * seen).all() and least[-1] > 0.6 * near_dedup.HASHES
+    assert near_dedup.band_shape(0.85, near_dedup.HASHES) == (5, 25)
+    for hashes in (near_dedup.HASHES, near_dedup.STRICT_HASHES):
+        for threshold in (0.5, 0.8, 0.85, 0.95):
+            rows, bands = near_dedup.band_shape(threshold, hashes)
+            assert rows * bands <= hashes and (1 - threshold**rows) ** bands <= near_dedup.MISS_BAND
 
 
 def test_components(spark):
