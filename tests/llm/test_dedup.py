@@ -57,9 +57,33 @@ def test_substrings(spark):
     assert substring_dedup.substring_dedup(brute.empty(spark)).count() == 0
 
 
-def test_substring_factors():
-    found = np.array([0, 1, 1, 0, 0, 1, 0, 0], bool)
-    assert substring_dedup.factors(found, 3) == [(1, 5), (5, 8)]
+def test_substrings_of_a_crowd(spark, monkeypatch):
+    """Many documents with one text's passages, in few-row limits; long words whose weak codes would be equal."""
+    rows = [(r[0], r[1]) for r in brute.crowd(n=60)]
+    monkeypatch.setattr(substring_dedup, "CROWD", 1)
+    monkeypatch.setattr(substring_dedup, "REFERENCE_SEGMENTS", 2)
+    got = substring_dedup.substring_dedup(brute.frame(spark, brute.crowd(n=60))).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.removed_words(rows))
+
+
+def test_factors_carry_block_and_position_of_equal_words(spark):
+    docs = brute.frame(spark).select("doc_id", "text")
+    parsed = substring_dedup.parsed_rows(docs, 13, 7)
+    words = {r["row"]: r["text"].split() for r in parsed.where("text IS NOT NULL").collect()}
+    segments = substring_dedup.segments_of(parsed, 13)
+    found = substring_dedup.factored(docs, segments, 13).collect()
+    assert found and all(f["length"] >= 13 and f["position"] >= 0 for f in found)
+    texts = [(t or "").encode() for _, t in ((r[0], r[1]) for r in brute.documents())]
+    for f in found:
+        stretch = b" ".join(words[f["row"]][f["start"] : f["start"] + f["length"]])
+        assert any(stretch in b" ".join(t.split()) for t in texts)
+
+
+def test_greedy_factors_are_longest_and_checked_at_boundaries():
+    reference = b"a b c d e f x c d e g".split()
+    segment = b"a b c d e g h".split()
+    chains = [[i for i in range(len(reference)) if reference[i : i + 3] == segment[k : k + 3]] for k in range(5)]
+    assert substring_dedup.factors(segment, reference, chains, 3) == [(0, 5, 0), (3, 3, 8)]
 
 
 def test_substring_query(spark):
