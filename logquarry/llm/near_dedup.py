@@ -184,25 +184,43 @@ def _strict_bands(threshold: float, words: int):
     return bands
 
 
-def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of rows with one key, of a partition sorted by it. One run is held at a time."""
-    held: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of the runs of rows with one key, of a partition sorted by it. One run is held at a time."""
+    held = None
     for pdf in batches:
-        edge = np.flatnonzero((pdf[key] != pdf[key].shift()).any(axis=1).to_numpy())
-        if held and len(pdf) and (pdf[key].iloc[0] == held[-1][key].iloc[-1]).all():
-            edge = edge[1:]
-        for i, piece in enumerate(np.split(np.arange(len(pdf)), edge)):
-            if i and held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            if len(piece):
-                held.append(pdf.iloc[piece[0] : piece[-1] + 1])
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def _signatures(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), HASHES)
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        change = np.zeros(len(pdf), bool)
+        for k in key:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        edges = [*([0] if len(pdf) else []), *np.flatnonzero(change).tolist(), len(pdf)]
+        for a, b in zip(edges, edges[1:]):
+            piece = {c: v[a:b] for c, v in columns.items()}
+            if held is not None and all(held[k][-1] == piece[k][0] for k in key):
+                held = {c: np.concatenate([v, piece[c]]) for c, v in held.items()}
+            else:
+                if held is not None:
+                    yield held
+                held = piece
+    if held is not None:
+        yield held
+
+
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Links of many groups, some thousand at a time."""
+    heads, members, n = [], [], 0
+    for a, b in found:
+        heads.append(a)
+        members.append(b)
+        n += len(a)
+        if n > 10_000:
+            yield pd.DataFrame({"a": np.concatenate(heads), "b": np.concatenate(members)})
+            heads, members, n = [], [], 0
+    if n:
+        yield pd.DataFrame({"a": np.concatenate(heads), "b": np.concatenate(members)})
+
+
+def _signatures(rows: dict[str, np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
 
 
 def _central(sig: np.ndarray) -> int:
@@ -220,10 +238,10 @@ def _central(sig: np.ndarray) -> int:
 def _first_links(threshold: float):
     """Each member to the most central member that looks similar; at most one link a member of a band."""
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for rows in _groups(batches, ["band", "block"]):
-            ids, sig = rows["node"].to_numpy(np.int64), _signatures(rows)
-            left, scattered, heads, members = np.arange(len(ids)), False, [], []
+            ids, sig = rows["node"], _signatures(rows)
+            left, scattered = np.arange(len(ids)), False
             while len(left) > 1:
                 at = 0 if scattered else _central(sig[left])
                 head, left = left[at], np.delete(left, at)
@@ -231,21 +249,20 @@ def _first_links(threshold: float):
                 close = some[matches >= threshold * HASHES]
                 scattered = not len(close)
                 if len(close):
-                    heads.append(np.full(len(close), ids[head]))
-                    members.append(ids[left[close]])
+                    others = ids[left[close]]
+                    others = others[others != ids[head]]
+                    yield np.full(len(others), ids[head]), others
                     left = np.delete(left, close)
-            if heads:
-                yield pd.DataFrame({"a": np.concatenate(heads), "b": np.concatenate(members)}).query("a != b")
 
-    return link
+    return lambda batches: _pairs(links(batches))
 
 
 class _Tile:
     """Members of a band, with their sets, and which of their components are one by now."""
 
-    def __init__(self, rows: pd.DataFrame, words: int, percent: int):
+    def __init__(self, rows: dict[str, np.ndarray], words: int, percent: int):
         self.words, self.percent = words, percent
-        self.nodes = rows["node"].to_numpy(np.int64)
+        self.nodes = rows["node"]
         self.texts = [t.lower() for t in rows["text"]]
         self.signatures = _signatures(rows)
         sets = shingle_sets(self.texts, words)
@@ -253,7 +270,7 @@ class _Tile:
         self.start = np.cumsum(self.size) - self.size
         found, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(len(found), bool)
-        _, self.component = np.unique(rows["component"].to_numpy(np.int64), return_inverse=True)
+        _, self.component = np.unique(rows["component"], return_inverse=True)
         self.known: dict[int, set] = {}
 
     def _set(self, i: int) -> set:
@@ -290,21 +307,20 @@ class _Tile:
 def _cross_links(words: int, percent: int):
     """Links between the components that meet in a tile. y is the block that is compared with block x, or with itself."""
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for rows in _groups(batches, ["band", "x", "y"]):
-            block, y = rows["block"].to_numpy(), rows["y"].iloc[0]
-            asked, given = np.flatnonzero(block == y), np.flatnonzero(block != y)
-            if not len(asked) or rows["component"].nunique() < 2:
+            x, y = rows["x"][0], rows["y"][0]
+            asked, given = np.flatnonzero(rows["block"] == y), np.flatnonzero(rows["block"] != y)
+            if not len(asked) or (rows["component"] == rows["component"][0]).all():
                 continue
             tile = _Tile(rows, words, percent)
-            within = rows["x"].iloc[0] == y
             found = [
-                pair for k, i in enumerate(asked.tolist()) for pair in tile.links(i, asked[k + 1 :] if within else given)
+                pair for k, i in enumerate(asked.tolist()) for pair in tile.links(i, asked[k + 1 :] if x == y else given)
             ]
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+                yield tuple(np.array(found, np.int64).T)
 
-    return link
+    return lambda batches: _pairs(links(batches))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
