@@ -11,6 +11,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -46,8 +47,11 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}  # what stands after a space
         self.heads: dict[str, bytes] = {}  # what does not
-        if self.by_words:
-            (self.newline,) = np.frombuffer(self._packed("\n"), self.dtype)
+        # The library's model sees every byte as one printable character: itself, or the next free one from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(256 + i) for i, b in enumerate(others) if b != 10}
+        self.space = self.shown[32]
 
     def _packed(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -71,59 +75,72 @@ class TextEncoder:
         return out + self._joined(held)
 
     def _joined(self, texts: list[list[str]]) -> list[bytes]:
+        """Every occurrence is looked up once; what is not known yet is learnt and filled in."""
         if not texts:
             return []
         heads = [words[0] for words in texts]
-        new: set[str] = set()
+        flat: list[str] = []
+        ends = []
         for words in texts:
             words[0] = ""
-            new.update(words)
+            flat += words
+            ends.append(len(flat))
+        ids = list(map(self.words.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = {flat[i] for i in missing}
         if len(self.words) + len(new) > MEMO:
-            self.words = {w: ids for w in new if (ids := self.words.get(w)) is not None}
+            self.words = {w: x for w, x in zip(flat, ids) if x is not None}
         if len(self.heads) > MEMO:
             self.heads = {}
-        new.difference_update(self.words)
-        self._learn(new, set(heads))
-        get = self.words.__getitem__
-        return [self.heads[h] + b"".join(map(get, words)) for h, words in zip(heads, texts)]
+        self._learn(set(new), set(heads))
+        for i in missing:
+            ids[i] = self.words[flat[i]]
+        return [self.heads[h] + b"".join(ids[a:b]) for h, a, b in zip(heads, [0, *ends], ends)]
 
     def _learn(self, new: set[str], heads: set[str]) -> None:
         words, known = self.words, self.heads
         words[""] = known[""] = b""
-        mixed = [w for w in new if not w.isalpha()]
-        new.difference_update(mixed)
         new.discard("")
+        tailed: list[tuple[str, str, str]] = []
         composed: dict[str, list[tuple[bool, str]]] = {}
-        for w in mixed:
-            if w:
-                composed[w] = parts = _pre_tokens(w)
-                for spaced, p in parts:
-                    if not spaced:
-                        heads.add(p)
-                    elif p not in words and p != w:
-                        new.add(p)
-        self._encode_letters(list(new), " ", words)
+        for w in [w for w in new if not w.isalpha()]:
+            core = w.rstrip(_PUNCT)
+            if core.isalpha():
+                tailed.append((w, core, w[len(core) :]))
+            else:
+                composed[w] = _pre_tokens(w)
+        new.difference_update(composed)
+        for w, core, tail in tailed:
+            new.discard(w)
+            heads.add(tail)
+            if core not in words:
+                new.add(core)
+        for w, parts in composed.items():
+            for spaced, p in parts:
+                if not spaced:
+                    heads.add(p)
+                elif p not in words and p != w:
+                    new.add(p)
+        self._encode_letters(list(new), self.space, words)
         heads.difference_update(known)
         letters = [h for h in heads if h.isalpha()]
         self._encode_letters(letters, "", known)
         self._encode_each([h for h in heads if not h.isalpha() and h], "", known)
         self._encode_each([w for w, parts in composed.items() if parts == [(True, w)]], " ", words)
+        for w, core, tail in tailed:
+            words[w] = words[core] + known[tail]
         for w, parts in composed.items():
             if w not in words:
                 words[w] = b"".join([words[p] if spaced else known[p] for spaced, p in parts])
 
     def _encode_letters(self, words: list[str], before: str, memo: dict[str, bytes]) -> None:
-        """Words of letters alone, many to a call: a lone line break between them is a token that none of them holds."""
-        size = self.dtype.itemsize
-        for i in range(0, len(words), 1000):
-            group = words[i : i + 1000]
-            ids = np.array(self.library.encode(before + ("\n" + before).join(group), add_special_tokens=False).ids, self.dtype)
-            ends = (np.flatnonzero(ids == self.newline) * size).tolist()
-            ends.append(len(ids) * size)
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(group, ends, strict=True):
-                memo[w] = raw[at:end]
-                at = end + size
+        """Words of letters alone are one pre-token each, so the library's model gets them without its pre-tokenizer."""
+        if not words:
+            return
+        tokenize, code = self.library.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        shown = "\n".join(words).encode().decode("latin-1").translate(self.shown).split("\n")
+        for w, text in zip(words, shown, strict=True):
+            memo[w] = array(code, [t.id for t in tokenize(before + text)]).tobytes()
 
     def _encode_each(self, words: list[str], before: str, memo: dict[str, bytes]) -> None:
         for w, e in zip(words, self.library.encode_batch([before + w for w in words], add_special_tokens=False)):

@@ -2,7 +2,7 @@
 
 The pieces' lengths make a histogram of at most ``size`` bins, which alone reaches the driver. Every pattern of one, two
 or three lengths that fills a sequence exactly is a column of a non-negative least-squares fit to the histogram; the
-fitted repeat counts are rounded down, and what they leave is packed by best fit, longest first. The plan is a list of
+fitted repeat counts are rounded, and what they leave is packed by best fit, longest first. The plan is a list of
 (length, ordinals, sequence, offset) whose size depends on ``size`` alone; pieces get ordinals within their length and
 look their place up.
 
@@ -27,6 +27,8 @@ from logquarry.llm.common import staged, table
 SIZE = 1024
 #: Pieces of one length that one window task numbers, about.
 RUN_ROWS = 5_000
+#: Patterns that are fitted again, so that fewer repeats are lost to rounding.
+REFITTED = 8_192
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -50,6 +52,8 @@ def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
 def fit(columns: np.ndarray, histogram: np.ndarray, weights: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the weighted |columns x - histogram|^2, by accelerated projected gradients."""
     size = len(histogram)
+    if not len(columns):
+        return np.zeros(0)
 
     def served(x: np.ndarray) -> np.ndarray:
         return np.bincount(columns.ravel(), np.repeat(x, 3), minlength=size) * (np.arange(size) > 0)
@@ -72,17 +76,18 @@ def fit(columns: np.ndarray, histogram: np.ndarray, weights: np.ndarray, rounds:
 def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences), covering the histogram exactly.
 
-    Two fits are tried, of which one counts a long length left over as worse than a short one, and a plan of no patterns
-    whose residuals are everything; the plan with the fewest sequences is taken.
+    Two fits are made, of which one counts a long length left over as worse than a short one; the fitted patterns and
+    packed residuals with the fewest sequences are taken.
     """
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     columns = patterns(np.flatnonzero(counts), size)
-    plans = [_rounded(columns[:0], np.zeros(0), counts, size)]
-    if len(columns):
-        for weights in (np.ones(size + 1), (np.arange(size + 1) / size) ** 2 + 0.01):
-            plans.append(_rounded(columns, fit(columns, counts.astype(float), weights), counts, size))
+    plans = []
+    for weights in (np.ones(size + 1), np.arange(size + 1) / size + 0.001):
+        x = fit(columns, counts.astype(float), weights)
+        most = columns[np.argsort(-x, kind="stable")[:REFITTED]]
+        plans.append(_rounded(most, fit(most, counts.astype(float), weights), counts, size))
     return sorted(min(plans, key=lambda p: sum(p.values())).items(), reverse=True)
 
 

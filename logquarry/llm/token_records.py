@@ -1,20 +1,22 @@
-"""Token ids in length-delimited binary record files.
+"""Token ids in length-delimited binary record files with an offset index.
 
-A record file is a run of frames. A frame is: length of the payload (unsigned 64 bit, little-endian), masked CRC-32 of
-those eight bytes, the payload, masked CRC-32 of the payload; a mask is the CRC rotated right by 15 bits plus 0xa282ead8.
-A payload is one serialized sequence: flags (1 byte: 1 = null doc_id, 2 = 32-bit ids, 4 = ids packed by zstandard),
-doc_id (signed 64 bit), number of ids (unsigned 32 bit), ids. Beside NAME.rec stands NAME.idx, the unsigned 64-bit
-offset of each frame and the file's length, so that frames can be read in any order.
+A record file is a run of frames, each followed by a line feed. A frame is: length of the payload (unsigned 64 bit,
+little-endian), masked CRC-32 of those eight bytes, the payload, masked CRC-32 of the payload; a mask is the CRC rotated
+right by 15 bits plus 0xa282ead8. A payload is one serialized sequence: flags (1 byte: 1 = null doc_id, 2 = 32-bit ids,
+4 = ids packed by zstandard), doc_id (signed 64 bit), number of ids (unsigned 32 bit), ids.
 
-Files are written in ascending doc_id order, each under a name of its own first and then moved, so a task that is run
-again or twice leaves one whole file. Defined cases: a null text counts as empty, a null doc_id comes first, rows with
-one doc_id are ordered by their text's hash; an empty table gives no records; further columns play no part.
+Files stand under PATH/records in ascending doc_id order; PATH/index is a table (file_no, record_no, doc_id, offset,
+length, n_ids) of every frame, by which frames can be read in any order. Both are written and read by Spark's own writers
+and readers, so any file system that Spark knows will do, and a task that is run again or twice leaves one whole file.
+Files are cut by bytes of text, not by the number of tasks a session has.
+
+Defined cases: a null text counts as empty, a null doc_id comes first, rows with one doc_id are ordered by their text's
+hash; a very long text is one record; an empty table gives no records; further columns play no part.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.bpe import encoder
-from logquarry.llm.common import new_path, staged, table
+from logquarry.llm.common import new_path, table
 
-_HEAD = struct.Struct("<BqI")
-MANIFEST = "file_no int, path string, n_records long, n_ids long"
-READ_BYTES = 1 << 20
+_HEAD = "<BqI"
+_HEAD_BYTES = struct.calcsize(_HEAD)
+INDEX = "file_no int, record_no long, doc_id long, offset long, length long, n_ids long"
+#: Bytes of text whose ids one file holds, at most and, where there is less to do than tasks, at least.
+FILE_BYTES = 128 << 20
+SMALL_FILE_BYTES = 1 << 20
 
 
 def masked_crc(data: bytes) -> int:
@@ -57,109 +62,93 @@ def pack(doc_id: int | None, ids: bytes, item: int) -> bytes:
 
     small = zstandard.ZstdCompressor(level=1).compress(ids)
     flags = (doc_id is None) | 2 * (item == 4) | 4 * (len(small) < len(ids))
-    return _HEAD.pack(flags, doc_id or 0, len(ids) // item) + (small if flags & 4 else ids)
+    return struct.pack(_HEAD, flags, doc_id or 0, len(ids) // item) + (small if flags & 4 else ids)
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     import zstandard
 
-    flags, doc_id, n = _HEAD.unpack_from(payload)
-    raw, dtype = payload[_HEAD.size :], "<u4" if flags & 2 else "<u2"
+    flags, doc_id, n = struct.unpack_from(_HEAD, payload)
+    raw, dtype = payload[_HEAD_BYTES:], "<u4" if flags & 2 else "<u2"
     if flags & 4:
         raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=n * (4 if flags & 2 else 2))
     return None if flags & 1 else doc_id, np.frombuffer(raw, dtype, n)
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
+def _by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, no_id, text) dealt over one partition a file and sorted in it, ascending by doc_id over all."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text.alias("text")
+    ).withColumn("first", ~F.col("no_id"))
+    order = ["first", "doc_id", F.xxhash64("text")]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, -(-size // FILE_BYTES), min(tasks, size // SMALL_FILE_BYTES))
+    return rows.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("first")
 
-def write_records(docs: DataFrame, vocabulary_file: str, end_id: int, path: str) -> DataFrame:
-    """Write every text's ids and ``end_id`` under ``path``; (file_no, path, n_records, n_ids) for each file, in doc_id order."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def write_records(docs: DataFrame, vocabulary_file: str, end_id: int, path: str) -> None:
+    """Write every text's ids and ``end_id`` as records under ``path``, in doc_id order, and their index."""
 
-        no, enc = TaskContext.get().partitionId(), encoder(vocabulary_file)
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(vocabulary_file)
         item, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
-        out, n_ids, offsets, at = None, 0, [], 0
         for pdf in batches:
-            if out is None:
-                store, root = _open(path)
-                store.create_dir(root, recursive=True)
-                tag = f"{root}/.{no:06d}-{uuid.uuid4().hex}"
-                out = store.open_output_stream(f"{tag}.rec")
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                frames = []
-                for doc_id, missing, ids in zip(part["doc_id"], part["no_id"], enc.encode(part["text"])):
-                    ids += end
-                    frames.append(frame(pack(None if missing else int(doc_id), ids, item)))
-                    n_ids += len(ids) // item
-                    offsets.append(at)
-                    at += len(frames[-1])
-                out.write(b"".join(frames))
-        if out is None:
-            return
-        out.close()
-        with store.open_output_stream(f"{tag}.idx") as index:
-            index.write(np.array([*offsets, at], "<u8").tobytes())
-        final = f"{root}/{no:06d}"
-        store.move(f"{tag}.idx", f"{final}.idx")
-        store.move(f"{tag}.rec", f"{final}.rec")
-        yield pd.DataFrame([(no, f"{path}/{no:06d}.rec", len(offsets), n_ids)], columns=["file_no", "path", "n_records", "n_ids"])
+                coded = zip(part["doc_id"], part["no_id"], enc.encode(part["text"]))
+                made = [frame(pack(None if missing else int(i), ids + end, item)) for i, missing, ids in coded]
+                yield pd.DataFrame({"frame": made})
 
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text.alias("text")
-    ).withColumn("first", ~F.col("no_id"))
-    order = ["first", "doc_id", F.xxhash64("text")]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("first")
-    return staged(rows.mapInPandas(write, MANIFEST), "manifest")
+    # A string column of the text writer is written byte by byte as it is.
+    lines = _by_id(docs).mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    lines.write.option("lineSep", "\n").text(f"{path}/records")
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for no, content in zip(pdf["file_no"], pdf["content"]):
+                rows, at = [], 0
+                while at < len(content):
+                    (length,) = struct.unpack_from("<Q", content, at)
+                    flags, doc_id, n = struct.unpack_from(_HEAD, content, at + 12)
+                    rows.append((no, len(rows), None if flags & 1 else doc_id, at, length, n))
+                    at += length + 17
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
+                yield out.astype({"doc_id": "Int64"})
+
+    _contents(docs.sparkSession, path).mapInPandas(index, INDEX).write.parquet(f"{path}/index")
 
 
-def read_index(path: str) -> np.ndarray:
-    """Offsets of a record file's frames, and its length."""
-    store, root = _open(path.removesuffix(".rec") + ".idx")
-    with store.open_input_stream(root) as f:
-        return np.frombuffer(f.read(), "<u8")
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """(file_no, content) of the record files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
+    return files.select(F.regexp_extract("path", r"part-(\d+)[^/]*\z", 1).cast("int").alias("file_no"), "content")
 
 
-def read_record(path: str, offset: int) -> tuple[int | None, np.ndarray]:
-    """One record by its offset."""
-    store, root = _open(path)
-    with store.open_input_file(root) as f:
-        f.seek(int(offset))
-        return unpack(unframe(f.read))
+def records(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
+    """A file's records in order, every checksum checked."""
+    at = 0
 
+    def read(n: int) -> bytes:
+        nonlocal at
+        at += n
+        return content[at - n : at]
 
-def records(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
-    """A file's records in order, every checksum and offset checked."""
-    offsets = read_index(path)
-    store, root = _open(path)
-    with store.open_input_stream(root, buffer_size=READ_BYTES) as f:
-        at = 0
-        for want in offsets[:-1]:
-            if at != want:
-                raise ValueError("the index does not match the records")
-            payload = unframe(f.read)
-            at += 16 + len(payload)
-            yield unpack(payload)
-    if at != offsets[-1]:
-        raise ValueError("the index does not match the records")
+    while at < len(content):
+        yield unpack(unframe(read))
+        if read(1) != b"\n":
+            raise ValueError("a record's end is damaged")
 
 
-def read_back(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for every record of the files in ``manifest``."""
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) for every record of the files under ``path``, read in whole files."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, start in zip(pdf["path"], pdf["start"]):
+            for start, content in zip(pdf["start"], pdf["content"]):
                 rows = []
-                for doc_id, ids in records(path):
+                for doc_id, ids in records(content):
                     rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                     if len(rows) == 10_000:
@@ -167,10 +156,35 @@ def read_back(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield _table(rows)
 
+    # One row a file: what its files hold, in order.
+    sizes = spark.read.parquet(f"{path}/index").groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("file_no", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "file_no").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = sizes.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    contents = _contents(spark, path).join(starts, "file_no")
+    return contents.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(file_no, offset, doc_id, ids) of the frames ``wanted`` (file_no, offset), in any order: a read by the index."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for no, content, offsets in zip(pdf["file_no"], pdf["content"], pdf["offsets"]):
+                rows = []
+                for offset in offsets:
+                    at = int(offset)
+
+                    def take(n: int) -> bytes:
+                        nonlocal at
+                        at += n
+                        return content[at - n : at]
+
+                    doc_id, ids = unpack(unframe(take))
+                    rows.append((no, offset, doc_id, ids.astype("<u4").tobytes()))
+                yield pd.DataFrame(rows, columns=["file_no", "offset", "doc_id", "ids"]).astype({"doc_id": "Int64"})
+
+    asked = wanted.groupBy("file_no").agg(F.collect_list("offset").alias("offsets"))
+    return _contents(spark, path).join(asked, "file_no").mapInPandas(read, "file_no int, offset long, doc_id long, ids binary")
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
@@ -181,5 +195,6 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return read_back(write_records(table(spark, sf_dir, "documents"), vocabulary, 0, new_path(spark, "records")))
+    path = new_path(spark, "records")
+    write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, path)
+    return read_back(spark, path)
