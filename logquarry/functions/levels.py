@@ -58,7 +58,8 @@ _S = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _LEADING_TIME = (
     r"^\[?\d{4}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?\]?[\t ]+(?:(?:stdout|stderr) [FP] )?"
 )
-# Formats that name the level in their own way, in the order they are tried.
+# Formats that name the level in their own way, in the order they are tried; what a line must hold to be of
+# one, where that is quicker to look for.
 _SHAPES = (
     (r"^([IWEF])\d{4} \d\d:\d\d:\d\d\.\d{6}\s", {"I": "INFO", "W": "WARN", "E": "ERROR", "F": "ERROR"}),
     (
@@ -66,7 +67,7 @@ _SHAPES = (
         {"VRB": "TRACE", "DBG": "DEBUG", "INF": "INFO", "WRN": "WARN", "ERR": "ERROR", "FTL": "ERROR"},
     ),
     (rf"(?:^|\s)[\w-]+\.({_WORDS}):", ALIASES),
-    (r"\[(alert)\] \d+#\d+: ", SYSLOG_NAMES),
+    (r"\[(alert)\] \d+#\d+: ", SYSLOG_NAMES, "[alert] "),
     (r"\[[\w-]+:(emerg|alert|crit|error|warn|notice|info|debug|trace)\d?\]", SYSLOG_NAMES),
     (
         r"^\d+:[XCSM] \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d\.\d{3} ([.\-*#]) ",
@@ -87,8 +88,9 @@ _SHAPES = (
             "Deprecated": "WARN",
             "Notice": "INFO",
         },
+        "PHP ",
     ),
-    (r"(?:^|\s)(LOG): {2}", {"LOG": "INFO"}),
+    (r"(?:^|\s)(LOG): {2}", {"LOG": "INFO"}, "LOG:  "),
     (r"^\d+ \[(Note|System)\] ", {"Note": "INFO", "System": "INFO"}),
 )
 # Where a level word counts as one, and what else tells a level.
@@ -151,7 +153,9 @@ def _level(head: Column, message: Column, request: Column, own: dict[str, str])
             _found(head, r"(?iu)(?<![A-Za-z0-9_])level[\"']?\s*[=:]\s*[\"']?([\w.-]+)"),
         )
         steps.append(named(F.lower(word), {w.lower(): v for w, v in own.items()}))
-    steps += [named(_found(message, regex), table) for regex, table in _SHAPES]
+    for regex, table, *needed in _SHAPES:
+        shape = named(_found(message, regex), table)
+        steps.append(F.when(message.contains(needed[0]), shape) if needed else shape)
     word = F.coalesce(
         _found(head, _UPPER), *[_found(head, r) for r in _CONTEXT], *[_found(message, r) for r in _START]
     )

@@ -28,6 +28,11 @@ PATTERNS = (
     rf"(?i)((?<![A-Za-z0-9]){_NAME}[\"']?\s*[:=]\s*')" + _PLACEHOLDER + r"(?:[^'\\]|\\.){4,}(')",
     rf"(?i)((?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*{_NAME}\s*[:=]\s*)(?![\"'])" + _PLACEHOLDER + r"[^\s\"'&}]{4,}",
 )
+# What a text, in lower case, must hold for the pattern at the same place to match.
+_HINTS = (
+    ("akia", "asia"), ("gh",), ("github_pat_",), ("glpat-",), ("xox",), ("k_live_", "k_test_"), ("aiza",), ("eyj",), ("://",),
+    ("authorization",), *[("password", "passwd", "pwd", "secret", "key", "token")] * 3,
+)
 PEM_BEGIN = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
 PEM_END = r"-----END (?:[A-Z]+ )*PRIVATE KEY-----"
 
@@ -41,12 +46,28 @@ def _own(patterns: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def has_secret(text: Column, own: tuple[str, ...] = ()) -> Column:
-    out = text.rlike(PEM_BEGIN)
-    for regex in (*PATTERNS, *_own(own)):
+    low = F.lower(text)
+    out = text.contains("-----BEGIN") & text.rlike(PEM_BEGIN)
+    for hints, group in _by_hints():
+        some = low.contains(hints[0])
+        for hint in hints[1:]:
+            some = some | low.contains(hint)
+        found = text.rlike(group[0])
+        for regex in group[1:]:
+            found = found | text.rlike(regex)
+        out = out | (some & found)
+    for regex in _own(own):
         out = out | text.rlike(regex)
     return out
 
 
+def _by_hints() -> list[tuple[tuple[str, ...], list[str]]]:
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for hints, regex in zip(_HINTS, PATTERNS, strict=True):
+        groups.setdefault(hints, []).append(regex)
+    return list(groups.items())
+
+
 def mask_secrets(text: Column, own: tuple[str, ...] = ()) -> Column:
     """Every secret as a fixed mask, whatever its length; public prefixes stay."""
     for regex in PATTERNS:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from logquarry.functions.fields import field, line_keys, numeric, whole_token
 from logquarry.functions.levels import LEVELS
 from logquarry.functions.text import TRACE_HEX, UUID, signature, trim, without_source
-from logquarry.operators.ordered import carry, with_row
+from logquarry.operators.ordered import global_running, carry, with_row
+from logquarry.staging import settled
 
 FRAMES = 3
 # Names of fields that hold an id, and the columns a table starts with.
@@ -79,25 +80,27 @@ def numeric_stats(df: DataFrame, key: str) -> DataFrame:
     """One row (count, min, median, p95, p99, max, duration) by nearest rank; none for text or under two numbers."""
     v = _values(df, key).withColumn("n", numeric(F.col("value")))
     unit = F.col("n").isNotNull() & trim(F.col("value")).rlike(r"(?i)[a-zµ]\z")
+    # One row a distinct value; ranks are sums of their counts, so no task sorts all values.
+    counted = settled(v.groupBy("n").agg(F.count("*").alias("times"), F.bool_or(unit).alias("unit")), "values")
+    known = F.col("n").isNotNull()
+    whole = counted.agg(
+        F.sum("times").alias("total"), F.coalesce(F.sum(F.when(known, F.col("times"))), F.lit(0)).alias("count"), F.bool_or("unit").alias("duration")
+    )
+    ranked = with_row(global_running(counted.where(known), ["n"], F.col("times"), "below"), whole)
 
     def rank(p: float, name: str) -> Column:
-        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n)").alias(name)
-
-    out = v.agg(
-        F.count("*").alias("total"),
-        F.count("n").alias("count"),
-        F.min("n").alias("min"),
-        rank(0.5, "median"),
-        rank(0.95, "p95"),
-        rank(0.99, "p99"),
-        F.max("n").alias("max"),
-        F.bool_or(unit).alias("duration"),
+        reached = F.col("below") + F.col("times") >= F.greatest(F.lit(1), F.ceil(F.col("count") * p))
+        return F.min(F.when(reached, F.col("n"))).alias(name)
+
+    out = ranked.groupBy("total", "count", "duration").agg(
+        F.min("n").alias("min"), rank(0.5, "median"), rank(0.95, "p95"), rank(0.99, "p99"), F.max("n").alias("max")
     )
-    return out.where((F.col("count") >= 2) & (F.col("count") >= F.col("total") * 0.8)).drop("total")
+    out = out.where((F.col("count") >= 2) & (F.col("count") >= F.col("total") * 0.8))
+    return out.select("count", "min", "median", "p95", "p99", "max", "duration")
 
 
-def error_groups(df: DataFrame) -> DataFrame:
-    """(key, sample, count, lines, sources, first, last): ERROR entries that are the same error.
+def error_entries(df: DataFrame) -> DataFrame:
+    """(key, file_id, at, sample, source, time): ERROR entries and what makes them the same error.
 
     The key is the head's signature and those of its first frames. An entry is at most four short rows here, so grouping
     entries moves no whole trace.
@@ -114,14 +117,18 @@ def error_groups(df: DataFrame) -> DataFrame:
         F.max(F.when(head, F.col("time"))).alias("time"),
     )
     key = F.array_join(F.transform("sigs", lambda s: s["sig"]), "\n")
+    return entries.select(key.alias("key"), "file_id", "at", "sample", "source", "time")
+
+
+def error_groups(df: DataFrame) -> DataFrame:
+    """(key, sample, count, first_line, sources, first, last): the groups of ``error_entries``."""
     place = F.struct("file_id", "at")
     # Sources in the order they were first seen: one row a source and group, then one a group.
     by_source = (
-        entries.select(key.alias("key"), "file_id", "at", "sample", "source", "time")
+        error_entries(df)
         .groupBy("key", "source")
         .agg(
             F.count("*").alias("n"),
-            F.collect_list("at").alias("lines"),
             F.min(F.struct(place.alias("place"), "sample")).alias("head"),
             F.min("time").alias("first"),
             F.max("time").alias("last"),
@@ -131,7 +138,7 @@ def error_groups(df: DataFrame) -> DataFrame:
     return by_source.groupBy("key").agg(
         F.min("head")["sample"].alias("sample"),
         F.sum("n").alias("count"),
-        F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"),
+        F.min("head")["place"]["at"].alias("first_line"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), seen))), lambda s: s["source"]).alias("sources"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
@@ -140,7 +147,7 @@ def error_groups(df: DataFrame) -> DataFrame:
 
 def sorted_groups(groups: DataFrame, order: str = "count") -> DataFrame:
     """Largest first, or in the order they first happened: by time where every group has one, else by line."""
-    line = F.get("lines", F.lit(0))
+    line = F.col("first_line")
     if order == "count":
         return groups.orderBy(F.desc("count"), line)
     untimed = groups.agg(F.count_if(F.col("first").isNull()).alias("untimed"))
@@ -150,8 +157,8 @@ def sorted_groups(groups: DataFrame, order: str = "count") -> DataFrame:
 
 def group_lines(df: DataFrame, groups: DataFrame) -> DataFrame:
     """The entries of error groups, with their continuation lines."""
-    heads = groups.select(F.explode("lines").alias("entry_id")).distinct()
-    return df.join(heads, "entry_id", "left_semi")
+    heads = error_entries(df).join(groups.select("key"), "key", "left_semi")
+    return df.join(heads.select("file_id", F.col("at").alias("entry_id")), ["file_id", "entry_id"], "left_semi")
 
 
 def error_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -168,23 +175,25 @@ def error_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def collapse_repeats(df: DataFrame) -> DataFrame:
     """Runs of equal entries as their first entry; ``repeat`` on its head says how many there were."""
-    start = ~F.col("continuation") | F.col("seen").isNull()
-    df = carry(df, {"seen": (F.lit(True), False)})
-    df = carry(df.withColumn("starts", start), {"entry": (F.when(F.col("starts"), F.col("number")), True)})
+    df = carry(df, {"entry": (F.when(~F.col("continuation"), F.col("number")), True)})
+    df = df.withColumn("entry", F.coalesce("entry", F.lit(0)))  # 0: lines before any head are an entry as well
     lines = F.collect_list(F.struct("number", signature(F.col("text")).alias("sig")))
     keys = ["file_id", *(["chunk"] if "chunk" in df.columns else [])]
-    entries = df.groupBy("file_id", "entry").agg(F.array_sort(lines).alias("sigs"), *[F.min(k).alias(k) for k in keys[1:]])
-    entries = entries.select(*keys, F.col("entry").alias("number"), F.sha2(F.array_join(F.transform("sigs", lambda s: s["sig"]), "\n"), 256).alias("sig"))
+    entries = df.groupBy("file_id", "entry").agg(
+        F.array_sort(lines).alias("sigs"), F.min("number").alias("number"), *[F.min(k).alias(k) for k in keys[1:]]
+    )
+    sig = F.sha2(F.array_join(F.transform("sigs", lambda s: s["sig"]), "\n"), 256).alias("sig")
+    entries = settled(entries.select(*keys, "entry", "number", sig), "entries")
     entries = carry(entries, {"sig_before": (F.col("sig"), False)})
     new = F.coalesce(F.col("sig") != F.col("sig_before"), F.lit(True))
     entries = carry(entries, {"run": (F.when(new, F.col("number")), True)})
-    runs = entries.groupBy("file_id", "run").agg(F.count("*").alias("repeat")).withColumnRenamed("run", "entry")
+    runs = entries.groupBy("file_id", "run").agg(F.count("*").alias("repeat"), F.min_by("entry", "number").alias("entry"))
     out = df.join(runs, ["file_id", "entry"])
-    return out.withColumn("repeat", F.when(F.col("starts"), F.col("repeat")).otherwise(1)).drop("seen", "starts", "entry")
+    return out.withColumn("repeat", F.when(F.col("number") == F.col("run"), F.col("repeat")).otherwise(1)).drop("run", "entry")
 
 
 def sections(df: DataFrame) -> DataFrame:
-    """(file_id, title, start, end, errors): the sections of a build log; a new one ends the one before."""
+    """(file_id, start, title, end, errors, lines): the sections of a build log; a new one ends the one before."""
     rest = without_source(F.col("text"))
     df = df.withColumns({"is_start": rest.rlike(SECTION_START), "is_end": rest.rlike(SECTION_END) & ~rest.rlike(SECTION_START)})
     df = carry(
@@ -198,7 +207,10 @@ def sections(df: DataFrame) -> DataFrame:
     error = (F.col("level") == "ERROR") & ~F.col("continuation") & ~F.col("is_start")
     title = F.when(F.col("is_start"), trim(F.regexp_extract(rest, SECTION_START, 1)))
     return df.where(member).groupBy("file_id", "start").agg(
-        F.max(title).alias("title"), F.max("number").alias("end"), F.count_if(error).alias("errors")
+        F.max(title).alias("title"),
+        F.max("number").alias("end"),
+        F.count_if(error).alias("errors"),
+        F.count("*").alias("lines"),
     )
 
 
@@ -272,7 +284,7 @@ def minimap(df: DataFrame, rows: int) -> DataFrame:
     """(row, marks): for each of ``rows`` slices of the log, 1 for warnings, 2 for errors, OR-ed."""
     bits = F.when(F.col("level") == "ERROR", 2).when(F.col("level") == "WARN", 1).otherwise(0)
     total = df.groupBy("file_id").agg(F.max("number").alias("n"))
-    out = df.join(F.broadcast(total), "file_id").withColumn("row", F.floor((F.col("number") - 1) / F.col("n") * rows))
+    out = df.join(total, "file_id").withColumn("row", F.floor((F.col("number") - 1) / F.col("n") * rows))
     return out.groupBy("file_id", "row").agg(F.bit_or(bits).alias("marks")).where("marks > 0")
 
 

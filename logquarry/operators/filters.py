@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logquarry.functions.fields import meets, mentions
 from logquarry.functions.regex_risk import regex_risk
 from logquarry.functions.text import kind
-from logquarry.operators.ordered import carry, running_count
+from logquarry.operators.ordered import carry, with_hits
 from logquarry.operators.parse import with_timed_entries
 from logquarry.plans.search import Condition
 
@@ -94,16 +94,14 @@ def with_context(df: DataFrame, match: Column, context: int = 0) -> DataFrame:
     """
     if context <= 0:
         return df.where(match).withColumns({"is_context": F.lit(False), "gap_above": F.lit(False)})
-    df = running_count(df.withColumn("is_match", F.coalesce(match, F.lit(False))), "place", F.lit(True))
-    hit = F.when(F.col("is_match"), F.col("place"))
-    df = carry(df, {"hit_before": (hit, True)})
-    df = carry(df, {"hit_after": (hit, True)}, backward=True)
-    near = (F.col("place") - F.col("hit_before") <= context) | (F.col("hit_after") - F.col("place") <= context)
-    df = df.where(near)
-    df = carry(df, {"shown_before": (F.col("place"), False)})
-    gap = F.coalesce(F.col("place") - F.col("shown_before") > 1, F.lit(False))
+    df = with_hits(df, match)
+    since, until = F.col("place") - F.col("hit_before"), F.col("hit_after") - F.col("place")
+    df = df.where((since <= context) | (until <= context))
+    # The line above is shown if a hit is near it in turn; without a hit before it, no line is shown above a gap.
+    above = F.coalesce((since - 1 <= context) | (until + 1 <= context), F.lit(False))
+    gap = F.col("hit_before").isNotNull() & ~above
     return df.withColumns({"is_context": ~F.col("is_match"), "gap_above": gap}).drop(
-        "is_match", "place", "hit_before", "hit_after", "shown_before"
+        "is_match", "place", "hit_before", "hit_after"
     )
 
 

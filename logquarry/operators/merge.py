@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.operators.ordered import running_max, with_row
-from logquarry.staging import settled
+from logquarry.operators.ordered import global_running, running_max, with_row
 
 
 def merged(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -31,22 +30,14 @@ def untimed(df: DataFrame) -> DataFrame:
     return df.groupBy("file_id").agg(F.count("time").alias("n")).where("n = 0").select("file_id")
 
 
-def renumbered(merged_lines: DataFrame, name: str = "merged") -> DataFrame:
-    """Merged lines as raw lines of one file.
+def placed(merged_lines: DataFrame) -> DataFrame:
+    """Merged lines with their place in the whole, from 1."""
+    out = global_running(merged_lines, ["merge_key", "file_idx", "number"], F.lit(1), "place")
+    return out.withColumn("place", (F.col("place") + 1).cast("long"))
 
-    Lines are dealt by merge key over ordered partitions; each is numbered in its own, after what the ones before hold.
-    """
-    n = int(merged_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["merge_key", "file_idx", "number"]
-    df = merged_lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    df = df.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
-    df = settled(df, "merged")
-    parts = df.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("part", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return df.join(F.broadcast(parts), "part").select(
-        F.lit(name).alias("file_id"),
-        F.lit(0).alias("file_idx"),
-        (F.col("row") - F.col("first") + F.col("before") + 1).alias("number"),
-        "raw",
+
+def renumbered(merged_lines: DataFrame, name: str = "merged") -> DataFrame:
+    """Merged lines as raw lines of one file."""
+    return placed(merged_lines).select(
+        F.lit(name).alias("file_id"), F.lit(0).alias("file_idx"), F.col("place").alias("number"), "raw"
     )

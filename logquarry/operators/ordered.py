@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logquarry.staging import settled
+
 CHUNK = "chunk"
 
 
@@ -77,6 +79,84 @@ def running_max(df: DataFrame, name: str, value: Column, order: str = "number")
     return out
 
 
+def steps_down(df: DataFrame, name: str, value: str, least: int) -> DataFrame:
+    """``df`` with how often, up to a row, the column ``value`` fell by more than ``least`` from one non-null to the next."""
+    keys = ["file_id", CHUNK] if CHUNK in df.columns else ["file_id"]
+    rows = Window.partitionBy(*keys).orderBy("number")
+    df = df.withColumn("value_before", F.last(value, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1)))
+    down = F.when(F.col("value_before") - F.col(value) > least, 1).otherwise(0)
+    out = df.withColumn(name, F.sum(down).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    if CHUNK in df.columns:
+        at = F.when(F.col(value).isNotNull(), F.col("number"))
+        state = df.groupBy(*keys).agg(
+            F.min(at).alias("first_at"),
+            F.min_by(value, at).alias("first"),
+            F.max_by(value, at).alias("last"),
+            F.sum(down).alias("n"),
+        )
+        runs = Window.partitionBy("file_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        entered = F.when(F.last("last", ignorenulls=True).over(runs) - F.col("first") > least, 1).otherwise(0)
+        state = state.withColumn("entered", entered)
+        state = state.select(
+            *keys, "first_at", "entered", F.coalesce(F.sum(F.col("n") + F.col("entered")).over(runs), F.lit(0)).alias("n_before")
+        )
+        inside = F.when(F.col("number") >= F.col("first_at"), F.col("entered")).otherwise(0)
+        out = out.join(state, keys).withColumn(name, F.col(name) + F.col("n_before") + inside)
+        out = out.drop("first_at", "entered", "n_before")
+    return out.drop("value_before")
+
+
+def with_hits(df: DataFrame, match: Column) -> DataFrame:
+    """``df`` with is_match, place (the row's number among those given), and the places of the last matching row before
+    it and of the next one from it on."""
+    keys = ["file_id", CHUNK] if CHUNK in df.columns else ["file_id"]
+    rows, back = Window.partitionBy(*keys).orderBy("number"), Window.partitionBy(*keys).orderBy(F.desc("number"))
+    df = df.withColumn("is_match", F.coalesce(match, F.lit(False))).withColumn("place", F.row_number().over(rows).cast("long"))
+    hit = F.when(F.col("is_match"), F.col("place"))
+    out = df.withColumns(
+        {
+            "hit_before": F.max(hit).over(rows.rowsBetween(Window.unboundedPreceding, -1)),
+            "hit_after": F.min(hit).over(back.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    if CHUNK in df.columns:
+        state = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(hit).alias("last"), F.min(hit).alias("first"))
+        above = Window.partitionBy("file_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        below = Window.partitionBy("file_id").orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+        state = state.withColumn("start", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        state = state.select(
+            *keys,
+            "start",
+            F.max(F.col("start") + F.col("last")).over(above).alias("last_above"),
+            F.min(F.col("start") + F.col("first")).over(below).alias("first_below"),
+        )
+        out = out.join(state, keys).withColumns(
+            {
+                "place": F.col("place") + F.col("start"),
+                "hit_before": F.coalesce(F.col("hit_before") + F.col("start"), "last_above"),
+                "hit_after": F.coalesce(F.col("hit_after") + F.col("start"), "first_below"),
+            }
+        )
+        out = out.drop("start", "last_above", "first_below")
+    return out
+
+
+def global_running(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before each, in the order of ``order``, whole numbers only.
+
+    Rows are dealt over ordered partitions; each sums up its own, after what the partitions before it hold.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn(name, amount).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    df = settled(df.withColumn("part", F.spark_partition_id()), "ordered")
+    rows = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("part").agg(F.sum(name).alias("held"))
+    before = F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum(name).over(rows), F.lit(0))
+    return df.withColumn(name, own).join(parts, "part").withColumn(name, F.col(name) + F.col("before")).drop("part", "before")
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """``df`` with the columns of a table of one row at most, which goes to every task; without it, no rows."""
     return df.withColumn("one_row", F.lit(1)).join(F.broadcast(row.withColumn("one_row", F.lit(1))), "one_row").drop("one_row")

@@ -7,7 +7,7 @@ A JSON record over several lines is not joined: its lines are ordinary lines (se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.levels import detect_level, usable_levels
@@ -15,7 +15,7 @@ from logquarry.functions.records import json_record
 from logquarry.functions.secrets import PEM_BEGIN, PEM_END, has_secret
 from logquarry.functions.text import split_source, strip_ansi
 from logquarry.functions.times import DAY_MS, parse_timestamp, time_of_day
-from logquarry.operators.ordered import CHUNK, carry, running_count, with_chunks
+from logquarry.operators.ordered import CHUNK, carry, steps_down, with_chunks
 from logquarry.options import ParseOptions
 from logquarry.staging import settled
 
@@ -81,7 +81,10 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
     ``timed_entry_id`` the same where lines without a time belong to the timed entry above, ``entry_time`` the last time.
     """
     chunked = options.chunk_lines > 0
-    df = _classified(with_chunks(lines, options.chunk_lines), options)
+    df = with_chunks(lines, options.chunk_lines)
+    if chunked:  # A chunk's lines meet before they are read, so reading them is dealt over as many tasks as what follows.
+        df = df.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", CHUNK)
+    df = _classified(df, options)
     df = settled(df, "classified") if chunked else df
     df = carry(df, {"in_key": (F.col("key_marker"), False)}).withColumn("in_key", F.coalesce("in_key", F.lit(False)))
     inside = F.col("in_key")
@@ -98,17 +101,15 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
     )
     head = ~F.col("continuation")
     df = df.withColumn("clock", F.when(head & F.col("full_time").isNull(), F.col("clock")))
-    df = carry(df, {"last_clock": (F.col("clock"), False)})
-    df = running_count(df, "days", F.col("last_clock") - F.col("clock") > DAY_MS // 2)
+    df = steps_down(df, "days", "clock", DAY_MS // 2)
     day = (F.lit(options.base_day).cast("long") + F.col("days")) * DAY_MS
     df = df.withColumns(
         {
             "own_level": F.when(head, F.col("own_level")),
             "time": F.when(head, F.coalesce("full_time", day + F.col("clock"))),
         }
-    ).drop("plain", "key_marker", "in_key", "continues", "clock", "last_clock", "days", "full_time")
+    ).drop("plain", "key_marker", "in_key", "continues", "clock", "days", "full_time")
     df = settled(df, "timed") if chunked else df
-    df = _with_first_timed(df)
 
     told = head & (F.col("own_level").isNotNull() | F.col("time").isNotNull())
     at = F.col("number").alias("at")
@@ -124,7 +125,7 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
             "last_time": (F.col("time"), False),
             "entry_time": (F.col("time"), True),
             "entry_id": (F.when(head, F.col("number")), True),
-            "timed_entry_id": (F.when(starts_timed_entry(), F.col("number")), True),
+            "timed_at": (F.when(head & F.col("time").isNotNull(), F.col("number")), True),
         },
     )
     thrown = F.col("exception_at").isNotNull() & (
@@ -135,27 +136,23 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
             "level": F.coalesce("level_set.level", F.when(thrown, "ERROR")),
             "gap": F.col("time") - F.col("last_time"),
             "entry_id": F.coalesce("entry_id", F.lit(0)),
-            "timed_entry_id": F.coalesce("timed_entry_id", F.lit(0)),
+            "timed_entry_id": F.coalesce("timed_at", "entry_id", F.lit(0)),
         }
     )
     return df.select(*COLUMNS, *([CHUNK] if chunked else []))
 
 
-def starts_timed_entry() -> Column:
-    """A head starts a timed entry if it has a time, or if no timed head came before it."""
-    before = F.col("first_timed").isNull() | (F.col("first_timed") >= F.col("number"))
-    return ~F.col("continuation") & (F.col("time").isNotNull() | before)
-
-
-def _with_first_timed(df: DataFrame) -> DataFrame:
-    """With the number of each file's first timed head: later heads without a time belong to the entry above."""
-    first = F.min(F.when(~F.col("continuation") & F.col("time").isNotNull(), F.col("number")))
-    if CHUNK in df.columns:
-        return df.join(F.broadcast(df.groupBy("file_id").agg(first.alias("first_timed"))), "file_id")
-    return df.withColumn("first_timed", first.over(Window.partitionBy("file_id")))
-
-
 def with_timed_entries(df: DataFrame) -> DataFrame:
-    """timed_entry_id anew, for a line table of which lines were left out."""
-    df = carry(_with_first_timed(df), {"timed_entry_id": (F.when(starts_timed_entry(), F.col("number")), True)})
-    return df.withColumn("timed_entry_id", F.coalesce("timed_entry_id", F.lit(0))).drop("first_timed")
+    """timed_entry_id anew, for a line table of which lines were left out.
+
+    Heads without a time belong to the timed entry above; only where there is none yet do they start one.
+    """
+    head = ~F.col("continuation")
+    df = carry(
+        df,
+        {
+            "timed_at": (F.when(head & F.col("time").isNotNull(), F.col("number")), True),
+            "head_at": (F.when(head, F.col("number")), True),
+        },
+    )
+    return df.withColumn("timed_entry_id", F.coalesce("timed_at", "head_at", F.lit(0))).drop("timed_at", "head_at")

@@ -18,8 +18,10 @@ from logquarry.functions.secrets import has_secret, mask_secrets
 from logquarry.operators import aggregates as agg
 from logquarry.operators import filters, sinks
 from logquarry.operators.diff import line_changes
-from logquarry.operators.merge import merged
+from logquarry.operators.merge import merged, placed
+from logquarry.operators.ordered import running_count, with_chunks
 from logquarry.operators.parse import parse
+from logquarry.options import ParseOptions
 from logquarry.plans.search import field_conditions
 from logquarry.plans.view import View, apply_view
 
@@ -52,11 +54,10 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their line number; event_id counts from 0 or 1 without gaps, so no row is moved to number them."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    low = events.agg(F.min("event_id").alias("low"))
-    events = events.withColumn("one", F.lit(1)).join(F.broadcast(low.withColumn("one", F.lit(1))), "one")
+    low = events.agg(F.min("event_id")).scalar()
     return events.withColumns(
         {
-            "number": F.col("event_id") - F.col("low") + 1,
+            "number": F.col("event_id") - low + 1,
             "k": F.get_json_object("props", "$.k"),
             "level": F.try_element_at(F.create_map(*[F.lit(x) for kv in _LEVELS.items() for x in kv]), F.col("event_type")),
         }
@@ -234,7 +235,7 @@ def numeric_stats(spark, sf_dir):
 SELECT key, count(*) AS count, min(head_line) AS first_line, min(ms) AS first, max(ms) AS last FROM g GROUP BY key""")
 def error_groups(spark, sf_dir):
     g = agg.error_groups(_stack(spark, sf_dir))
-    return g.select("key", "count", F.get("lines", F.lit(0)).alias("first_line"), "first", "last")
+    return g.select("key", "count", "first_line", "first", "last")
 
 
 @_query("log_kinds", """WITH {EV} SELECT level || '  ' || level || ' [] ' || event_type || ' user_id=# k=# value=#.#' AS kind,
@@ -276,24 +277,21 @@ def line_ids(spark, sf_dir):
 m AS (SELECT *, max(ms) OVER (PARTITION BY file_idx ORDER BY line) AS merge_key FROM f)
 SELECT CAST(row_number() OVER (ORDER BY merge_key, file_idx, line) AS BIGINT) AS place, CAST(file_idx AS INTEGER) AS file_idx, line AS number FROM m""")
 def merge_files(spark, sf_dir):
-    from pyspark.sql import Window
-
     events = _events(spark, sf_dir).withColumn("file", (F.col("user_id") % 2).cast("int"))
-    raw = events.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("number")))
+    events = events.withColumn("file_id", F.concat(F.lit("f"), F.col("file").cast("string"), F.lit(".log")))
+    raw = running_count(with_chunks(events, ParseOptions().chunk_lines), "line", F.lit(True))
     lines = raw.select(
-        F.concat(F.lit("f"), F.col("file").cast("string"), F.lit(".log")).alias("file_id"),
+        "file_id",
         F.col("file").alias("file_idx"),
         F.col("line").cast("long").alias("number"),
         _plain_text().alias("raw"),
     )
     labels = spark.createDataFrame([("f0.log", "f0.log"), ("f1.log", "f1.log")], "file_id string, label string")
-    out = merged(parse(lines), labels)
-    place = F.row_number().over(Window.orderBy("merge_key", "file_idx", "number")).cast("long")
-    return out.select(place.alias("place"), "file_idx", "number")
+    return placed(merged(parse(lines), labels)).select("place", "file_idx", "number")
 
 
 @_query("log_error_diff", """WITH {EV}, g AS (SELECT DISTINCT number <= (SELECT count(*) FROM ev) // 2 AS early,
-  user_id AS u FROM ev WHERE level = 'ERROR' AND (value > 190 OR number % 2 = 0)),
+  user_id AS u FROM ev WHERE level = 'ERROR'),
 b AS (SELECT u FROM g WHERE early), a AS (SELECT u FROM g WHERE NOT early)
 SELECT change, count(*) AS kinds FROM (
   SELECT 'added' AS change FROM a WHERE u NOT IN (SELECT u FROM b)
@@ -302,11 +300,10 @@ SELECT change, count(*) AS kinds FROM (
 def error_diff(spark, sf_dir):
     """The kind of an error is a word made of its user."""
     events = _events(spark, sf_dir).where("level = 'ERROR'")
-    half = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.floor(F.count("*") / 2).alias("half"))
-    events = events.drop("one").withColumn("one", F.lit(1)).join(F.broadcast(half.withColumn("one", F.lit(1))), "one")
+    half = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.floor(F.count("*") / 2)).scalar()
     letter = F.translate(F.col("user_id").cast("string"), "0123456789", "ghijklmnop")
     raw = F.concat(F.lit("ERROR kind "), letter)
-    early = F.col("number") <= F.col("half")
+    early = F.col("number") <= half
     diff = agg.error_diff(parse(_lines(events.where(early), raw)), parse(_lines(events.where(~early), raw)))
     return diff.groupBy("change").agg(F.count("*").alias("kinds"))
 
@@ -327,9 +324,7 @@ def sections(spark, sf_dir):
     body = F.struct(F.lit(1).alias("at"), _plain_text().alias("raw"))
     rows = events.select("number", F.explode(F.array_compact(F.array(head, body, foot))).alias("r"))
     found = agg.sections(parse(_lines(rows, F.col("r.raw"), number=F.col("number") * 3 + F.col("r.at"))))
-    inside = rows.select((F.col("number") * 3 + F.col("r.at")).alias("n"))
-    counted = found.join(inside, (F.col("n") >= F.col("start")) & (F.col("n") <= F.col("end")))
-    return counted.groupBy("title", "errors").agg(F.count("*").alias("lines"))
+    return found.select("title", "errors", "lines")
 
 
 @_query("log_json_records", """WITH {EV} SELECT number, level, ms AS time, CAST(user_id AS VARCHAR) AS user_id,

@@ -55,7 +55,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     splits = splits.select(
         "file_id", "split_at", "first", F.coalesce(before, F.lit(0)).alias("before"), (order - 1).alias("file_idx")
     )
-    return lines.join(F.broadcast(splits), ["file_id", "split_at"]).select(
+    return lines.join(splits, ["file_id", "split_at"]).select(
         "file_id", "file_idx", (F.col("row") - F.col("first") + F.col("before") + 1).alias("number"), "raw"
     )
 

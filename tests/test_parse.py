@@ -82,7 +82,8 @@ def test_sources_and_custom_levels(spark):
 
 def test_empty_text_has_no_lines(spark):
     assert table(spark, "") == []
-    assert parse(src.from_text(spark, "x")).columns == list(COLUMNS)
+    assert parse(src.from_text(spark, "x")).columns == [*COLUMNS, "chunk"]
+    assert parse(src.from_text(spark, "x"), ParseOptions(chunk_lines=0)).columns == list(COLUMNS)
 
 
 def test_files_are_numbered_over_splits(spark, tmp_path):
