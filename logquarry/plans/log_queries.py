@@ -343,21 +343,20 @@ SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, 'token = "[0-9a-f]{40
 def secret_lines(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count_if(has_secret(F.col("line")) & F.col("line").contains('token = "')).alias("secrets"))
+    return lines.groupBy("doc_id").agg(F.count_if(has_secret(F.col("line"))).alias("secrets"))
 
 
 @_query("log_mask_secrets", r"""SELECT doc_id, regexp_replace(text, 'token = "[0-9a-f]{40}"', 'token = "********"', 'g') AS masked
-FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+FROM documents""")
 def masked_texts(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text RLIKE 'token = \"[0-9a-f]{40}\"'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", mask_secrets(F.col("text")).alias("masked"))
 
 
 @_query("log_normalized_lines", """WITH {EV} SELECT number, '<time> ' || level || ' [user-' || user_id || '] ' || event_type || ' user_id=' || user_id
-|| ' k=' || k AS line FROM ev""")
+|| ' k=' || k || ' value=' || value AS line FROM ev""")
 def normalized(spark, sf_dir):
-    line = F.regexp_replace(tx.normalize_line(F.col("text")), " value=.*", "")
-    return _plain(spark, sf_dir).select("number", line.alias("line"))
+    return _plain(spark, sf_dir).select("number", tx.normalize_line(F.col("text")).alias("line"))
 
 
 @_query("log_text_functions", """SELECT c_custkey, base64(encode(c_name)) AS b64, c_name AS back,
@@ -395,11 +394,9 @@ def format_times(spark, sf_dir):
 
 
 @_query("log_csv_sink", """WITH {EV}
-SELECT number, level || ',' || user_id || ',' || event_type AS row FROM ev""")
+SELECT number, lower(level) || ',' || user_id || ',' || event_type AS row FROM ev""")
 def csv_rows(spark, sf_dir):
-    return sinks.csv_rows(_json(spark, sf_dir), ["level", "user_id", "msg"]).select("number", F.lower("row").alias("row")).withColumn(
-        "row", F.concat(F.upper(F.regexp_extract("row", r"^([a-z]+)", 1)), F.regexp_replace("row", r"^[a-z]+", ""))
-    )
+    return sinks.csv_rows(_json(spark, sf_dir), ["level", "user_id", "msg"]).select("number", "row")
 
 
 @_query("log_line_changes", """WITH b AS (SELECT c_mktsegment || ' ' || c_nationkey AS line, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1),

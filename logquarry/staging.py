@@ -13,6 +13,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="logquarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/logs-{name}-{uuid.uuid4().hex}"

@@ -1,0 +1,60 @@
+from pyspark.sql import functions as F
+
+from logquarry.functions import spans
+from logquarry.operators.parse import parse
+from logquarry.sources.lines import from_text
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([values]).select(column.alias("x")).first()["x"]
+
+
+def test_search_ranges(spark):
+    def ranges(text, *query, **how):
+        return [tuple(r) for r in one(spark, spans.search_ranges(F.col("t"), *query, **how), t=text)]
+
+    assert ranges("a.b A.B axb", "a.b") == [(0, 3), (4, 7)]
+    assert ranges("a.b A.B axb", "a.b", case_sensitive=True) == [(0, 3)]
+    assert ranges("foo food barfoo", r"\bfoo\b", regex=True) == [(0, 3)]
+    assert ranges("aXbXX", "x+", regex=True) == [(1, 2), (3, 5)]
+    assert ranges("abab", "a*", regex=True) == [(0, 1), (2, 3)]
+    assert ranges("abc", "") == [] and ranges("", "a") == []
+
+
+def test_changed_range(spark):
+    def changed(a, b):
+        return tuple(one(spark, spans.changed_range(F.col("a"), F.col("b")), a=a, b=b))
+
+    assert changed("took 15 ms", "took 275 ms") == (5, 6, 5, 7)
+    assert changed("same", "same") == (4, 4, 4, 4)
+    assert changed("", "new") == (0, 0, 0, 3)
+    assert changed("aa", "aaa") == (2, 2, 2, 3)
+
+
+def test_localized_times(spark):
+    def shown(text, zone="Europe/Paris"):
+        return one(spark, spans.localized(F.col("t"), zone), t=text)
+
+    assert shown("[2026-10-04T10:00:05.120Z] x") == "[2026-10-04 12:00:05.120+02:00] x"
+    assert shown("a 2026-01-04 10:00:05,5+0100 b") == "a 2026-01-04 10:00:05.500+01:00 b"
+    assert shown("2026-10-04 10:00:05 no zone") == "2026-10-04 10:00:05 no zone"
+    assert shown("2026-10-04T10:00:05Z", None) == "2026-10-04T10:00:05Z"
+
+
+def test_table_cells(spark):
+    lines = parse(from_text(spark, '{"level":"info","msg":"hi","n":1,"o":{"a":null},"z":null}\nplain k=v\n'))
+    got = lines.orderBy("number").select(spans.table_cells(["msg", "k"]).alias("c")).collect()
+    assert [(r["c"]["cells"], r["c"]["rest"]) for r in got] == [
+        (["hi", ""], 'level=info n=1 o={"a":null} z=null'),
+        (["", "v"], "plain k=v"),
+    ]
+
+
+def test_ansi_spans(spark):
+    def styled(raw):
+        return [tuple(s) for s in one(spark, spans.ansi_spans(F.col("t")), t=raw)]
+
+    assert styled("\x1b[1;31mERROR\x1b[0m x") == [(0, 5, "ansi-red ansi-bold")]
+    assert styled("\x1b[38;5;4mA\x1b[4mB\x1b[94mC") == [(1, 2, "ansi-underline"), (2, 3, "ansi-bright-blue ansi-underline")]
+    assert styled("\x1b[32ma\x1b[32mb") == [(0, 2, "ansi-green")]
+    assert styled("plain") == []
