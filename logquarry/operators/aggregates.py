@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from logquarry.functions.fields import field, line_keys, numeric, whole_token
 from logquarry.functions.levels import LEVELS
+from logquarry.functions.records import js_number
 from logquarry.functions.text import TRACE_HEX, UUID, signature, trim, without_source
-from logquarry.operators.ordered import global_running, carry, with_row
+from logquarry.operators.ordered import carry, global_running, with_row
+from logquarry.plans.search import condition_key, condition_value
 from logquarry.staging import settled
 
 FRAMES = 3
@@ -22,6 +24,9 @@ TABLE_COLUMNS = (
     ("service", "logger", "app", "component"),
     ("message", "msg", "event"),
 )
+# Names of fields that hold a duration, or a name worth filtering by, in the order they are tried.
+DURATION_KEYS = ("duration", "took", "elapsed", "latency")
+NAME_KEYS = ("service", "method", "logger", "app", "user")
 # How sections of a build log start and end.
 _STAMP = r"^(?:\d{4}-\d{2}-\d{2}T[\d:.]+Z\s)?"
 SECTION_START = _STAMP + r"(?:##\[group\]|::group::)(.*)\z"
@@ -155,6 +160,16 @@ def sorted_groups(groups: DataFrame, order: str = "count") -> DataFrame:
     return ordered.orderBy(F.when(F.col("untimed") == 0, F.col("first")), line).drop("untimed")
 
 
+def top_groups(groups: DataFrame, order: str = "count", limit: int = 50) -> DataFrame:
+    """The groups that a panel shows; ``is_earliest`` marks the first error of the whole log, if there are several groups."""
+    groups = settled(groups, "groups")
+    first = sorted_groups(groups, "first").limit(1).select(F.col("key").alias("earliest_key"))
+    whole = with_row(groups.agg(F.count("*").alias("n_groups")), first)
+    shown = sorted_groups(groups, order).limit(limit)
+    marked = with_row(shown, whole).withColumn("is_earliest", (F.col("key") == F.col("earliest_key")) & (F.col("n_groups") > 1))
+    return sorted_groups(marked.drop("n_groups", "earliest_key"), order)
+
+
 def group_lines(df: DataFrame, groups: DataFrame) -> DataFrame:
     """The entries of error groups, with their continuation lines."""
     heads = error_entries(df).join(groups.select("key"), "key", "left_semi")
@@ -261,6 +276,32 @@ def common_fields(df: DataFrame, sample: int = 500) -> DataFrame:
     return counts.orderBy(F.desc("entries"), "at").drop("at")
 
 
+def suggested_condition(df: DataFrame) -> str | None:
+    """A field condition worth trying on a log, from its common fields and, for plain names, its first 500 lines."""
+    wanted = {"status", *DURATION_KEYS, "level", *NAME_KEYS}
+    have = {r["key"] for r in common_fields(df).where(F.col("key").isin(*wanted)).collect()}
+    if "status" in have:
+        return "status>=500"
+    for key in DURATION_KEYS:
+        if key in have:
+            return f"{key}>1s"
+    if "level" in have:
+        return "level=error"
+    key = next((k for k in NAME_KEYS if k in have), None)
+    if key is None:
+        return None
+    values = df.where(F.col("number") <= 500).select("number", field(key).alias("value"))
+    row = values.where(F.col("value").rlike(r"\A[A-Za-z0-9_.@/:-]+\z")).orderBy("number").first()
+    return row and f"{key}={row['value']}"
+
+
+def stat_condition(key: str, value: str | float, duration: bool | None = None) -> str:
+    """The condition that a value (text) or a percentile (number; whether it is a duration) of a field stands for."""
+    if isinstance(value, str):
+        return f"{condition_key(key)}={condition_value(value)}"
+    return f"{condition_key(key)}>={js_number(value)}{'ms' if duration else ''}"
+
+
 def json_share(df: DataFrame) -> DataFrame:
     """One row (mostly_json): whether half of the entries are JSON records."""
     heads = df.where("NOT continuation")

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from logquarry import sql
 from logquarry.operators import aggregates as agg
-from logquarry.operators import diff, filters, merge, sinks
+from logquarry.operators import diff, filters, limited, merge, sinks
 from logquarry.operators.parse import parse
 from logquarry.options import ParseOptions
 from logquarry.plans.search import read_condition
@@ -91,6 +92,30 @@ def test_aggregates(spark):
     assert agg.status_counts(df.limit(3), df).first()[:] == (3, 14, 11)
 
 
+def test_groups_of_a_panel(spark):
+    shown = agg.top_groups(agg.error_groups(log(spark)), limit=2).collect()
+    assert [(g["count"], g["is_earliest"]) for g in shown] == [(2, True), (1, False)]
+    assert [g["is_earliest"] for g in agg.top_groups(agg.error_groups(log(spark, text="ERROR x\n"))).collect()] == [False]
+
+
+def test_conditions_to_try(spark):
+    assert agg.suggested_condition(log(spark)) == "took>1s"
+    assert agg.suggested_condition(log(spark, text="a status=200\n")) == "status>=500"
+    assert agg.suggested_condition(log(spark, text='a service="x y"\nb service=pay\n')) == "service=pay"
+    assert agg.suggested_condition(log(spark, text="nothing\n")) is None
+    assert agg.stat_condition("took", 1500.0, True) == "took>=1500ms"
+    assert agg.stat_condition("a b", 'x"y') == '"a b"="x\\"y"'
+
+
+def test_a_search_is_given_up_in_time(spark):
+    df = log(spark)
+    assert numbers(limited.regex_search(df, r"charge 1\d", seconds=120)) == [2, 5]
+    slow = spark.range(8).select(F.expr("reflect('java.lang.Thread', 'sleep', CAST(60000 AS BIGINT))"))
+    with pytest.raises(TimeoutError):
+        limited.within(spark, 1, slow.collect)
+    assert limited.within(spark, 60, df.count) == 14
+
+
 def test_error_diff(spark):
     before = log(spark)
     after = log(spark, text=TEXT.replace("other", "brand new"))
