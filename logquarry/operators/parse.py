@@ -2,7 +2,7 @@
 
 What one line tells is a set of Column expressions (and one Arrow-batched function for JSON records). What depends on
 earlier lines (level carried forward, gaps, days of time-only lines, key blocks) is carried by ``ordered.carry``.
-A JSON record over several lines is not joined: its lines are ordinary lines (see README).
+JSON records over several lines are joined where ``ParseOptions.json_blocks`` says so.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from logquarry.functions.records import json_record
 from logquarry.functions.secrets import PEM_BEGIN, PEM_END, has_secret
 from logquarry.functions.text import split_source, strip_ansi
 from logquarry.functions.times import DAY_MS, parse_timestamp, time_of_day
+from logquarry.operators.json_blocks import starts_run, with_json_blocks
 from logquarry.operators.ordered import CHUNK, carry, steps_down, with_chunks
 from logquarry.options import ParseOptions
 from logquarry.staging import settled
@@ -86,7 +87,13 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
         df = df.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", CHUNK)
     df = _classified(df, options)
     df = settled(df, "classified") if chunked else df
-    df = carry(df, {"in_key": (F.col("key_marker"), False)}).withColumn("in_key", F.coalesce("in_key", F.lit(False)))
+    first = {"in_key": (F.col("key_marker"), False)}
+    if options.json_blocks:
+        first["run"] = (F.when(starts_run(F.col("plain")), F.col("number")), True)
+    df = carry(df, first).withColumn("in_key", F.coalesce("in_key", F.lit(False)))
+    if options.json_blocks:
+        df = df.withColumn("run", F.coalesce("run", F.lit(0)))
+        df = with_json_blocks(settled(df, "runs"), options, usable_levels(options.custom_levels))
     inside = F.col("in_key")
     end = F.coalesce(~F.col("key_marker"), F.lit(False))
     df = df.withColumns(

@@ -333,6 +333,28 @@ def json_records(spark, sf_dir):
     return _json(spark, sf_dir).select("number", "level", "time", field("user_id").alias("user_id"), field("msg").alias("msg"))
 
 
+@_query("log_pretty_json", """WITH {EV} SELECT number * 6 - 5 AS number, level, ms AS time, CAST(user_id AS VARCHAR) AS user_id,
+event_type AS msg, 6 AS lines FROM ev""")
+def pretty_json(spark, sf_dir):
+    """Each event is a record over six lines."""
+    pairs = (
+        ("ts", F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"'))),
+        ("level", F.concat(F.lit('"'), F.lower("level"), F.lit('"'))),
+        ("msg", F.concat(F.lit('"'), "event_type", F.lit('"'))),
+        ("user_id", _number(F.col("user_id"))),
+    )
+    body = [F.concat(F.lit(f'  "{k}": '), v, F.lit("," if k != "user_id" else "")) for k, v in pairs]
+    rows = F.array(F.lit("{"), *body, F.lit("}"))
+    events = _events(spark, sf_dir).select("number", F.posexplode(rows).alias("pos", "raw"))
+    lines = _lines(events, F.col("raw"), number=F.col("number") * 6 + F.col("pos") - 5)
+    entries = parse(lines, ParseOptions(json_blocks=True)).groupBy("entry_id").agg(
+        F.count("*").alias("lines"), *[F.max(F.when(~F.col("continuation"), c)).alias(n) for n, c in (
+            ("level", F.col("level")), ("time", F.col("time")), ("user_id", field("user_id")), ("msg", field("msg")),
+        )]
+    )
+    return entries.withColumnRenamed("entry_id", "number")
+
+
 @_query("log_json_filter", "WITH {EV} SELECT number FROM ev WHERE event_type = 'click' AND value < 50 AND k >= 40")
 def json_filter(spark, sf_dir):
     return filters.by_fields(_json(spark, sf_dir), field_conditions('msg="click" value<50 k>=40')).select("number")
