@@ -286,8 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 both = np.hstack(_features(pdf.iloc[lo : lo + 256], meta)).astype("<f4")
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo : lo + 256].astype("Int64"), "x": [r.tobytes() for r in both]})
 
-    got = sample.mapInPandas(featurise, "doc_id long, quality int, x binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    # One row an id before anything reaches the driver: of an id's rows the one with the least features.
+    got = sample.mapInPandas(featurise, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("s"))
+    got = got.select("doc_id", "s.quality", "s.x").toPandas().sort_values("doc_id")
     if got.empty:
         return None
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, width).astype(float)
