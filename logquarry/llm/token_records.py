@@ -6,7 +6,8 @@ right by 15 bits plus 0xa282ead8. A payload is one serialized sequence: flags (1
 4 = ids packed by zstandard), doc_id (signed 64 bit), number of ids (unsigned 32 bit), ids.
 
 Files stand under PATH/records in ascending doc_id order; PATH/index is a table (file_no, record_no, doc_id, offset,
-length, n_ids) of every frame, by which frames can be read in any order. Both are written and read by Spark's own writers
+length, n_ids, ids_crc32) of every frame, by which frames can be read in any order. It is made by reading the files back,
+every checksum checked, so what it says of the ids is what the files hold. Both are written and read by Spark's own writers
 and readers, so any file system that Spark knows will do, and a task that is run again or twice leaves one whole file.
 Files are cut by bytes of text, not by the number of tasks a session has.
 
@@ -16,6 +17,7 @@ hash; a very long text is one record; an empty table gives no records; further c
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +32,7 @@ from logquarry.llm.common import new_path, table
 
 _HEAD = "<BqI"
 _HEAD_BYTES = struct.calcsize(_HEAD)
-INDEX = "file_no int, record_no long, doc_id long, offset long, length long, n_ids long"
+INDEX = "file_no int, record_no long, doc_id long, offset long, length long, n_ids long, ids_crc32 long"
 #: Bytes of text whose ids one file holds, at most and, where there is less to do than tasks, at least.
 FILE_BYTES = 128 << 20
 SMALL_FILE_BYTES = 1 << 20
@@ -57,21 +59,25 @@ def unframe(read: Callable[[int], bytes]) -> bytes:
     return payload
 
 
-def pack(doc_id: int | None, ids: bytes, item: int) -> bytes:
+@functools.cache
+def _zstandard():
+    """A compressor and a decompressor for each Python worker."""
     import zstandard
 
-    small = zstandard.ZstdCompressor(level=1).compress(ids)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(doc_id: int | None, ids: bytes, item: int) -> bytes:
+    small = _zstandard()[0].compress(ids)
     flags = (doc_id is None) | 2 * (item == 4) | 4 * (len(small) < len(ids))
     return struct.pack(_HEAD, flags, doc_id or 0, len(ids) // item) + (small if flags & 4 else ids)
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
-    import zstandard
-
     flags, doc_id, n = struct.unpack_from(_HEAD, payload)
     raw, dtype = payload[_HEAD_BYTES:], "<u4" if flags & 2 else "<u2"
     if flags & 4:
-        raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=n * (4 if flags & 2 else 2))
+        raw = _zstandard()[1].decompress(raw, max_output_size=n * (4 if flags & 2 else 2))
     return None if flags & 1 else doc_id, np.frombuffer(raw, dtype, n)
 
 
@@ -108,12 +114,9 @@ def write_records(docs: DataFrame, vocabulary_file: str, end_id: int, path: str)
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for no, content in zip(pdf["file_no"], pdf["content"]):
-                rows, at = [], 0
-                while at < len(content):
-                    (length,) = struct.unpack_from("<Q", content, at)
-                    flags, doc_id, n = struct.unpack_from(_HEAD, content, at + 12)
-                    rows.append((no, len(rows), None if flags & 1 else doc_id, at, length, n))
-                    at += length + 17
+                rows = []
+                for i, (at, length, doc_id, ids) in enumerate(records(content)):
+                    rows.append((no, i, doc_id, at, length, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
                 yield out.astype({"doc_id": "Int64"})
 
@@ -126,8 +129,8 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"part-(\d+)[^/]*\z", 1).cast("int").alias("file_no"), "content")
 
 
-def records(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """A file's records in order, every checksum checked."""
+def records(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+    """(offset, length of the payload, doc_id, ids) of a file's records in order, every checksum checked."""
     at = 0
 
     def read(n: int) -> bytes:
@@ -136,32 +139,23 @@ def records(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         return content[at - n : at]
 
     while at < len(content):
-        yield unpack(unframe(read))
+        start, payload = at, unframe(read)
+        yield start, len(payload), *unpack(payload)
         if read(1) != b"\n":
             raise ValueError("a record's end is damaged")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for every record of the files under ``path``, read in whole files."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start, content in zip(pdf["start"], pdf["content"]):
-                rows = []
-                for doc_id, ids in records(content):
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                    if len(rows) == 10_000:
-                        yield _table(rows)
-                        rows = []
-                yield _table(rows)
-
-    # One row a file: what its files hold, in order.
-    sizes = spark.read.parquet(f"{path}/index").groupBy("file_no").agg(F.sum("n_ids").alias("n"))
+    """(doc_id, start, n_tokens, ids_crc32) for every record under ``path``, as they were read back for the index."""
+    index = spark.read.parquet(f"{path}/index")
+    # One row a file: what the files before it hold.
+    sizes = index.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    contents = _contents(spark, path).join(starts, "file_no")
-    return contents.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    sizes = sizes.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("held"))
+    own = Window.partitionBy("file_no").orderBy("record_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("n_ids").over(own), F.lit(0))
+    rows = index.withColumn("inside", inside).join(sizes, "file_no")
+    return rows.select("doc_id", (F.col("held") + F.col("inside")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
 def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -187,11 +181,6 @@ def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return _contents(spark, path).join(asked, "file_no").mapInPandas(read, "file_no int, offset long, doc_id long, ids binary")
 
 
-def _table(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return out.astype({"doc_id": "Int64"})
-
-
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
