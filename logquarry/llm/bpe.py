@@ -18,8 +18,8 @@ import numpy as np
 
 #: Words a worker keeps.
 MEMO = 1_000_000
-#: Texts' words looked up at once.
-BATCH_WORDS = 200_000
+#: Texts' words looked up at once, few enough to stay in a processor's cache.
+BATCH_WORDS = 30_000
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -85,14 +85,14 @@ class TextEncoder:
             words[0] = ""
             flat += words
             ends.append(len(flat))
+        if len(self.heads) > MEMO:
+            self.heads = {}
         ids = list(map(self.words.get, flat))
         missing = [i for i, x in enumerate(ids) if x is None]
         new = {flat[i] for i in missing}
         if len(self.words) + len(new) > MEMO:
             self.words = {w: x for w, x in zip(flat, ids) if x is not None}
-        if len(self.heads) > MEMO:
-            self.heads = {}
-        self._learn(set(new), set(heads))
+        self._learn(new, set(heads))
         for i in missing:
             ids[i] = self.words[flat[i]]
         return [self.heads[h] + b"".join(ids[a:b]) for h, a, b in zip(heads, [0, *ends], ends)]
