@@ -6,8 +6,9 @@ the rate, so every occurrence of a word draws its own skips, and the same ones w
 With rate 0 the ids are the library's.
 
 Only what does not depend on the draw is kept by word: its merges without skips and the ids they give. An occurrence
-that skips none of these merges has these ids, since the best pair is then the same at each step; the others are merged
-by their own draws.
+that skips none of these merges has these ids, since the best pair is then the same at each step. In the same way the
+merges under one or two skips are kept, for words that stand often, and an occurrence that skips these and no other of the
+merges that follow has their ids. The others are merged by their own draws.
 
 Characters that are no pieces become byte pieces, and so does a space mark that stands in the text itself; decoding
 gives back every text byte by byte. Defined cases: a null text counts as empty and has no ids; rows with one doc_id are
@@ -19,7 +20,6 @@ from __future__ import annotations
 import functools
 import heapq
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -32,10 +32,15 @@ from logquarry.llm.word_codes import mix
 
 RATE = 0.1
 SEED = 17
-#: Pre-tokens a worker keeps.
-MEMO = 400_000
+#: Pre-tokens a worker keeps, in two generations: what was met lately, and what was met before that.
+MEMO = 1_000_000
+#: Pre-tokens with one or two skips that a worker keeps.
+SKIP_MEMO = 300_000
 #: Pre-tokens longer than this go through an agenda of their own.
 LONG = 64
+#: Pre-tokens that are merged at once, and whose skips are drawn at once.
+ROUND_ROWS = 20_000
+SKIP_ROWS = 50_000
 
 _U = np.uint64
 _NONE = np.int64(1) << 62
@@ -87,7 +92,13 @@ class PieceCodec:
             self.ranks[at], self.made[at] = merges[key]
         # Of each pre-token without skips: the hashed borders of its merges, and its ids.
         self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.earlier: dict[str, tuple[bytes, bytes]] = {}
+        # The same under given skips: by pre-token and the hashed borders of one or two merges, 0 for none.
+        self.skip_memo: dict[tuple[str, int, int], tuple[bytes, bytes]] = {}
         self.newline = np.array([self.byte_ids[10]], "<u4").tobytes()
+        self.flat_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.n_bytes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or none) and result of the merges of neighbours."""
@@ -117,8 +128,11 @@ class PieceCodec:
     def _keys(self, draws: np.ndarray) -> np.ndarray:
         return mix(draws.astype(np.uint64) ^ mix(np.array([self.seed], np.uint64)))
 
-    def _segment(self, words: list[str], keys: np.ndarray | None, traces: list[bytes] | None) -> list[bytes]:
-        """Ids of each pre-token; without keys nothing is skipped. ``traces`` takes the borders of the merges made."""
+    def _segment(
+        self, words: list[str], keys: np.ndarray | None, traces: list[bytes] | None, given: np.ndarray | None = None
+    ) -> list[bytes]:
+        """Ids of each pre-token; without keys nothing is skipped but what is ``given``, two borders for each pre-token of
+        LONG characters at most. ``traces`` takes the borders of the merges made."""
         out: list[bytes] = [b""] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -131,12 +145,12 @@ class PieceCodec:
         points = points[np.repeat(short, size)]
         places = np.flatnonzero(short)
         end = np.cumsum(size[places])
-        for lo in range(0, len(places), 20_000):
-            part = places[lo : lo + 20_000]
+        for lo in range(0, len(places), ROUND_ROWS):
+            part = places[lo : lo + ROUND_ROWS]
             sizes = size[part]
-            stop = end[min(lo + 20_000, len(places)) - 1]
-            own = None if keys is None else keys[part]
-            self._rounds(self.of_point[points[stop - sizes.sum() : stop]], sizes, own, words, part.tolist(), out, traces)
+            stop = end[min(lo + ROUND_ROWS, len(places)) - 1]
+            skips = given[part] if given is not None else None if keys is None else keys[part]
+            self._rounds(self.of_point[points[stop - sizes.sum() : stop]], sizes, skips, words, part.tolist(), out, traces)
         return out
 
     def _rounds(
@@ -206,7 +220,9 @@ class PieceCodec:
             same = (at + 1 < len(sym)) & (word[at] == word[nxt])
             a, b = at[same], nxt[same]
             r, m = self._lookup(sym[a], sym[b])
-            if keys is not None:
+            if keys is not None and keys.ndim == 2:
+                r[(self._borders(start[a], start[b], end[b])[:, None] == keys[word[a]]).any(axis=1)] = _NONE
+            elif keys is not None:
                 r[self._skipped(keys[word[a]], start[a], start[b], end[b])] = _NONE
             rank[same], made[same] = r, m
         return rank, made
@@ -249,48 +265,117 @@ class PieceCodec:
 
     def encode(self, texts: list[str], doc_ids: list[int]) -> list[bytes]:
         """Ids of each text, unsigned, 32 bit, little-endian."""
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            for i, line in enumerate(pre_tokens(text)):
+                if i:
+                    words.append("\n")
+                words += line
+            ends.append(len(words))
+        if not words:
+            return [b""] * len(texts)
+        # A key for each occurrence, of seed, document and place; line breaks have no place.
+        distinct = list(dict.fromkeys(words))
+        places = dict(zip(distinct, range(len(distinct))))
+        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        text_of = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
+        nth = np.cumsum(at != places.get("\n", -1)) - 1
+        begin = np.array([0, *ends[:-1]])
+        nth -= np.append(nth, 0)[np.minimum(begin, len(nth))][text_of]
         seed = mix(np.array([self.seed + 1], np.uint64))
-        lines = [pre_tokens(text) for text in texts]
-        words = list(chain.from_iterable(chain.from_iterable(lines)))
-        # A key for each occurrence, of seed, document and place.
-        starts = [mix(np.array([doc_id % (1 << 64)], np.uint64) ^ seed) for doc_id in doc_ids]
-        counts = [sum(map(len, own)) for own in lines]
-        draws = [mix(key + np.arange(n, dtype=np.uint64)) for key, n in zip(starts, counts)]
-        ids = iter(self._occurrences(words, self._keys(np.concatenate([np.zeros(0, np.uint64), *draws]))))
-        return [self.newline.join([b"".join(islice(ids, len(line))) for line in own]) for own in lines]
-
-    def _occurrences(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """The ids of each occurrence by its key."""
-        places: dict[str, int] = {}
-        at = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words))
-        self._learn(list(places))
-        own = list(map(self.memo.__getitem__, places))
-        plain = [ids for _, ids in own]
-        out = list(map(plain.__getitem__, at.tolist()))
-        borders = np.frombuffer(b"".join([trace for trace, _ in own]), np.uint64)
-        size = np.fromiter((len(trace) // 8 for trace, _ in own), np.int64, len(own))
-        first = np.cumsum(size) - size
-        for lo in range(0, len(words), 50_000):
-            part = at[lo : lo + 50_000]
+        starts = mix(np.array([doc_id % (1 << 64) for doc_id in doc_ids], np.uint64) ^ seed)
+        keys = self._keys(mix(starts[text_of] + nth.astype(np.uint64)))
+        kind, ids = self._occurrences(distinct, at, keys)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = size[kind]
+        stop = np.cumsum(n)
+        raw = flat[np.repeat((np.cumsum(size) - size)[kind] - (stop - n), n) + np.arange(stop[-1])].tobytes()
+        bounds = (4 * np.append(0, stop)[[0, *ends]]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _occurrences(self, distinct: list[str], at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Occurrences of the pre-tokens ``distinct[at]`` by their keys: (which ids each has, all ids that any has)."""
+        self._learn(distinct)
+        own = list(map(self.memo.__getitem__, distinct))
+        traces, ids = [trace for trace, _ in own], [x for _, x in own]
+        kind = at.copy()
+        skipping, first, second, borders, n = self._skips(traces, at, keys)
+        short = np.fromiter(map(len, distinct), np.int64, len(distinct)) <= LONG
+        again = (n <= 2) & (short & (np.bincount(at, minlength=len(distinct)) > 1))[at[skipping]]
+        places = skipping[again]
+        first, second, borders = first[again], second[again], borders[again]
+        _, one, which = np.unique(at[places] << 14 | first << 7 | second, return_index=True, return_inverse=True)
+        kinds = list(zip(map(distinct.__getitem__, at[places[one]].tolist()), *borders[one].T.tolist()))
+        self._learn_skips(kinds)
+        known = list(map(self.skip_memo.__getitem__, kinds))
+        kind[places] = len(ids) + which
+        ids += [x for _, x in known]
+        others = np.concatenate([skipping[~again], places[self._skips([trace for trace, _ in known], which, keys[places])[0]]])
+        kind[others] = len(ids) + np.arange(len(others))
+        ids += self._segment(list(map(distinct.__getitem__, at[others].tolist())), keys[others], None)
+        return kind, ids
+
+    def _skips(self, traces: list[bytes], at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of occurrences that follow the traces ``at``: which skip any of its merges, the places in the trace of the first
+        two that they skip (127 for none), their borders (0 for none), and how many."""
+        borders = np.frombuffer(b"".join(traces), np.uint64)
+        size = np.fromiter(map(len, traces), np.int64, len(traces)) // 8
+        start = np.cumsum(size) - size
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for lo in range(0, len(at), SKIP_ROWS):
+            part = at[lo : lo + SKIP_ROWS]
             n = size[part]
-            begin = np.cumsum(n) - n
             occurrence = np.repeat(np.arange(lo, lo + len(part)), n)
-            merge = borders[np.arange(n.sum()) + np.repeat(first[part] - begin, n)]
-            other = np.unique(occurrence[mix(merge ^ keys[occurrence]) < _U(self.limit)])
-            for i, ids in zip(other.tolist(), self._segment([words[i] for i in other.tolist()], keys[other], None)):
-                out[i] = ids
-        return out
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            merge = borders[place + start[at[occurrence]]]
+            hit = np.flatnonzero(mix(merge ^ keys[occurrence]) < _U(self.limit))
+            parts.append((occurrence[hit], np.minimum(place[hit], 126), merge[hit]))
+        occurrence, place, merge = (np.concatenate(x) for x in zip(*parts))
+        head = np.flatnonzero(np.diff(occurrence, prepend=-1))
+        n = np.diff(np.append(head, len(occurrence)))
+        second = np.where(n > 1, np.append(place, 0)[head + 1], 127)
+        other = np.where(n > 1, np.append(merge, _U(0))[head + 1], _U(0))
+        return occurrence[head], place[head], second, np.stack([merge[head], other], axis=1), n
 
     def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+        memo, earlier = self.memo, self.earlier
+        if len(memo) > MEMO // 2:
+            self.memo, self.earlier = memo, earlier = {}, memo
+        memo["\n"] = (b"", self.newline)
+        missing = [w for w in words if w not in memo]
+        new = []
+        for w in missing:
+            if (kept := earlier.get(w)) is None:
+                new.append(w)
+            else:
+                memo[w] = kept
         traces = [b""] * len(new)
         plain = self._segment(new, None, traces)
-        self.memo.update(zip(new, zip(traces, plain)))
+        memo.update(zip(new, zip(traces, plain)))
+
+    def _learn_skips(self, kinds: list[tuple[str, int, int]]) -> None:
+        new = [k for k in kinds if k not in self.skip_memo]
+        if len(self.skip_memo) + len(new) > SKIP_MEMO:
+            self.skip_memo = {k: self.skip_memo[k] for k in kinds if k in self.skip_memo}
+        traces = [b""] * len(new)
+        given = np.array([k[1:] for k in new], np.uint64).reshape(-1, 2)
+        ids = self._segment([k[0] for k in new], None, traces, given)
+        self.skip_memo.update(zip(new, zip(traces, ids)))
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, coded: list[bytes]) -> list[str]:
+        """The texts of ids; the space before a text's first word is not part of it."""
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        n = self.n_bytes[ids]
+        stop = np.cumsum(n)
+        places = np.repeat(self.first_byte[ids] - (stop - n), n) + np.arange(n.sum())
+        raw = self.flat_bytes[places].tobytes()
+        ends = np.append(0, stop)[np.cumsum([0, *map(len, coded)]) // 4].tolist()
+        return [raw[a:b][1:].decode() for a, b in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -312,7 +397,7 @@ def encode_decode(docs: DataFrame, model_file: str, rate: float = RATE, seed: in
                 part = pdf.iloc[at:stop]
                 ids = part["doc_id"].astype("Int64")
                 coded = code.encode(list(part["text"]), ids.fillna(0).tolist())
-                yield pd.DataFrame({"doc_id": ids, "text": part["text"], "ids": coded, "decoded": [code.decode(x) for x in coded]})
+                yield pd.DataFrame({"doc_id": ids, "text": part["text"], "ids": coded, "decoded": code.decode_all(coded)})
                 at = stop
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
