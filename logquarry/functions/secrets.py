@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logquarry.functions.regex_risk import regex_risk
 
 MASK = "********"
+RANGES = "array<struct<start: int, end: int>>"
 # Each pattern's first group is what stays before the secret; the second, if any, what stays after it.
 _PLACEHOLDER = r"(?!\$\{|\{\{|<|%\(|\*\*\*)"
 _NAME = r"(?:password|passwd|pwd|secret|secret[_-]?key|access[_-]?key|api[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|token|private[_-]?key|client[_-]?secret)"
@@ -77,5 +78,53 @@ def mask_secrets(text: Column, own: tuple[str, ...] = ()) -> Column:
     return text
 
 
+def find_secrets(text: Column, own: tuple[str, ...] = ()) -> Column:
+    """(start, end) of the secrets in a text, by code points from 0, in order; those that overlap or touch are one.
+
+    The public prefix of a secret and what closes it stay outside, as they do in ``mask_secrets``.
+    """
+    low = F.lower(text)
+    none = F.array().cast(RANGES)
+    found = none
+    for hints, group in _by_hints():
+        some = low.contains(hints[0])
+        for hint in hints[1:]:
+            some = some | low.contains(hint)
+        for regex in group:
+            found = F.concat(found, F.when(some, _places(text, regex, re.compile(regex).groups)).otherwise(none))
+    for regex in _own(own):
+        found = F.concat(found, _places(text, f"({regex})", 0))
+    return F.aggregate(F.array_sort(found), none, _joined)
+
+
+def _places(text: Column, regex: str, kept: int) -> Column:
+    """Where the matches stand; a first group and a second, as many as ``kept``, are left out at their start and end.
+
+    The pieces between matches and the matches themselves take turns, so their lengths tell where each match stands.
+    """
+    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    between = F.split(text, regex, -1)
+    groups = [F.regexp_extract_all(text, F.lit(regex), F.lit(i + 1)) for i in range(kept)]
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(RANGES).alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.length(F.get(between, i))
+        end = start + F.length(F.get(matches, i))
+        a = start + (F.length(F.get(groups[0], i)) if kept > 0 else 0)
+        b = end - (F.length(F.get(groups[1], i)) if kept > 1 else 0)
+        one = F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
+        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+
+    ranges = F.aggregate(F.transform(matches, lambda m, i: i), zero, step, lambda acc: acc["out"])
+    return F.filter(ranges, lambda r: r["end"] > r["start"])
+
+
+def _joined(out: Column, r: Column) -> Column:
+    last = F.get(out, F.size(out) - 1)
+    wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+    apart = (F.size(out) == 0) | (last["end"] < r["start"])
+    return F.when(apart, F.concat(out, F.array(r))).otherwise(F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(wider)))
+
+
 def displayed(text: Column, secret_block: Column, own: tuple[str, ...] = ()) -> Column:
     return F.when(secret_block, "****").otherwise(mask_secrets(text, own))

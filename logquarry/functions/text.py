@@ -26,7 +26,7 @@ _VOLATILE = (
     ),
     (rf"{LEFT}\d+(?:\.\d+)?\s?(?:ns|µs|us|ms|s|sec|secs|seconds?|m|min|h){RIGHT}", "<duration>"),
 )
-ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[ -/]+[0-~]|\x1b[@-Z\\\-_]"
+ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[ -/]+[0-~]|\x1b[@-Z\\-_]"
 EXTENSIONS = ("log", "txt", "out", "err", "json", "jsonl", "ndjson")
 _PREFIXES = (
     r"^\[pod/([^/\]\s]+)/([^\]\s]+)\] ",

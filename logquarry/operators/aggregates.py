@@ -9,7 +9,7 @@ from logquarry.functions.fields import field, line_keys, numeric, whole_token
 from logquarry.functions.levels import LEVELS
 from logquarry.functions.records import js_number
 from logquarry.functions.text import TRACE_HEX, UUID, signature, trim, without_source
-from logquarry.operators.ordered import carry, global_running, with_row
+from logquarry.operators.ordered import carry, global_running, with_hits, with_row
 from logquarry.plans.search import condition_key, condition_value
 from logquarry.staging import settled
 
@@ -189,22 +189,31 @@ def error_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def collapse_repeats(df: DataFrame) -> DataFrame:
-    """Runs of equal entries as their first entry; ``repeat`` on its head says how many there were."""
-    df = carry(df, {"entry": (F.when(~F.col("continuation"), F.col("number")), True)})
-    df = df.withColumn("entry", F.coalesce("entry", F.lit(0)))  # 0: lines before any head are an entry as well
-    lines = F.collect_list(F.struct("number", signature(F.col("text")).alias("sig")))
-    keys = ["file_id", *(["chunk"] if "chunk" in df.columns else [])]
+    """Runs of equal entries as their first entry; ``repeat`` on its head says how many there were.
+
+    Entries are equal if their lines' signatures are, in order: two sums of hashes of a line's place in its entry and
+    its signature, which add up chunk by chunk, so that an entry of any length is never held whole. Lines before any
+    head are an entry as well.
+    """
+    names = df.columns
+    df = with_hits(df, ~F.col("continuation"))
+    entry = F.coalesce(F.when(F.col("is_match"), F.col("place")), "hit_before", F.lit(0))
+    df = df.withColumns({"entry": entry, "nth": F.col("place") - entry}).drop("is_match", "place", "hit_before", "hit_after")
+    sig = signature(F.col("text"))
+    sums = [F.sum(F.xxhash64(F.lit(seed), "nth", sig).cast("decimal(38,0)")).alias(f"sum_{seed}") for seed in (1, 2)]
+    keys = ["file_id", *(["chunk"] if "chunk" in names else [])]
     entries = df.groupBy("file_id", "entry").agg(
-        F.array_sort(lines).alias("sigs"), F.min("number").alias("number"), *[F.min(k).alias(k) for k in keys[1:]]
+        *sums, F.count("*").alias("lines"), F.min("number").alias("number"), *[F.min(k).alias(k) for k in keys[1:]]
     )
-    sig = F.sha2(F.array_join(F.transform("sigs", lambda s: s["sig"]), "\n"), 256).alias("sig")
+    sig = F.struct("lines", "sum_1", "sum_2").alias("sig")
     entries = settled(entries.select(*keys, "entry", "number", sig), "entries")
     entries = carry(entries, {"sig_before": (F.col("sig"), False)})
     new = F.coalesce(F.col("sig") != F.col("sig_before"), F.lit(True))
     entries = carry(entries, {"run": (F.when(new, F.col("number")), True)})
     runs = entries.groupBy("file_id", "run").agg(F.count("*").alias("repeat"), F.min_by("entry", "number").alias("entry"))
     out = df.join(runs, ["file_id", "entry"])
-    return out.withColumn("repeat", F.when(F.col("number") == F.col("run"), F.col("repeat")).otherwise(1)).drop("run", "entry")
+    repeat = F.when(F.col("number") == F.col("run"), F.col("repeat")).otherwise(1).alias("repeat")
+    return out.select(*names, repeat)
 
 
 def sections(df: DataFrame) -> DataFrame:

@@ -1,15 +1,22 @@
 """JSON objects printed over several lines: their lines become one entry, whose first line has the record.
 
-A block can only go on over lines that start with white space or a closing bracket, or are empty, so it stands inside a
-run: a line of another kind and those that follow it. Only runs with a line that may open a block are read again, in
-order, with one block of at most ``MAX_BODY`` lines held at a time. What turns out not to close in its run, at the end of
-the log too, is ordinary lines, of which each may open a block in turn.
+A block starts at a line that opens more brackets than it closes. It goes on over lines that start with white space or a
+closing bracket, or are empty, and ends where its brackets are closed; the end of the log leaves it open. A line that goes
+on in another way, or one line too many, shows that there was no block, and what was read is ordinary lines.
+
+Where a block would end depends on the lines after its first one alone. So lines from an opener on are dealt into pieces,
+each read with as many lines of the next piece as a block may have and one more, and every opener's end is found in one pass: openers
+wait in heaps by how many brackets they still have open, one heap for each way in which a line can begin (in or out of a
+string), and a line moves whole heaps. Which openers count follows from where the block before ends; a piece tells where
+it would be left for each place where it may be entered, and a fold over one small row a piece settles the entries.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+import heapq
+import re
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,40 +26,133 @@ from logquarry.functions.levels import detect_level
 from logquarry.functions.records import js_json, read_record, strict_json
 from logquarry.functions.secrets import has_secret
 from logquarry.functions.times import parse_timestamp
+from logquarry.operators.ordered import CHUNK, carry, running_count
 from logquarry.options import ParseOptions
+from logquarry.staging import settled
 
-MAX_BODY = 5_000
-# What a block's later lines look like, and a line that may open one.
+# What a block's later lines look like, a line that may open one, and how many later lines it may have.
 BODY = r"\A(?:[\s}\]]|\z)"
 OPENER = r"\A\s*\{|\{\s*\z"
+MAX_BODY = 5_000
+#: Lines of a piece.
+PIECE = 10_000
 PATCH = "file_id string, number long, in_body boolean, block_json string, block_text string, block_level string, block_time long, block_time_text string, block_level_text string"
+GOES_ON = re.compile(r"[\s}\]]|\Z", re.ASCII)
+OUT, QUOTED, ESCAPED = 0, 1, 2
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_TO_QUOTE = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL)
+_OPEN_END = re.compile(r'"((?:[^"\\]|\\.)*)(\\?)\Z', re.DOTALL)
+
+
+def effect(line: str, begins: int) -> tuple[int, int]:
+    """(brackets that a line opens less those it closes, how the next line begins), for how the line begins."""
+    if begins == ESCAPED:
+        if not line:
+            return 0, ESCAPED
+        line, begins = line[1:], QUOTED
+    if "\\" not in line:
+        parts = line.split('"')
+        outside = "".join(parts[begins::2])
+        return _net(outside), (begins + len(parts) - 1) & 1
+    if begins == QUOTED:
+        end = _TO_QUOTE.match(line)
+        if not end:
+            return 0, ESCAPED if _OPEN_END.match('"' + line)[2] else QUOTED
+        line = line[end.end() :]
+    outside = _STRING.sub("", line)
+    at = outside.find('"')
+    if at < 0:
+        return _net(outside), OUT
+    return _net(outside[:at]), ESCAPED if _OPEN_END.match(outside, at)[2] else QUOTED
+
+
+def _net(text: str) -> int:
+    return text.count("{") + text.count("[") - text.count("}") - text.count("]")
 
 
-class Depth:
-    """How many brackets of a JSON text are open, line by line; those in strings do not count."""
+def opening(text: str) -> tuple[int, int]:
+    """(brackets left open, how the next line begins) of a line from its first brace on; 0 where none starts or ends it."""
+    bare = text.strip()
+    if bare[:1] != "{" and bare[-1:] != "{":
+        return 0, OUT
+    return effect(text[text.index("{") :], OUT)
+
+
+class Waiting:
+    """Openers whose end is not met yet, by how the next line begins for them: a heap of (brackets open less a shared
+    number, place), and that number."""
 
     def __init__(self):
-        self.open, self.quoted, self.escaped = 0, False, False
-
-    def read(self, text: str) -> int:
-        for c in text:
-            if self.quoted:
-                if self.escaped:
-                    self.escaped = False
-                elif c == "\\":
-                    self.escaped = True
-                elif c == '"':
-                    self.quoted = False
-            elif c == '"':
-                self.quoted = True
-            elif c in "{[":
-                self.open += 1
-            elif c in "}]":
-                self.open -= 1
-        return self.open
-
-
-def _patches(lines: list[tuple[int, str]], custom: dict[str, str]) -> list[tuple]:
+        self.tracks: dict[int, tuple[list[tuple[int, int]], int]] = {}
+
+    def add(self, place: int, left_open: int, begins: int) -> None:
+        heap, shared = self.tracks.setdefault(begins, ([], 0))
+        heapq.heappush(heap, (left_open - shared, place))
+
+    def read(self, line: str) -> list[int]:
+        """The openers that ``line`` closes."""
+        moved: dict[int, tuple[list[tuple[int, int]], int]] = {}
+        closed = []
+        for begins, (heap, shared) in self.tracks.items():
+            net, now = effect(line, begins)
+            shared += net
+            if now in moved:
+                (heap, shared), (less, other) = sorted([moved[now], (heap, shared)], key=lambda t: -len(t[0]))
+                for left_open, place in less:
+                    heapq.heappush(heap, (left_open + other - shared, place))
+            moved[now] = (heap, shared)
+        for heap, shared in moved.values():
+            while heap and heap[0][0] + shared <= 0:
+                closed.append(heapq.heappop(heap)[1])
+        self.tracks = {k: v for k, v in moved.items() if v[0]}
+        return closed
+
+    def places(self) -> list[int]:
+        return [place for heap, _ in self.tracks.values() for _, place in heap]
+
+
+def ends(lines: Iterable[tuple[int, str, bool, bool]], own: int, most: int = MAX_BODY) -> dict[int, int]:
+    """{place of an opener up to ``own``: place of its block's last line} for (place, text, may open, may go on).
+
+    An opener still open where the lines end, at most ``most`` lines on, gets the negative of the last place.
+    """
+    waiting, out, place = Waiting(), {}, 0
+    for place, text, may_open, goes_on in lines:
+        if not goes_on:
+            waiting = Waiting()
+        else:
+            out.update((i, place) for i in waiting.read(text) if place - i <= most)
+        if may_open and place <= own:
+            left_open, begins = opening(text)
+            if left_open > 0:
+                waiting.add(place, left_open, begins)
+        elif place > own and not waiting.tracks:
+            break
+    out.update((i, -place) for i in waiting.places() if place - i <= most)
+    return out
+
+
+def left_at(found: dict[int, int], last: int) -> tuple[list[int], list[int]]:
+    """Openers with a block in ascending order, and for each the place after ``last`` that follows if it is the next."""
+    heads = sorted(found)
+    exits = [0] * len(heads)
+    for k in range(len(heads) - 1, -1, -1):
+        after = abs(found[heads[k]]) + 1
+        n = bisect_left(heads, after)
+        exits[k] = exits[n] if n < len(heads) else max(after, last + 1)
+    return heads, exits
+
+
+def chosen(heads: list[int], found: list[int], entry: int) -> list[tuple[int, int]]:
+    """The blocks that count, where reading comes to a piece at ``entry``."""
+    out, k = [], bisect_left(heads, entry)
+    while k < len(heads):
+        out.append((heads[k], found[k]))
+        k = bisect_left(heads, abs(found[k]) + 1)
+    return out
+
+
+def patches(lines: list[tuple[int, str]], custom: dict[str, str]) -> list[tuple]:
     """(number, in_body, ...) of a closed block's lines."""
     first = lines[0][1]
     whole = first.strip().startswith("{")
@@ -70,88 +170,111 @@ def _patches(lines: list[tuple[int, str]], custom: dict[str, str]) -> list[tuple
     return [(lines[0][0], False, *head), *[(n, True, *(None,) * 6) for n, _ in lines[1:]]]
 
 
-def blocks_of_run(rows: Iterator[tuple[int, str, bool]], custom: dict[str, str]) -> Iterator[tuple]:
-    """Patches of the blocks in one run of (number, text, whether it may open a block)."""
-    again: deque[tuple[int, str, bool]] = deque()
-    held: list[tuple[int, str, bool]] = []
-    depth = Depth()
-
-    def opened(text: str) -> bool:
-        nonlocal depth
-        trimmed = text.strip()
-        if not (trimmed.startswith("{") or trimmed.endswith("{")):
-            return False
-        depth = Depth()
-        return depth.read(text[text.index("{") :]) > 0
-
-    while True:
-        row = again.popleft() if again else next(rows, None)
-        if row is None:
-            if not held:
-                return
-            again.extend(held[1:])
-            held = []
-        elif not held:
-            if row[2] and opened(row[1]):
-                held = [row]
-        else:
-            held.append(row)
-            if depth.read(row[1]) <= 0:
-                yield from _patches([r[:2] for r in held], custom)
-                held = []
-            elif len(held) > MAX_BODY + 1:
-                again.extendleft(reversed(held[1:]))
-                held = []
-
-
-def with_json_blocks(df: DataFrame, options: ParseOptions, custom: dict[str, str]) -> DataFrame:
-    """Classified lines, each with its ``run``, in which the lines of JSON blocks are one entry."""
-    may_open = ~F.col("is_json") & ~F.col("continues") & ~F.col("in_key")
-    runs = df.where(may_open & F.col("plain").rlike(OPENER)).select("file_id", "run").distinct()
-    rows = df.join(runs, ["file_id", "run"], "left_semi").select("file_id", "run", "number", "plain", may_open.alias("may_open"))
-    lower = {k.lower(): v for k, v in custom.items()}
+def starts_run(text: Column) -> Column:
+    return ~text.rlike(BODY)
+
+
+def run_events() -> dict[str, tuple[Column, bool]]:
+    """What is carried along for ``with_json_blocks``: the last line that ends all blocks, and the last opener."""
+    run = F.when(starts_run(F.col("plain")), F.col("number"))
+    opener = F.when(F.col("is_opener"), F.col("number"))
+    return {"run": (run, True), "opener": (opener, True), "run_before": (run, False), "opener_before": (opener, False)}
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def lines() -> Iterator[tuple]:
-            for pdf in batches:
-                yield from zip(pdf["file_id"], pdf["run"], pdf["number"], pdf["plain"], pdf["may_open"])
 
-        feed = lines()
-        row = next(feed, None)
+def _block_lines(df: DataFrame) -> DataFrame:
+    """Lines from an opener to where no block can go on, that line included, numbered in each file."""
+    inside = F.col("opener") >= F.coalesce("run", F.lit(0))
+    ends_here = starts_run(F.col("plain")) & (F.col("opener_before") >= F.coalesce("run_before", F.lit(0)))
+    chunk = [CHUNK] if CHUNK in df.columns else []
+    rows = df.where(inside | ends_here).select(
+        "file_id", *chunk, "number", "plain",
+        (F.col("is_opener") & ~F.col("in_key")).alias("may_open"), (~starts_run(F.col("plain"))).alias("goes_on"),
+    )
+    return settled(running_count(rows, "at", F.lit(True)).withColumn("at", F.col("at").cast("long")), "block-lines")
+
+
+def _blocks(rows: DataFrame, piece: int, most: int) -> DataFrame:
+    """(file_id, head_at, end_at): the blocks that count; end_at is negative where the log ends first."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (file_id, number), lines in _keyed(batches, 2):
+            last = (number + 1) * piece
+            found = ends(lines, last, most)
+            heads, exits = left_at(found, last)
+            yield pd.DataFrame([(file_id, number, heads, [found[h] for h in heads], exits)], columns=["file_id", "piece", "heads", "ends", "exits"])
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, entry = [], 1
+        for file_id, number, heads, exits in pdf.sort_values("piece").itertuples(index=False):
+            out.append((file_id, number, entry))
+            k = bisect_left(list(heads), entry)
+            entry = max(entry, int(exits[k])) if k < len(heads) else entry
+        return pd.DataFrame(out, columns=["file_id", "piece", "entry"])
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [
+                (file_id, head, end)
+                for file_id, heads, own, entry in zip(pdf["file_id"], pdf["heads"], pdf["ends"], pdf["entry"])
+                for head, end in chosen(list(heads), list(own), entry)
+            ]
+            yield pd.DataFrame(out, columns=["file_id", "head_at", "end_at"]).astype({"head_at": "int64", "end_at": "int64"})
+
+    own = F.floor((F.col("at") - 1) / piece)
+    ahead = F.when((own > 0) & ((F.col("at") - 1) % piece <= most), F.array(own, own - 1)).otherwise(F.array(own))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("piece", F.explode(ahead)).repartition(n, "file_id", "piece").sortWithinPartitions("file_id", "piece", "at")
+    names = ["file_id", "piece", "at", "plain", "may_open", "goes_on"]
+    pieces = dealt.select(*names).mapInPandas(find, "file_id string, piece long, heads array<long>, ends array<long>, exits array<long>")
+    pieces = settled(pieces, "block-pieces")
+    may_enter = F.filter("heads", lambda h: h <= F.col("piece") * piece + most + 1)
+    few = F.least(F.size(may_enter) + 1, F.size("heads"))
+    small = pieces.select("file_id", "piece", F.slice("heads", 1, few).alias("heads"), F.slice("exits", 1, few).alias("exits"))
+    entries = small.groupBy("file_id").applyInPandas(enter, "file_id string, piece long, entry long")
+    entered = pieces.join(entries, ["file_id", "piece"]).select("file_id", "heads", "ends", "entry")
+    return entered.mapInPandas(choose, "file_id string, head_at long, end_at long")
+
+
+def _keyed(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows that stand together by their first ``width`` columns, in a sorted stream."""
+    rows = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+    held = next(rows, None)
+    while held is not None:
+        key = held[:width]
+
+        def own(key: tuple = key) -> Iterator[tuple]:
+            nonlocal held
+            while held is not None and held[:width] == key:
+                row, held = held, next(rows, None)
+                yield row[width:]
+
+        run = own()
+        yield key, run
+        for _ in run:
+            pass
+
+
+def _patched(rows: DataFrame, blocks: DataFrame, custom: dict[str, str]) -> DataFrame:
+    """What the lines of blocks are, a row each."""
+    heads = blocks.select("file_id", F.col("head_at").alias("at"), F.struct("head_at", "end_at").alias("starts"))
+    rows = carry(rows.join(heads, ["file_id", "at"], "left"), {"block": (F.col("starts"), True)}, order="at")
+    rows = rows.where(F.col("at") <= F.abs(F.col("block.end_at")))
+    lower = {k.lower(): v for k, v in custom.items()}
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        while row is not None:
-            key = row[:2]
-
-            def own(first: tuple) -> Iterator[tuple]:
-                nonlocal row
-                row = first
-                while row is not None and row[:2] == key:
-                    yield row[2:]
-                    row = next(feed, None)
-
-            for patch in blocks_of_run(own(row), lower):
-                out.append((key[0], *patch))
-                if len(out) == 10_000:
-                    yield _table(out)
-                    out = []
+        for (file_id, _, closed), lines in _keyed(batches, 3):
+            own = list(lines)
+            found = patches(own, lower) if closed else [(n, i > 0, *(None,) * 6) for i, (n, _) in enumerate(own)]
+            out += [(file_id, *patch) for patch in found]
+            if len(out) >= 10_000:
+                yield _table(out)
+                out = []
         yield _table(out)
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "file_id", "run").sortWithinPartitions("file_id", "run", "number")
-    df = df.join(ordered.mapInPandas(fold, PATCH), ["file_id", "number"], "left")
-    record, shown = F.col("block_json").isNotNull(), F.col("block_text")
-    level = F.coalesce("block_level", detect_level(F.col("block_level_text"), custom), "own_level")
-    time = F.coalesce("block_time", parse_timestamp(F.col("block_time_text"), options.default_year), "full_time")
-    return df.withColumns(
-        {
-            "continues": F.col("continues") | F.coalesce("in_body", F.lit(False)),
-            "json": F.coalesce("block_json", "json"),
-            "text": F.coalesce(shown, "text"),
-            "own_level": F.when(record & shown.isNotNull(), level).otherwise(F.col("own_level")),
-            "full_time": F.when(record & shown.isNotNull(), time).otherwise(F.col("full_time")),
-            "secret": F.when(shown.isNotNull(), has_secret(shown, options.secret_patterns)).otherwise(F.col("secret")),
-        }
-    ).drop("run", *[c.split()[0] for c in PATCH.split(", ")[2:]])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("file_id", F.col("block.head_at").alias("head_at"), (F.col("block.end_at") > 0).alias("closed"), "number", "plain")
+    return rows.repartition(n, "file_id", "head_at").sortWithinPartitions("file_id", "head_at", "number").mapInPandas(read, PATCH)
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
@@ -159,5 +282,29 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"block_time": "Int64"})
 
 
-def starts_run(text: Column) -> Column:
-    return ~text.rlike(BODY)
+def with_json_blocks(df: DataFrame, options: ParseOptions, custom: dict[str, str], piece: int = PIECE, most: int = MAX_BODY) -> DataFrame:
+    """Classified lines, with in_key and the columns of ``run_events``, in which the lines of JSON blocks are one entry."""
+    rows = _block_lines(df)
+    found = _patched(rows, _blocks(rows, piece, most), custom)
+    return patched(df.drop(*run_events()).join(found, ["file_id", "number"], "left"), options, custom)
+
+
+def patched(df: DataFrame, options: ParseOptions, custom: dict[str, str]) -> DataFrame:
+    """Classified lines with the columns of ``PATCH``, null outside blocks, which are put to use and dropped."""
+    body, shown = F.coalesce("in_body", F.lit(False)), F.col("block_text")
+    is_record = shown.isNotNull()
+    level = F.coalesce("block_level", detect_level(F.col("block_level_text"), custom), "own_level")
+    time = F.coalesce("block_time", parse_timestamp(F.col("block_time_text"), options.default_year), "full_time")
+    told_anew = is_record | (body & F.col("is_json"))
+    text = F.when(body, F.col("plain")).otherwise(F.coalesce(shown, "text"))
+    return df.withColumns(
+        {
+            "continues": F.col("continues") | body,
+            "json": F.when(~body, F.coalesce("block_json", "json")),
+            "text": text,
+            "own_level": F.when(is_record, level).otherwise(F.col("own_level")),
+            "full_time": F.when(is_record, time).otherwise(F.col("full_time")),
+            "source": F.when(~body, F.col("source")),
+            "secret": F.when(told_anew, has_secret(text, options.secret_patterns)).otherwise(F.col("secret")),
+        }
+    ).drop(*[c.split()[0] for c in PATCH.split(", ")[2:]])

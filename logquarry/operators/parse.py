@@ -2,7 +2,7 @@
 
 What one line tells is a set of Column expressions (and one Arrow-batched function for JSON records). What depends on
 earlier lines (level carried forward, gaps, days of time-only lines, key blocks) is carried by ``ordered.carry``.
-JSON records over several lines are joined where ``ParseOptions.json_blocks`` says so.
+JSON records over several lines become one entry (``json_blocks``), at the cost of two passes where a line may open one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from logquarry.functions.records import json_record
 from logquarry.functions.secrets import PEM_BEGIN, PEM_END, has_secret
 from logquarry.functions.text import split_source, strip_ansi
 from logquarry.functions.times import DAY_MS, parse_timestamp, time_of_day
-from logquarry.operators.json_blocks import starts_run, with_json_blocks
+from logquarry.operators.json_blocks import OPENER, run_events, with_json_blocks
 from logquarry.operators.ordered import CHUNK, carry, steps_down, with_chunks
 from logquarry.options import ParseOptions
 from logquarry.staging import settled
@@ -67,6 +67,7 @@ def _classified(lines: DataFrame, options: ParseOptions) -> DataFrame:
         F.col("record.json").alias("json"),
         F.when(begin, True).when(raw.rlike(PEM_END), False).alias("key_marker"),
         (~F.col("is_json") & rest.rlike(CONTINUATION)).alias("continues"),
+        (~F.col("is_json") & ~rest.rlike(CONTINUATION) & raw.contains("{") & raw.rlike(OPENER)).alias("is_opener"),
         F.coalesce("record.level", detect_level(F.col("level_text"), custom)).alias("own_level"),
         F.coalesce("record.time", parse_timestamp(F.col("time_text"), options.default_year)).alias("full_time"),
         F.when(~F.col("is_json"), time_of_day(rest)).alias("clock"),
@@ -87,12 +88,10 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
         df = df.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", CHUNK)
     df = _classified(df, options)
     df = settled(df, "classified") if chunked else df
-    first = {"in_key": (F.col("key_marker"), False)}
-    if options.json_blocks:
-        first["run"] = (F.when(starts_run(F.col("plain")), F.col("number")), True)
-    df = carry(df, first).withColumn("in_key", F.coalesce("in_key", F.lit(False)))
-    if options.json_blocks:
-        df = df.withColumn("run", F.coalesce("run", F.lit(0)))
+    blocks = options.json_blocks and not (chunked and df.where("is_opener").isEmpty())
+    df = carry(df, {"in_key": (F.col("key_marker"), False)} | (run_events() if blocks else {}))
+    df = df.withColumn("in_key", F.coalesce("in_key", F.lit(False)))
+    if blocks:
         df = with_json_blocks(settled(df, "runs"), options, usable_levels(options.custom_levels))
     inside = F.col("in_key")
     end = F.coalesce(~F.col("key_marker"), F.lit(False))
@@ -115,7 +114,7 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
             "own_level": F.when(head, F.col("own_level")),
             "time": F.when(head, F.coalesce("full_time", day + F.col("clock"))),
         }
-    ).drop("plain", "key_marker", "in_key", "continues", "clock", "days", "full_time")
+    ).drop("plain", "key_marker", "in_key", "continues", "is_opener", "clock", "days", "full_time")
     df = settled(df, "timed") if chunked else df
 
     told = head & (F.col("own_level").isNotNull() | F.col("time").isNotNull())

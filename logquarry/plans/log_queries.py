@@ -17,6 +17,7 @@ from logquarry.functions.fields import field, numeric
 from logquarry.functions.secrets import has_secret, mask_secrets
 from logquarry.operators import aggregates as agg
 from logquarry.operators import filters, sinks
+from logquarry.operators import line_diff as ld
 from logquarry.operators.diff import line_changes
 from logquarry.operators.merge import merged, placed
 from logquarry.operators.ordered import running_count, with_chunks
@@ -333,26 +334,35 @@ def json_records(spark, sf_dir):
     return _json(spark, sf_dir).select("number", "level", "time", field("user_id").alias("user_id"), field("msg").alias("msg"))
 
 
-@_query("log_pretty_json", """WITH {EV} SELECT number * 6 - 5 AS number, level, ms AS time, CAST(user_id AS VARCHAR) AS user_id,
-event_type AS msg, 6 AS lines FROM ev""")
+@_query("log_pretty_json", """WITH {EV} SELECT number * 12 - 11 AS number, level, ms AS time, CAST(user_id AS VARCHAR) AS user_id,
+event_type AS msg, CAST(k AS VARCHAR) AS k, 10 AS lines FROM ev
+UNION ALL SELECT number * 12 - 1, level, ms, NULL, NULL, NULL, 1 FROM ev""")
 def pretty_json(spark, sf_dir):
-    """Each event is a record over six lines."""
-    pairs = (
-        ("ts", F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"'))),
-        ("level", F.concat(F.lit('"'), F.lower("level"), F.lit('"'))),
-        ("msg", F.concat(F.lit('"'), "event_type", F.lit('"'))),
-        ("user_id", _number(F.col("user_id"))),
-    )
-    body = [F.concat(F.lit(f'  "{k}": '), v, F.lit("," if k != "user_id" else "")) for k, v in pairs]
-    rows = F.array(F.lit("{"), *body, F.lit("}"))
+    """Each event is a nested record over ten lines, and an ordinary line that only looks as if it opened one."""
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    body = [
+        F.concat(F.lit('  "ts": "'), when, F.lit('",')),
+        F.concat(F.lit('  "level": "'), F.lower("level"), F.lit('",')),
+        F.concat(F.lit('  "msg": "'), "event_type", F.lit('",')),
+        F.concat(F.lit('  "user_id": '), _number(F.col("user_id")), F.lit(",")),
+        F.lit('  "ctx": {'),
+        F.concat(F.lit('    "k": '), "k", F.lit(",")),
+        F.lit('    "note": "a } in \\"quotes\\" {"'),
+        F.lit("  }"),
+    ]
+    last = F.concat(when, F.lit(" "), "level", F.lit(" done {"))
+    rows = F.array(F.lit("{"), *body, F.lit("}"), last)
     events = _events(spark, sf_dir).select("number", F.posexplode(rows).alias("pos", "raw"))
-    lines = _lines(events, F.col("raw"), number=F.col("number") * 6 + F.col("pos") - 5)
-    entries = parse(lines, ParseOptions(json_blocks=True)).groupBy("entry_id").agg(
-        F.count("*").alias("lines"), *[F.max(F.when(~F.col("continuation"), c)).alias(n) for n, c in (
-            ("level", F.col("level")), ("time", F.col("time")), ("user_id", field("user_id")), ("msg", field("msg")),
-        )]
-    )
-    return entries.withColumnRenamed("entry_id", "number")
+    lines = _lines(events, F.col("raw"), number=F.col("number") * 12 + F.col("pos") - 11)
+    head = ~F.col("continuation")
+    shown = {"level": F.col("level"), "time": F.col("time"), "user_id": field("user_id"), "msg": field("msg"), "k": field("ctx.k")}
+    parsed = parse(lines).withColumn("is_record", F.col("json").isNotNull())
+    entries = parsed.groupBy("entry_id").agg(
+        F.count("*").cast("int").alias("lines"),
+        F.max(F.when(head, F.col("is_record"))).alias("is_record"),
+        *[F.max(F.when(head, c)).alias(n) for n, c in shown.items()],
+    )
+    return entries.withColumnRenamed("entry_id", "number").drop("is_record")
 
 
 @_query("log_json_filter", "WITH {EV} SELECT number FROM ev WHERE event_type = 'click' AND value < 50 AND k >= 40")
@@ -451,3 +461,47 @@ CASE level WHEN 'ERROR' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END AS m FROM ev)
 SELECT row, bit_or(m) AS marks FROM r GROUP BY row HAVING bit_or(m) > 0""")
 def minimap(spark, sf_dir):
     return agg.minimap(_plain(spark, sf_dir), 500).select("row", "marks")
+
+
+# Two runs of one job: of the second, some lines are gone, some changed and some new.
+_RUNS = """ev AS (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events),
+r AS (SELECT n, 0 AS nth, n % 997 = 13 AS changed FROM ev WHERE n % 997 <> 7 UNION ALL SELECT n, 1, true FROM ev WHERE n % 1499 = 5),
+b AS (SELECT *, row_number() OVER (ORDER BY n, nth) AS number FROM r),
+s AS (
+  SELECT CASE WHEN b.n IS NULL OR b.changed THEN 'del' ELSE 'same' END AS kind, ev.n AS "left",
+         CASE WHEN NOT b.changed THEN b.number END AS "right", ev.n AS n, 0 AS nth
+  FROM ev LEFT JOIN b ON b.n = ev.n AND b.nth = 0
+  UNION ALL SELECT 'add', NULL, number, n, 1 + nth FROM b WHERE changed
+)"""
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = _events(spark, sf_dir)
+    text = F.concat(_plain_text(), F.lit(" id="), F.col("number").cast("string"))
+    n = F.col("number")
+    changed = F.when(n % 997 == 13, F.regexp_replace(text, "user-", "guest-")).otherwise(text)
+    kept = F.when(n % 997 != 7, changed)
+    new = F.when(n % 1499 == 5, F.concat(F.lit("retry after "), n.cast("string")))
+    rows = events.select("number", F.posexplode(F.array(kept, new)).alias("nth", "text")).where("text IS NOT NULL")
+    after = rows.withColumn("file_id", F.lit("b")).withColumn("order", n * 2 + F.col("nth"))
+    after = with_chunks(after.drop("number").withColumnRenamed("order", "number"), 20_000)
+    after = running_count(after, "place", F.lit(True)).select(F.col("place").cast("long").alias("number"), "text")
+    return events.select("number", text.alias("text")), after
+
+
+@_query("log_line_diff", f"""WITH {_RUNS} SELECT kind, "left", "right" FROM s""")
+def line_script(spark, sf_dir):
+    return ld.line_diff(*_two_runs(spark, sf_dir)).select("kind", "left", "right")
+
+
+@_query("log_diff_hunks", f"""WITH {_RUNS}, i AS (SELECT *, row_number() OVER (ORDER BY n, nth) AS i FROM s),
+c AS (
+  SELECT *, i - max(CASE WHEN kind <> 'same' THEN i END) OVER (ORDER BY i) <= 3
+            OR min(CASE WHEN kind <> 'same' THEN i END) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - i <= 3 AS near
+  FROM i
+), f AS (SELECT *, coalesce(near, false) AS shown, i - row_number() OVER (PARTITION BY coalesce(near, false) ORDER BY i) AS run FROM c)
+SELECT kind, "left", "right", 0 AS folded FROM f WHERE shown
+UNION ALL SELECT 'fold', min("left"), min("right"), count(*) FROM f WHERE NOT shown GROUP BY run""")
+def diff_hunks(spark, sf_dir):
+    before, after = _two_runs(spark, sf_dir)
+    return ld.hunks(ld.with_texts(ld.line_diff(before, after), before, after)).select("kind", "left", "right", "folded")
