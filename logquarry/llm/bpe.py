@@ -3,6 +3,11 @@
 The library cuts a text into pre-tokens before it merges. Where its file says so (byte-level, no normaliser, no prefix),
 no pre-token reaches over a space that stands before a character that is not white space, so texts are cut there and
 each word is encoded once by the library. Texts that hold a special token, and files of another make, are encoded whole.
+
+Words of letters alone are merged by their tokens' ranks where the file proves that this gives the library's ids: every
+token has one merge, ids rise with the merges, and each token alone encodes to itself. A span of which no merge has
+crossed the borders is then in the state that the token's own encoding passes through, so two neighbours that join to a
+token are the pair of its merge.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import tiktoken
 
 #: Words a worker keeps.
 MEMO = 1_000_000
@@ -52,6 +58,30 @@ class TextEncoder:
         others = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(256 + i) for i, b in enumerate(others) if b != 10}
         self.space = self.shown[32]
+        self.ranks = self._ranks(made["model"]) if self.by_words else None
+
+    def _ranks(self, model: dict) -> tiktoken.Encoding | None:
+        """An encoder by ranks that takes each line as one pre-token, or None where the file does not prove it equal."""
+        vocabulary, merges = model.get("vocab"), model.get("merges") or []
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in odd) or not isinstance(vocabulary, dict):
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        at = [vocabulary.get(a + b, -1) for a, b in pairs]
+        byte_of = {chr(b): b for b in range(256)} | {c: b for b, c in self.shown.items()} | {chr(256 + 10): 10}
+        plain = {t: i for t, i in vocabulary.items() if t not in self.special}
+        proved = (
+            len(plain) == len(at) + 256
+            and all(x < y for x, y in zip(at, at[1:]))
+            and all(max(vocabulary[a], vocabulary[b]) < i for (a, b), i in zip(pairs, at))
+            and all(set(t) <= byte_of.keys() for t in plain)
+            and all([x.id for x in self.library.model.tokenize(t)] == [i] for t, i in plain.items())
+        )
+        if not proved:
+            return None
+        made = {bytes(byte_of[c] for c in t): i for t, i in plain.items()}
+        self.line_break = made[b"\n"]
+        return tiktoken.Encoding("ranks", pat_str=r"[^\n]+|\n", mergeable_ranks=made, special_tokens={})
 
     def _packed(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -137,6 +167,13 @@ class TextEncoder:
         """Words of letters alone are one pre-token each, so the library's model gets them without its pre-tokenizer."""
         if not words:
             return
+        if self.ranks:
+            lead = " " if before else ""
+            ids = np.array(self.ranks.encode_ordinary("".join([f"{lead}{w}\n" for w in words])), self.dtype)
+            packed, ends, size = ids.tobytes(), np.flatnonzero(ids == self.line_break).tolist(), self.dtype.itemsize
+            for w, a, b in zip(words, [-1, *ends], ends, strict=False):
+                memo[w] = packed[(a + 1) * size : b * size]
+            return
         tokenize, code = self.library.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         shown = "\n".join(words).encode().decode("latin-1").translate(self.shown).split("\n")
         for w, text in zip(words, shown, strict=True):
