@@ -16,12 +16,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_top(vectors, k):
-    ints = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] for i, v in vectors}
+    ints = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in vectors]
     out = []
-    for q, a in ints.items():
+    for n, (q, a) in enumerate(ints):
         if q % 50 == 0:
-            scores = [(-sum(x * y for x, y in zip(a, b)), i) for i, b in ints.items() if i != q and len(b) == len(a)]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+            scores = [(-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ints) if m != n and len(b) == len(a)]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
@@ -32,13 +32,13 @@ def test_top_k_is_exact(spark, monkeypatch, shard):
     rows += [(i, rows[i - 300][1]) for i in range(300, 340)]
     odd = [(400, None), (401, [0.1, None] * 8), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (None, [0.1] * 16)]
     odd += [(450, [0.5] * 3), (451, [0.25] * 3), (500, [])]
-    again = [(0, rows[0][1]), (50, rows[50][1])]
+    again = [(0, rows[0][1]), (50, rows[50][1]), (50, rows[51][1]), (77, rows[50][1])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows + odd + again], "vec_id long, embedding array<float>, score int, v string")
     monkeypatch.setattr(topk_search, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk_search, "QUERY_ROWS", 3)
     ints = topk_search.quantised(df, "vec_id", "embedding", 256)
     got = topk_search.top_k(ints, ints.where("id % 50 = 0"), 5).collect()
-    assert sorted(map(tuple, got)) == brute_top(rows + odd[-3:], 5)
+    assert sorted(map(tuple, got)) == brute_top(rows + odd[-3:] + again, 5)
     none = df.limit(0)
     ints = topk_search.quantised(none, "vec_id", "embedding", 256)
     assert topk_search.top_k(ints, ints, 5).count() == 0
@@ -50,7 +50,7 @@ def test_top_k_stops_before_all_segments_are_walked():
 
     centres = r.normal(0, 40, (20, 32))
     x = (centres[r.integers(0, 20, 2000)] + r.normal(0, 8, (2000, 32))).astype(int)
-    pdf = pd.DataFrame({"shard": 0, "id": np.arange(2000), "v": list(x)})
+    pdf = pd.DataFrame({"shard": 0, "key": np.arange(2000), "id": np.arange(2000), "v": list(x)})
     shard = topk_search.Shard(next(topk_search.build_index(pdf).itertuples()))
     for q in range(0, 2000, 400):
         ids, scores = shard.top(q, x[q].astype(np.int64), 5)
