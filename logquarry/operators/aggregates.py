@@ -112,14 +112,22 @@ def error_entries(df: DataFrame) -> DataFrame:
     """
     df = carry(df, {"entry": (F.when(~F.col("continuation"), F.struct("number", "level")), True)})
     near = df.where("entry.level = 'ERROR' AND number - entry.number <= 3")
+    return entries_of(error_lines(near, F.col("entry.number")))
+
+
+def error_lines(near: DataFrame, head: Column) -> DataFrame:
+    """(file_id, at, number, sig, sample, source, time): what makes an error, from the first lines of ERROR entries."""
     rest = without_source(F.col("text"))
-    line = F.struct("number", signature(rest).alias("sig"))
-    head = F.col("number") == F.col("entry.number")
-    entries = near.groupBy("file_id", F.col("entry.number").alias("at")).agg(
-        F.array_sort(F.collect_list(line)).alias("sigs"),
-        F.max(F.when(head, rest)).alias("sample"),
-        F.max(F.when(head, F.col("source"))).alias("source"),
-        F.max(F.when(head, F.col("time"))).alias("time"),
+    own = {"sample": rest, "source": F.col("source"), "time": F.col("time")}
+    return near.select(
+        "file_id", head.alias("at"), "number", signature(rest).alias("sig"), *[F.when(F.col("number") == head, c).alias(n) for n, c in own.items()]
+    )
+
+
+def entries_of(lines: DataFrame) -> DataFrame:
+    """The entries that ``error_lines`` belong to, each with its key."""
+    entries = lines.groupBy("file_id", "at").agg(
+        F.array_sort(F.collect_list(F.struct("number", "sig"))).alias("sigs"), *[F.max(c).alias(c) for c in ("sample", "source", "time")]
     )
     key = F.array_join(F.transform("sigs", lambda s: s["sig"]), "\n")
     return entries.select(key.alias("key"), "file_id", "at", "sample", "source", "time")
@@ -127,11 +135,14 @@ def error_entries(df: DataFrame) -> DataFrame:
 
 def error_groups(df: DataFrame) -> DataFrame:
     """(key, sample, count, first_line, sources, first, last): the groups of ``error_entries``."""
+    return groups_of(error_entries(df))
+
+
+def groups_of(entries: DataFrame) -> DataFrame:
     place = F.struct("file_id", "at")
     # Sources in the order they were first seen: one row a source and group, then one a group.
     by_source = (
-        error_entries(df)
-        .groupBy("key", "source")
+        entries.groupBy("key", "source")
         .agg(
             F.count("*").alias("n"),
             F.min(F.struct(place.alias("place"), "sample")).alias("head"),
@@ -216,10 +227,17 @@ def collapse_repeats(df: DataFrame) -> DataFrame:
     return out.select(*names, repeat)
 
 
+def section_marks(text: Column) -> tuple[Column, Column, Column]:
+    """(whether a line starts a section, whether it ends one, the title of one that starts)."""
+    rest = without_source(text)
+    starts = rest.rlike(SECTION_START)
+    return starts, rest.rlike(SECTION_END) & ~starts, trim(F.regexp_extract(rest, SECTION_START, 1))
+
+
 def sections(df: DataFrame) -> DataFrame:
     """(file_id, start, title, end, errors, lines): the sections of a build log; a new one ends the one before."""
-    rest = without_source(F.col("text"))
-    df = df.withColumns({"is_start": rest.rlike(SECTION_START), "is_end": rest.rlike(SECTION_END) & ~rest.rlike(SECTION_START)})
+    starts, ends, title = section_marks(F.col("text"))
+    df = df.withColumns({"is_start": starts, "is_end": ends})
     df = carry(
         df,
         {
@@ -229,9 +247,8 @@ def sections(df: DataFrame) -> DataFrame:
     )
     member = F.col("start").isNotNull() & (F.col("ended").isNull() | (F.col("ended") < F.col("start")))
     error = (F.col("level") == "ERROR") & ~F.col("continuation") & ~F.col("is_start")
-    title = F.when(F.col("is_start"), trim(F.regexp_extract(rest, SECTION_START, 1)))
     return df.where(member).groupBy("file_id", "start").agg(
-        F.max(title).alias("title"),
+        F.max(F.when(F.col("is_start"), title)).alias("title"),
         F.max("number").alias("end"),
         F.count_if(error).alias("errors"),
         F.count("*").alias("lines"),

@@ -18,7 +18,7 @@ from logquarry.functions.times import DAY_MS, parse_timestamp, time_of_day
 from logquarry.operators.json_blocks import OPENER, run_events, with_json_blocks
 from logquarry.operators.ordered import CHUNK, carry, steps_down, with_chunks
 from logquarry.options import ParseOptions
-from logquarry.staging import settled
+from logquarry.staging import discard, settled
 
 # What continues an entry, what starts a step of a build, and a bare Java exception.
 CONTINUATION = (
@@ -87,12 +87,24 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
     if chunked:  # A chunk's lines meet before they are read, so reading them is dealt over as many tasks as what follows.
         df = df.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", CHUNK)
     df = _classified(df, options)
-    df = settled(df, "classified") if chunked else df
-    blocks = options.json_blocks and not (chunked and df.where("is_opener").isEmpty())
-    df = carry(df, {"in_key": (F.col("key_marker"), False)} | (run_events() if blocks else {}))
-    df = df.withColumn("in_key", F.coalesce("in_key", F.lit(False)))
-    if blocks:
-        df = with_json_blocks(settled(df, "runs"), options, usable_levels(options.custom_levels))
+    has_keys = has_blocks = has_clocks = True
+    written = []
+    if chunked:  # What a log does not have is not carried along.
+        df = settled(df, "classified")
+        written.append(df)
+        has_keys, has_blocks, has_clocks = df.agg(
+            *[F.coalesce(F.bool_or(c), F.lit(False)) for c in (F.col("key_marker").isNotNull(), F.col("is_opener"), F.col("clock").isNotNull())]
+        ).first()
+    has_blocks &= options.json_blocks
+    if has_keys or has_blocks:
+        df = carry(df, {"in_key": (F.col("key_marker"), False)} | (run_events() if has_blocks else {}))
+        df = df.withColumn("in_key", F.coalesce("in_key", F.lit(False)))
+    else:
+        df = df.withColumn("in_key", F.lit(False))
+    if has_blocks:
+        df = settled(df, "runs")
+        written.append(df)
+        df = with_json_blocks(df, options, usable_levels(options.custom_levels))
     inside = F.col("in_key")
     end = F.coalesce(~F.col("key_marker"), F.lit(False))
     df = df.withColumns(
@@ -107,7 +119,7 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
     )
     head = ~F.col("continuation")
     df = df.withColumn("clock", F.when(head & F.col("full_time").isNull(), F.col("clock")))
-    df = steps_down(df, "days", "clock", DAY_MS // 2)
+    df = steps_down(df, "days", "clock", DAY_MS // 2) if has_clocks else df.withColumn("days", F.lit(0))
     day = (F.lit(options.base_day).cast("long") + F.col("days")) * DAY_MS
     df = df.withColumns(
         {
@@ -115,7 +127,9 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
             "time": F.when(head, F.coalesce("full_time", day + F.col("clock"))),
         }
     ).drop("plain", "key_marker", "in_key", "continues", "is_opener", "clock", "days", "full_time")
-    df = settled(df, "timed") if chunked else df
+    if chunked and (has_keys or has_blocks or has_clocks):
+        df = settled(df, "timed")
+        discard(*written)
 
     told = head & (F.col("own_level").isNotNull() | F.col("time").isNotNull())
     at = F.col("number").alias("at")
