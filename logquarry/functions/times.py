@@ -101,8 +101,9 @@ def time_of_day(text: Column) -> Column:
         ms = _millis(F.substring(found, 10, 3))
         return F.when((h <= 23) & (mi <= 59) & (s <= 60), ((h * 60 + mi) * 60 + s) * 1000 + ms)
 
-    found = F.regexp_extract(F.substring(text, 1, 20), TIME_ONLY, 0)
-    return bound(F.replace(found, F.lit("["), F.lit("")), value)
+    head = F.substring(text, 1, 20)
+    found = F.regexp_extract(head, TIME_ONLY, 0)
+    return F.when(head.rlike(TIME_ONLY), bound(F.replace(found, F.lit("["), F.lit("")), value))
 
 
 def format_time(ms: Column, zone: str | None = None) -> Column:

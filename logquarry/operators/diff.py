@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import normalize_line, normalize_whitespace
+from logquarry.staging import settled
 
 
 def compare_key(text: Column, volatile: bool = False, spaces: bool = False) -> Column:
@@ -35,18 +36,18 @@ def json_leaves(df: DataFrame) -> DataFrame:
     while True:
         kind = F.schema_of_variant("v")
         is_object, is_array = kind.startswith("OBJECT<") & (kind != "OBJECT<>"), kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>")
-        opened = rows.withColumns({"is_object": is_object, "is_array": is_array}).persist()
-        done = opened.where("v IS NULL OR NOT (is_object OR is_array)").select("id", "path", F.to_json("v").alias("value"))
+        inside = F.coalesce(is_object | is_array, F.lit(False))
+        opened = settled(rows.select("id", "path", F.to_json("v").alias("value"), inside.alias("inside")), "json-level")
+        done = opened.where("NOT inside").select("id", "path", "value")
         leaves = done if leaves is None else leaves.union(done)
-        inner = opened.where("is_object OR is_array")
+        inner = opened.where("inside")
         if inner.isEmpty():
             return leaves
-        inner.createOrReplaceTempView("json_level")
-        rows = df.sparkSession.sql(
-            "SELECT id, path || CASE WHEN c.key IS NULL THEN '[' || c.pos || ']' "
-            "WHEN c.key RLIKE '^[A-Za-z_$][A-Za-z0-9_$]*\\\\z' THEN '.' || c.key ELSE '[\"' || c.key || '\"]' END AS path, "
-            "c.value AS v FROM json_level, LATERAL variant_explode(v) AS c"
-        )
+        parts = inner.select("id", "path", F.parse_json("value").alias("v")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        plain = F.col("key").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*\z")
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]")))
+        step = step.when(plain, F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit('["'), "key", F.lit('"]')))
+        rows = parts.select("id", F.concat("path", step).alias("path"), F.col("value").alias("v"))
 
 
 def json_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def _classified(lines: DataFrame, options: ParseOptions) -> DataFrame:
         (~F.col("is_json") & ~rest.rlike(CONTINUATION) & raw.contains("{") & raw.rlike(OPENER)).alias("is_opener"),
         F.coalesce("record.level", detect_level(F.col("level_text"), custom)).alias("own_level"),
         F.coalesce("record.time", parse_timestamp(F.col("time_text"), options.default_year)).alias("full_time"),
-        F.when(~F.col("is_json"), time_of_day(rest)).alias("clock"),
+        F.when(~F.col("is_json") & rest.rlike(r"\A\[?\d\d:"), time_of_day(rest)).alias("clock"),
         F.when(rest.rlike(STEP), "step").when(rest.rlike(EXCEPTION), "exception").alias("role"),
         has_secret(F.col("text"), options.secret_patterns).alias("secret"),
     )

@@ -35,7 +35,7 @@ def csv_header(columns: list[str]) -> str:
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str, mask: bool = False) -> None:
-    """Rows end in CR LF; every file starts with the header that csv_header gives, as a row of its own."""
+    """Rows end in CR LF; the header that csv_header gives is the first row of the first file."""
     rows = csv_rows(df, columns, mask).repartitionByRange("file_id", "number").sortWithinPartitions("file_id", "number")
     spark = df.sparkSession
     head = spark.createDataFrame([(csv_header(columns),)], "row string").coalesce(1)

@@ -313,13 +313,9 @@ def error_diff(spark, sf_dir):
 SELECT CAST(day AS VARCHAR) AS title, count(*) FILTER (WHERE level = 'ERROR') AS errors, count(*) + 2 AS lines FROM d GROUP BY day""")
 def sections(spark, sf_dir):
     """Each day's events stand between the marks of a section."""
-    from pyspark.sql import Window
-
-    day = F.to_date("ts")
-    days = Window.partitionBy(F.to_date("ts"))
-    events = _events(spark, sf_dir).withColumns(
-        {"lo": F.min("number").over(days), "hi": F.max("number").over(days), "day": day.cast("string")}
-    )
+    events = _events(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    days = events.groupBy("day").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    events = events.join(days, "day")
     head = F.when(F.col("number") == F.col("lo"), F.struct(F.lit(0).alias("at"), F.concat(F.lit("##[group]"), "day").alias("raw")))
     foot = F.when(F.col("number") == F.col("hi"), F.struct(F.lit(2).alias("at"), F.lit("##[endgroup]").alias("raw")))
     body = F.struct(F.lit(1).alias("at"), _plain_text().alias("raw"))

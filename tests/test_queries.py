@@ -1,6 +1,6 @@
 import pytest
 
-from logquarry.plans.log_queries import QUERIES, SQL
+from logquarry.plans.registry import QUERIES, SQL
 from tests.oracle import rows_of_df, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
