@@ -23,7 +23,7 @@ import numpy as np
 import tiktoken
 
 #: Words a worker keeps.
-MEMO = 1_000_000
+MEMO = 700_000
 #: Texts' words looked up at once, few enough to stay in a processor's cache.
 BATCH_WORDS = 30_000
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
