@@ -6,8 +6,8 @@ of for the other one to learn from. Both are calibrated on held-out labels and c
 scores every document.
 
 Fitting uses ``LABELLED`` labelled documents at most, those with the least hashed ids, and every unlabelled one. The
-features of the unlabelled ones are written once and read again at each Newton step, which takes sums of gradient and
-Hessian from them, so that no such row reaches the driver. Pseudo-labels weigh half of a label, and all of them together
+features of the unlabelled ones are written once and read again at each Newton step, which takes sums of loss, gradient
+and Hessian from them, so that no such row reaches the driver. Pseudo-labels weigh half of a label, and all of them together
 half of all labels at most. Scoring covers all rows and whole texts. Defined cases: a null text counts as empty;
 missing metadata is a value of its own; a label that is null, or whose document is missing, is left out; where labels of
 both kinds are missing, every score is 0.5 and every document is kept; an empty table gives an empty result; further
@@ -41,6 +41,8 @@ SUM_ROWS = 16
 SUM_BATCH = 4096
 #: Every fifth labelled document of each kind is held out, for calibration.
 HELD_OUT = 5
+#: Looks at all rows that a fit may take.
+PASSES = 60
 META_BINS = 64
 CUT = 0.5
 
@@ -83,29 +85,37 @@ def meta_features(row: tuple) -> np.ndarray:
     return out
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and Hessian of the rows ``x``, which end in a 1."""
-    p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the rows ``x``, which end in a 1."""
+    z = np.clip(x @ b, -30, 30)
+    p = 1 / (1 + np.exp(-z))
     h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-    return x.T @ (weight * (p - y)), h
+    return float(weight @ (np.logaddexp(0, z) - y * z)), x.T @ (weight * (p - y)), h
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, start=None, more=None) -> np.ndarray:
-    """Coefficients, the intercept last, by Newton steps; ``more`` gives the gradient and Hessian of further rows."""
+    """Coefficients, the intercept last, by Newton steps, halved where the loss would rise; ``more`` gives the loss,
+    gradient and Hessian of further rows."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
-    b = np.zeros(x.shape[1]) if start is None else start
-    for _ in range(30):
-        g, h = _newton(x, y, weight, b)
+    b = at = np.zeros(x.shape[1]) if start is None else start
+    least, step = np.inf, None
+    for _ in range(PASSES):
+        loss, g, h = _newton(x, y, weight, b)
         if more is not None:
-            g2, h2 = more(b)
-            g, h = g + g2, h + h2
-        step = np.linalg.solve(h + np.diag(ridge), g + ridge * b)
-        b = b - step * min(1, 5 / max(1e-9, np.abs(step).max()))
+            loss2, g2, h2 = more(b)
+            loss, g, h = loss + loss2, g + g2, h + h2
+        loss += (ridge * b * b).sum() / 2
+        if loss > least + 1e-9 * abs(least):
+            step = step / 2
+        else:
+            at, least = b, loss
+            step = np.linalg.solve(h + np.diag(ridge), g + ridge * b)
+        b = at - step
         if np.abs(step).max() < (1e-6 if more is None else 1e-3):
-            break
-    return b
+            return b
+    return at
 
 
 @dataclass
@@ -205,11 +215,11 @@ def _learn(
             def newton(text, meta):
                 z, labels = given(text, meta)
                 z = np.hstack([(z - mean) / scale, np.ones((len(z), 1))])
-                g, h = _newton(z, labels, np.full(len(z), weight), b)
-                return np.concatenate([g, h.ravel()])
+                loss, g, h = _newton(z, labels, np.full(len(z), weight), b)
+                return np.concatenate([[loss], g, h.ravel()])
 
             sums = pool.total(newton)
-            return sums[: len(b)], sums[len(b) :].reshape(len(b), len(b))
+            return sums[0], sums[1 : len(b) + 1], sums[len(b) + 1 :].reshape(len(b), len(b))
 
         # The view of the round before, in this round's scale.
         start = np.append(before.weights[:-1] / before.scale * scale, 0)

@@ -6,6 +6,10 @@ import re
 from collections import defaultdict
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, spans int, component string"
+CLASHING = (
+    "term string", "n long", "total long", "piece int", "length long", "ids binary", "n_tokens long", "kind string", "bucket int",
+    "blob binary", "start long", "n_bytes long", "suspect boolean", "norm string", "rid long", "block int", "fp long",
+)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -67,6 +71,20 @@ def frame(spark, rows=None, parts=3):
     return spark.createDataFrame(documents() if rows is None else rows, SCHEMA).repartition(parts)
 
 
+def odd_documents(spark):
+    """(rows, docs): the shared odd rows and texts of over 1 MiB, with columns named like those that operators make."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    long_text = " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(250_000))
+    rows = [*documents(), (9000, long_text, "fr", "long", 1, "x", 7, "c"), (9001, "w" * 300_000, None, None, 1, "x", 7, "c")]
+    docs = frame(spark, rows)
+    for c in CLASHING:
+        name, kind = c.split()
+        docs = docs.withColumn(name, F.lit(None).cast(kind))
+    return rows, docs
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 

@@ -11,7 +11,6 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from logquarry.llm import alignment, cost_packing, divergence
 from logquarry.llm.bpe import TextEncoder
@@ -22,7 +21,6 @@ from tests.oracle import rows_of_df, rows_of_sql
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-CLASHING = ["term string", "n long", "total long", "piece int", "length long", "ids binary", "n_tokens long", "kind string", "bucket int", "blob binary"]
 TEXTS = st.lists(st.text(alphabet=st.sampled_from(list("abcXY 12\n\t\r.,'\"!é▁日😀 \x1c\x00")), max_size=60), max_size=8)
 
 
@@ -36,18 +34,6 @@ def both():
     return alignment.Aligner(BPE, PIECES)
 
 
-def odd_documents(spark):
-    """The shared odd rows and a text of over 1 MiB, with columns named like those that the operators make."""
-    r = random.Random(3)
-    long_text = " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(250_000))
-    rows = [*brute.documents(), (9000, long_text, "fr", "long", 1, "x", 7, "c"), (9001, "w" * 300_000, None, None, 1, "x", 7, "c")]
-    docs = brute.frame(spark, rows)
-    for c in CLASHING:
-        name, kind = c.split()
-        docs = docs.withColumn(name, F.lit(None).cast(kind))
-    return rows, docs
-
-
 # --- operator 11
 
 
@@ -87,7 +73,7 @@ def test_audit_equals_brute_force(spark, block, terms, entries, slab):
 
 
 def test_audit_of_odd_documents_and_of_none(spark):
-    rows, docs = odd_documents(spark)
+    rows, docs = brute.odd_documents(spark)
     got = divergence.audit(docs).collect()
     assert sorted(tuple(x) for x in got) == brute_audit(rows, 3, 200)
     assert divergence.audit(brute.empty(spark)).collect() == []
@@ -171,7 +157,7 @@ def test_units_give_the_libraries_tokens(both, texts):
 
 @pytest.mark.parametrize("buckets, task_postings", [(32, 8_000_000), (5, 300)])
 def test_alignment_equals_brute_force(spark, both, buckets, task_postings):
-    rows, docs = odd_documents(spark)
+    rows, docs = brute.odd_documents(spark)
     got = alignment.align(docs, BPE, PIECES, buckets, task_postings).collect()
     assert in_order(got) == in_order(brute_alignment(both, [r[:2] for r in rows]))
 
@@ -226,7 +212,7 @@ def check_cost_packing(rows, documents, bpe, size):
 
 @pytest.mark.parametrize("size, run_rows", [(1024, 5_000), (64, 3)])
 def test_cost_packing_of_odd_documents(spark, bpe, size, run_rows):
-    rows, docs = odd_documents(spark)
+    rows, docs = brute.odd_documents(spark)
     got = cost_packing.pack_documents(docs, BPE, size=size, run_rows=run_rows).collect()
     check_cost_packing(got, [r[:2] for r in rows], bpe, size)
 
