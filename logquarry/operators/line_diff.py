@@ -5,7 +5,7 @@ over a grid of blocks where a log is long. What lies between two anchors is a ga
 anchors of their own; short ones go to Myers' algorithm, each in one task's memory; a long gap without anchors keeps its
 common start and end, and what is between counts as replaced. No task holds a whole log.
 
-A pair of logs has a name, the column ``pair``, so that many are compared at once; without it there is one pair, ''.
+A pair of logs has a name, the column ``pair``, so that many are compared at once; without it, or null, it is ''.
 A line's ``step`` is its place on the left plus its place on the right, counting what came before it, so a script is put
 in order by (pair, step).
 """
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.edits import compared
@@ -80,8 +80,12 @@ def heaviest_path(cells: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _pair(df: DataFrame) -> Column:
+    return F.coalesce(F.col("pair").cast("string"), F.lit("")) if "pair" in df.columns else F.lit("")
+
+
 def _side(df: DataFrame, side: int, volatile: bool, spaces: bool) -> DataFrame:
-    pair = F.col("pair").cast("string") if "pair" in df.columns else F.lit("")
+    pair = _pair(df)
     key = compare_key(F.coalesce("text", F.lit("")), volatile, spaces)
     rows = df.select(pair.alias("pair"), F.lit(side).alias("side"), F.col("number").cast("long").alias("number"), key.alias("key"))
     rows = rows.withColumn("file_id", F.concat("pair", F.lit("\n"), "side"))
@@ -276,7 +280,7 @@ def _numbered(script: DataFrame, numbers: DataFrame) -> DataFrame:
 def with_texts(script: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """``script`` with left_text and right_text, null where a row has no line on that side."""
     for df, name in ((before, "left"), (after, "right")):
-        pair = F.col("pair").cast("string") if "pair" in df.columns else F.lit("")
+        pair = _pair(df)
         own = df.select(pair.alias("pair"), F.col("number").cast("long").alias(name), F.coalesce("text", F.lit("")).alias(f"{name}_text"))
         script = script.join(own, ["pair", name], "left")
     return script

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.functions import spans, tools
+from logquarry.functions import spans, times, tools
 from logquarry.functions import text as tx
 from logquarry.functions.secrets import find_secrets, has_secret, mask_secrets
 from logquarry.operators import aggregates as agg
@@ -265,3 +265,114 @@ def text_tools(spark, sf_dir):
         tx.url_decode(tx.url_encode(_text(segment, "/é?"))).alias("url"),
         tx.camel_case(_text(segment, " ", segment)).alias("camel"),
     )
+
+
+def _kinds_of_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors whose kind is a word made of their user, in three lines each; other events in one."""
+    letters = F.translate(F.col("user_id").cast("string"), "0123456789", "ghijklmnop")
+    head = _text(F.col("level"), " kind ", letters)
+    rows = F.when(F.col("level") == "ERROR", F.array(head, F.lit("\tat a.B.c(D.java)"), F.lit("\tat a.B.d(D.java)"))).otherwise(F.array(head))
+    events = _events(spark, sf_dir).select("number", F.posexplode(rows).alias("pos", "raw"))
+    return parse(_lines(events, F.col("raw"), number=F.col("number") * 3 + F.col("pos") - 2))
+
+
+@_query("log_group_lines", """WITH {EV}, e AS (SELECT number, count(*) OVER (PARTITION BY user_id) AS n FROM ev WHERE level = 'ERROR')
+SELECT number * 3 - 2 + unnest([0, 1, 2]) AS number FROM e WHERE n >= 2""")
+def group_lines(spark, sf_dir):
+    """All lines of the entries of errors that happened more than once."""
+    lines = _kinds_of_errors(spark, sf_dir)
+    return agg.group_lines(lines, agg.error_groups(lines).where("count >= 2")).select("number")
+
+
+@_query("log_top_groups", """WITH {EV}, g AS (SELECT user_id, count(*) AS count, min(number) * 3 - 2 AS line FROM ev WHERE level = 'ERROR' GROUP BY user_id)
+SELECT 'ERROR kind ' || translate(CAST(user_id AS VARCHAR), '0123456789', 'ghijklmnop') AS sample, count, line = (SELECT min(line) FROM g) AS is_earliest
+FROM g ORDER BY count DESC, line LIMIT 50""")
+def top_groups(spark, sf_dir):
+    """The fifty groups of errors that a panel shows, the first error of the log marked if it is among them."""
+    return agg.top_groups(agg.error_groups(_kinds_of_errors(spark, sf_dir))).select("sample", "count", "is_earliest")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _text(_at("yyyy-MM-dd HH:mm:ss.SSS"), " ", F.col("level"), " k=", F.col("k"), F.when(F.col("number") % 3 == 0, " extra=1").otherwise(""))
+    return parse(_lines(_events(spark, sf_dir), raw))
+
+
+@_query("log_folded_sections", """WITH {EV}, d AS (SELECT min(number) AS lo FROM ev GROUP BY CAST(make_timestamp(ms * 1000) AS DATE))
+SELECT lo * 2 - 1 AS number FROM d""")
+def folded_sections(spark, sf_dir):
+    """Each day's events are a section of a build log; of a folded one its first line stays."""
+    events = _events(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    first = events.groupBy("day").agg(F.min("number").alias("lo"))
+    own = F.array(F.lit("INFO step"), F.lit(None).cast("string"))
+    rows = F.when(F.col("number") == F.col("lo"), F.array(_text("##[group]", F.col("day")), F.lit("INFO step"))).otherwise(own)
+    events = events.join(first, "day").select("number", F.posexplode(rows).alias("pos", "raw")).where("raw IS NOT NULL")
+    lines = parse(_lines(events, F.col("raw"), number=F.col("number") * 2 + F.col("pos") - 1))
+    return filters.fold_sections(lines, agg.sections(lines)).select("number")
+
+
+@_query("log_jumps_and_ranges", """WITH {EV} SELECT 'next' AS what, coalesce(min(number) FILTER (WHERE number > 50), min(number)) AS n FROM ev WHERE level = 'ERROR'
+UNION ALL SELECT 'previous', coalesce(max(number) FILTER (WHERE number < 50), max(number)) FROM ev WHERE level = 'ERROR'
+UNION ALL SELECT 'around', coalesce(min(number) FILTER (WHERE number > 999999999), min(number)) FROM ev WHERE level = 'ERROR'
+UNION ALL SELECT 'lines', count(*) FROM ev WHERE number BETWEEN 10 AND 60
+UNION ALL SELECT 'span', max(ms) - min(ms) FROM ev WHERE number BETWEEN 10 AND 60""")
+def jumps_and_ranges(spark, sf_dir):
+    lines = _timed(spark, sf_dir)
+    error = F.col("level") == "ERROR"
+    jumps = (("next", 50, True), ("previous", 50, False), ("around", 999_999_999, True))
+    found = [filters.jump(lines, at, error, forward).select(F.lit(name).alias("what"), F.col("number").alias("n")) for name, at, forward in jumps]
+    part = agg.range_summary(lines, 10, 60)
+    found += [part.select(F.lit("lines"), "lines"), part.select(F.lit("span"), "span_ms")]
+    out = found[0]
+    for other in found[1:]:
+        out = out.union(other)
+    return out
+
+
+@_query("log_status_line", """WITH {EV} SELECT count(*) FILTER (WHERE level = 'ERROR') AS shown, count(*) AS total, count(*) FILTER (WHERE level <> 'ERROR') AS hidden FROM ev""")
+def status_line(spark, sf_dir):
+    """How many lines a filter shows and hides; lines of context are not counted as shown."""
+    lines = _timed(spark, sf_dir)
+    return agg.status_counts(filters.with_context(lines, F.col("level") == "ERROR", 2), lines)
+
+
+@_query("log_common_fields", """WITH {EV} SELECT 'k' AS key, count(*) AS entries FROM ev WHERE number <= 500
+UNION ALL SELECT 'extra', count(*) FROM ev WHERE number <= 500 AND number % 3 = 0""")
+def common_fields(spark, sf_dir):
+    """Field names among a log's first 500 lines, which is what is looked at for suggestions."""
+    return agg.common_fields(_timed(spark, sf_dir))
+
+
+@_query("log_shown_durations", """WITH {EV}, d AS (SELECT number, CAST(k AS BIGINT) * k * k * 10 AS n FROM ev)
+SELECT number, '+' || CASE WHEN n < 1000 THEN n || 'ms' WHEN n // 100 < 600 THEN (n // 1000) || '.' || (n // 100 % 10) || 's'
+WHEN n // 1000 < 3600 THEN (n // 60000) || 'm' || (n // 1000 % 60) || 's' ELSE (n // 3600000) || '.' || (n // 360000 % 10) || 'h' END AS gap,
+regexp_replace(CASE WHEN n < 1000 THEN n || 'ms' WHEN floor(n / 100 + 0.5) / 10 < 60 THEN (floor(n / 100 + 0.5) / 10) || 's'
+WHEN floor(n / 6000 + 0.5) / 10 < 60 THEN (floor(n / 6000 + 0.5) / 10) || 'm' ELSE (floor(n / 360000 + 0.5) / 10) || 'h' END, '\\.0([smh])$', '\\1') AS duration FROM d""")
+def shown_durations(spark, sf_dir):
+    k = F.col("k").cast("long")
+    return _events(spark, sf_dir).select("number", times.format_gap(k * k * k * 10).alias("gap"), times.format_duration(k * k * k * 10).alias("duration"))
+
+
+@_query("log_bookmarks", """WITH {EV}, b AS (SELECT number, 'k is 7' AS note, ms AS time FROM ev WHERE k = 7)
+SELECT number, note, time, time - lag(time) OVER (ORDER BY number) AS since_ms FROM b""")
+def bookmarks(spark, sf_dir):
+    lines = _timed(spark, sf_dir)
+    marked = _events(spark, sf_dir).where("k = 7").select("number", F.lit("k is 7").alias("note"))
+    return agg.bookmark_rows(lines, marked).select("number", "note", "time", "since_ms")
+
+
+@_query("log_changed_ranges", """WITH {EV} SELECT number, length(CAST(k AS VARCHAR)) + 2 AS before_start, length(CAST(k AS VARCHAR)) + 2 AS before_end,
+length(CAST(k AS VARCHAR)) + 2 AS after_start, length(CAST(k AS VARCHAR)) + 2 + length(event_type) AS after_end FROM ev""")
+def changed_ranges(spark, sf_dir):
+    before, after = _text("k=", F.col("k"), " end"), _text("k=", F.col("k"), F.upper("event_type"), " end")
+    return _events(spark, sf_dir).select("number", spans.changed_range(before, after).alias("r")).select("number", "r.*")
+
+
+@_query(
+    "log_csv_cells",
+    "WITH {EV} SELECT number, [chr(39) || '=1+' || k, '\"a,' || k || '\"', '\"a \"\"' || k || '\"\"\"', 'a ' || k][number % 4 + 1] AS cell FROM ev",
+)
+def csv_cells(spark, sf_dir):
+    """Cells that look like formulas are guarded, those with commas and quotes are quoted."""
+    k = F.col("k")
+    cell = _one_of(_text("=1+", k), _text("a,", k), _text('a "', k, '"'), _text("a ", k))
+    return _events(spark, sf_dir).select("number", tx.quote_csv(cell).alias("cell"))

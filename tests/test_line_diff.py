@@ -143,6 +143,13 @@ def test_volatile_parts_and_numbers_with_gaps(spark):
     assert [(r["kind"], r["left"], r["right"]) for r in rows] == [("same", 1, 1), ("add", None, 2), ("same", 11, 3)]
 
 
+def test_a_pair_without_a_name(spark):
+    made = [spark.createDataFrame([(None, i + 1, t) for i, t in enumerate(x)], "pair string, number long, text string") for x in ("abc", "axc")]
+    assert [tuple(r)[:5] for r in ld.line_diff(*made).orderBy("step").collect()] == [
+        ("", 2, "same", 1, 1), ("", 3, "del", 2, None), ("", 4, "add", None, 2), ("", 6, "same", 3, 3),
+    ]
+
+
 def test_many_pairs_at_once(spark):
     sides = {p: logs(p, 60) for p in range(5)}
     before = after = None
