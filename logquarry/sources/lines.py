@@ -41,7 +41,8 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines of text files of any size, plain or compressed with a known suffix.
 
     Files are read in splits. Rows of a split are numbered by their place in its task; a file's splits are then lined up
-    by what stands before each, a sum over one small row a split. No line is moved.
+    by what stands before each, a sum over one small row a split. Lines stay where they are as long as Spark finds these
+    rows small enough to broadcast; beyond that they are joined by file and split.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file_id"),
