@@ -62,6 +62,10 @@ def has_secret(text: Column, own: tuple[str, ...] = ()) -> Column:
     return out
 
 
+def _rules(case_sensitive: bool) -> list[str]:
+    return [p.removeprefix("(?i)") if case_sensitive else p for p in PATTERNS]
+
+
 def _by_hints() -> list[tuple[tuple[str, ...], list[str]]]:
     groups: dict[tuple[str, ...], list[str]] = {}
     for hints, regex in zip(_HINTS, PATTERNS, strict=True):
@@ -69,9 +73,12 @@ def _by_hints() -> list[tuple[tuple[str, ...], list[str]]]:
     return list(groups.items())
 
 
-def mask_secrets(text: Column, own: tuple[str, ...] = ()) -> Column:
-    """Every secret as a fixed mask, whatever its length; public prefixes stay."""
-    for regex in PATTERNS:
+def mask_secrets(text: Column, own: tuple[str, ...] = (), case_sensitive: bool = False) -> Column:
+    """Every secret as a fixed mask, whatever its length; public prefixes stay.
+
+    case_sensitive: the names of credentials count in lower case alone.
+    """
+    for regex in _rules(case_sensitive):
         text = F.regexp_replace(text, regex, f"$1{MASK}" + ("$2" if re.compile(regex).groups > 1 else ""))
     for regex in _own(own):
         text = F.regexp_replace(text, regex, MASK)
