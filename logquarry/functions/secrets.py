@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logquarry.functions.levels import bound
 from logquarry.functions.regex_risk import regex_risk
 
 MASK = "********"
@@ -46,10 +47,11 @@ def _own(patterns: tuple[str, ...]) -> tuple[str, ...]:
     return patterns
 
 
-def has_secret(text: Column, own: tuple[str, ...] = ()) -> Column:
+def has_secret(text: Column, own: tuple[str, ...] = (), case_sensitive: bool = False) -> Column:
+    """Whether a text holds a secret; case_sensitive: the names of credentials count in lower case alone."""
     low = F.lower(text)
     out = text.contains("-----BEGIN") & text.rlike(PEM_BEGIN)
-    for hints, group in _by_hints():
+    for hints, group in _by_hints(case_sensitive):
         some = low.contains(hints[0])
         for hint in hints[1:]:
             some = some | low.contains(hint)
@@ -66,9 +68,9 @@ def _rules(case_sensitive: bool) -> list[str]:
     return [p.removeprefix("(?i)") if case_sensitive else p for p in PATTERNS]
 
 
-def _by_hints() -> list[tuple[tuple[str, ...], list[str]]]:
+def _by_hints(case_sensitive: bool = False) -> list[tuple[tuple[str, ...], list[str]]]:
     groups: dict[tuple[str, ...], list[str]] = {}
-    for hints, regex in zip(_HINTS, PATTERNS, strict=True):
+    for hints, regex in zip(_HINTS, _rules(case_sensitive), strict=True):
         groups.setdefault(hints, []).append(regex)
     return list(groups.items())
 
@@ -109,21 +111,26 @@ def _places(text: Column, regex: str, kept: int) -> Column:
 
     The pieces between matches and the matches themselves take turns, so their lengths tell where each match stands.
     """
-    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    between = F.split(text, regex, -1)
-    groups = [F.regexp_extract_all(text, F.lit(regex), F.lit(i + 1)) for i in range(kept)]
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(RANGES).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(matches, i))
-        a = start + (F.length(F.get(groups[0], i)) if kept > 0 else 0)
-        b = end - (F.length(F.get(groups[1], i)) if kept > 1 else 0)
-        one = F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    ranges = F.aggregate(F.transform(matches, lambda m, i: i), zero, step, lambda acc: acc["out"])
-    return F.filter(ranges, lambda r: r["end"] > r["start"])
+    def ranges(read: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(read["between"], i))
+            end = start + F.length(F.get(read["matches"], i))
+            a = start + (F.length(F.get(read["group0"], i)) if kept > 0 else 0)
+            b = end - (F.length(F.get(read["group1"], i)) if kept > 1 else 0)
+            one = F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
+            return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+
+        places = F.transform(read["matches"], lambda m, i: i)
+        return F.filter(F.aggregate(places, zero, step, lambda acc: acc["out"]), lambda r: r["end"] > r["start"])
+
+    read = F.struct(
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("matches"),
+        F.split(text, regex, -1).alias("between"),
+        *[F.regexp_extract_all(text, F.lit(regex), F.lit(i + 1)).alias(f"group{i}") for i in range(kept)],
+    )
+    return bound(read, ranges)
 
 
 def _joined(out: Column, r: Column) -> Column:
