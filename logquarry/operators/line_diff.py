@@ -92,6 +92,14 @@ def _side(df: DataFrame, side: int, volatile: bool, spaces: bool) -> DataFrame:
     return running_count(with_chunks(rows, CHUNK_LINES), "at", F.lit(True)).withColumn("at", F.col("at").cast("long")).drop("chunk")
 
 
+def _with_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the ``values`` of their ``keys``, one row a key. All lines of a log may share a key, so its values
+    meet one row for each run of places first, and the lines meet these."""
+    rows = rows.withColumn("run", F.floor(F.col("at") / CHUNK_LINES))
+    runs = rows.select(*keys, "side", "run").distinct().join(values, keys)
+    return rows.join(runs, [*keys, "side", "run"]).drop("run")
+
+
 def _anchors(rows: DataFrame) -> DataFrame:
     """(gap, l, r): lines that stand once on either side of their gap."""
     left, right = F.when(F.col("side") == 0, F.col("at")), F.when(F.col("side") == 1, F.col("at"))
@@ -213,7 +221,8 @@ def _long(rows: DataFrame) -> DataFrame:
     shorter = F.least(F.col("l1") - F.col("l0"), F.col("r1") - F.col("r0")) - 1
     start = F.coalesce(F.col("first_ahead") - 1, shorter)
     end = F.least(F.coalesce(F.col("first_behind") - 1, shorter), shorter - start)
-    rows = rows.join(differing("ahead", "first_ahead"), gap).join(differing("behind", "first_behind"), gap)
+    differ = differing("ahead", "first_ahead").join(differing("behind", "first_behind"), gap)
+    rows = _with_values(rows, differ, gap)
     rows = rows.withColumns({"start": start, "end": end})
     head, tail = F.col("ahead") <= F.col("start"), F.col("behind") <= F.col("end")
     same = rows.where(left & (head | tail)).select(
@@ -245,7 +254,7 @@ def line_diff(
     numbers = rows.select("pair", "side", "at", "number")
     totals = rows.groupBy("pair").agg(*[(F.max(F.when(F.col("side") == s, F.col("at")).otherwise(0)) + 1).alias(c) for s, c in ((0, "l1"), (1, "r1"))])
     zero = F.lit(0).cast("long")
-    rows = rows.drop("file_id").join(totals, "pair").withColumns({"l0": zero, "r0": zero})
+    rows = _with_values(rows.drop("file_id"), totals, ["pair"]).withColumns({"l0": zero, "r0": zero})
     script = None
     is_short = (F.col("l1") - F.col("l0") + F.col("r1") - F.col("r0") - 2 <= gap_lines) | (F.col("l1") - F.col("l0") == 1) | (F.col("r1") - F.col("r0") == 1)
     for _ in range(ROUNDS):
@@ -264,9 +273,11 @@ def line_diff(
 
 def _numbered(script: DataFrame, numbers: DataFrame) -> DataFrame:
     """Places become the numbers that lines have in their logs."""
-    for side, name in ((0, "left"), (1, "right")):
-        own = numbers.where(F.col("side") == side).select("pair", F.col("at").alias(f"{name}_at"), F.col("number").alias(name))
-        script = script.join(own, ["pair", f"{name}_at"], "left")
+    for side, name, other in ((0, "left", "add"), (1, "right", "del")):
+        own = numbers.where(F.col("side") == side).select("pair", F.col("at").alias("own_at"), F.col("number").alias(name))
+        # Lines of the other side, of which many may share a place here, are dealt by their step.
+        place = F.when(F.col("kind") != other, F.col(f"{name}_at")).otherwise(-1 - F.col("left_at") - F.col("right_at"))
+        script = script.withColumn("own_at", place).join(own, ["pair", "own_at"], "left").drop("own_at")
     return script.select(
         "pair",
         (F.col("left_at") + F.col("right_at")).alias("step"),

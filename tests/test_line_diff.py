@@ -234,3 +234,16 @@ def test_hunks(spark):
     assert [tuple(s) for s in spans["del", 11, None]] == [(5, 7)] and [tuple(s) for s in spans["add", None, 11]] == [(5, 8)]
     assert [tuple(s) for s in spans["add", None, 12]] == [(8, 15)] and spans["del", 12, None] == []
     assert spans["add", None, 13] is None and spans["del", 30, None] is None
+
+
+def test_lines_of_one_pair_meet_its_values_in_many_tasks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(60_000).select(F.lit("p").alias("pair"), F.lit(0).alias("side"), F.col("id").alias("at"))
+        values = spark.range(1).select(F.lit("p").alias("pair"), F.lit(60_001).alias("l1"))
+        joined = ld._with_values(rows, values, ["pair"]).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["n"] for r in joined) == 60_000 and max(r["n"] for r in joined) < 60_000
