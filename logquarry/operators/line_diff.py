@@ -293,7 +293,11 @@ def with_texts(script: DataFrame, before: DataFrame, after: DataFrame) -> DataFr
     for df, name in ((before, "left"), (after, "right")):
         pair = _pair(df)
         own = df.select(pair.alias("pair"), F.col("number").cast("long").alias(name), F.coalesce("text", F.lit("")).alias(f"{name}_text"))
-        script = script.join(own, ["pair", name], "left")
+        # Rows without a line on this side are dealt by their step.
+        script = script.withColumn("apart", F.when(F.col(name).isNull(), F.col("step")).otherwise(-1)).withColumnRenamed(name, "found")
+        own = own.withColumn("apart", F.lit(-1).cast("long")).withColumn("found", F.col(name)).drop(name)
+        script = script.withColumn("at", F.coalesce("found", F.lit(0)))
+        script = script.join(own.withColumnRenamed("found", "at"), ["pair", "at", "apart"], "left").drop("at", "apart").withColumnRenamed("found", name)
     return script
 
 
