@@ -151,3 +151,12 @@ def test_json_tools(spark):
 def test_level_words_outside_their_places(spark):
     lines = ["For more info: see", "ALERT disk", "LOG: rotated", "a/error/log.txt", "error: x", "[warn] y", "E/Tag( 1): z"]
     assert on(spark, levels.detect_level, lines) == [None, None, None, None, "ERROR", "WARN", "ERROR"]
+
+
+def test_a_record_is_read_without_a_decoder_or_encoder_of_its_own(monkeypatch):
+    monkeypatch.setattr(json, "JSONDecoder", None)
+    monkeypatch.setattr(json, "JSONEncoder", None)
+    text = '{"ts": "2024-01-02T03:04:05Z", "level": "info", "msg": "a\\nb", "10": 9007199254740993, "2": {"é": [1, 2.50, "\\""]}}'
+    shown, line, *_ = records.read_record(text, {})
+    assert line == '2024-01-02T03:04:05Z info a ⏎ b {"2":{"é":[1,2.5,"\\""]},"10":9007199254740992}'
+    assert shown.startswith('{"2":{"é":[1,2.5,"\\""]},"10":9007199254740992,"ts":')
