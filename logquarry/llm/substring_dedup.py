@@ -11,8 +11,8 @@ window on, the longest match at any indexed position, extended word by word. A f
 reference, position). After a factor, parsing goes on with the first window that it does not hold whole, which is how
 its boundary is checked. What factors of ``window`` words or more cover is duplicate.
 
-A passage that many documents share is settled in the partition that reads it, up to one row a partition and span; an
-anchor with many spans there is passed on as crowded, without them; and a reference that many segments name is indexed in
+A passage that many documents share is settled in the task that reads it, up to one row a span and stretch of its
+partition (``INDEX_BYTES``); an anchor with many spans there is passed on as crowded, without them; and a reference that many segments name is indexed in
 as many blocks as these fill.
 
 Codes only find candidates, so nothing is removed that is not equal word by word; two different windows of one code could
@@ -39,6 +39,8 @@ ANCHOR = 7
 #: Bytes of text whose anchors one block learns, and that one task parses or indexes as a reference block, about.
 BLOCK_BYTES = 24 << 20
 PARSE_BYTES = 12 << 20
+#: Bytes of text whose spans a task holds before it sends them on.
+INDEX_BYTES = 8 << 20
 #: Spans of one anchor that a partition sends on.
 CROWD = 4
 #: Segments that one copy of a reference answers.
@@ -86,18 +88,25 @@ def window_codes(codes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _index(blocks: int, buckets: int, window: int, anchor: int):
-    """Distinct spans of the partition go to their blocks; documents that an earlier one of the partition answers, or
-    whose anchor is crowded, are told so at once."""
+    """Distinct spans of a stretch of the partition go to their blocks; documents that an earlier one of the stretch
+    answers, or whose anchor is crowded there, are told so at once."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for pdf in batches:
             texts, ids = list(pdf["text"]), pdf["doc_id"].to_numpy(np.int64)
             for part in chunks(texts):
                 doc, anchors, spans, _, _ = spans_of(*word_codes(texts[part]), window, anchor)
                 held.append((anchors, spans, ids[part][doc]))
-        if not held:
-            return
+                size += sum(map(len, texts[part]))
+                if size >= INDEX_BYTES:
+                    yield from dealt(held)
+                    size = 0
+        if held:
+            yield from dealt(held)
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
         anchors, spans, docs = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort((docs, spans, anchors))
@@ -118,7 +127,8 @@ def _index(blocks: int, buckets: int, window: int, anchor: int):
 
 
 def _block(anchors: np.ndarray, blocks: int) -> np.ndarray:
-    return ((anchors >> _U(32)) * _U(blocks) >> _U(32)).astype(np.int64)
+    """Anchors are least codes and so crowd at the low end; mixed, they fill all blocks alike."""
+    return ((mix(anchors) >> _U(32)) * _U(blocks) >> _U(32)).astype(np.int64)
 
 
 def _bucket(docs: np.ndarray, buckets: int) -> np.ndarray:

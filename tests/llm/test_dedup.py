@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -66,6 +67,30 @@ def test_substrings_of_a_crowd(spark, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(brute.removed_words(rows))
 
 
+def test_index_deals_spans_evenly_and_by_stretches(monkeypatch):
+    """Anchors are least codes, but no block gets more than its share; nor does a task hold more than a stretch."""
+    words = np.random.default_rng(3).integers(0, 5_000, (40, 20_000)).astype(str)
+    texts = pd.DataFrame({"doc_id": range(40), "text": [" ".join(x).encode() for x in words]})
+    monkeypatch.setattr(substring_dedup, "INDEX_BYTES", 1 << 20)
+    pieces = pd.concat(substring_dedup._index(32, 4, 13, 7)(iter([texts])))
+    pieces = pieces[pieces["kind"] == substring_dedup._SPANS]
+    sizes = pieces["blob"].str.len().groupby(pieces["place"]).agg(["sum", "count"])
+    assert len(sizes) == 32 and sizes["sum"].max() < 1.3 * sizes["sum"].mean()
+    assert sizes["count"].min() >= texts["text"].str.len().sum() // (3 << 20) > 0
+
+
+def test_substrings_found_across_stretches(spark, monkeypatch):
+    """Every batch of three rows is a stretch of its own; an anchor is crowded in some of them only."""
+    rows = [*brute.documents(), *brute.crowd(n=60)]
+    monkeypatch.setattr(substring_dedup, "INDEX_BYTES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = substring_dedup.substring_dedup(brute.frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(map(tuple, got)) == Counter(brute.removed_words([(r[0], r[1]) for r in rows]))
+
+
 def test_factors_carry_block_and_position_of_equal_words(spark):
     docs = brute.frame(spark).select("doc_id", "text")
     parsed = substring_dedup.parsed_rows(docs, 13, 7)
