@@ -37,8 +37,8 @@ from logquarry.llm.word_codes import chunks, mix, prefix_sums, range_codes, word
 WINDOW = 13
 ANCHOR = 7
 #: Bytes of text whose anchors one block learns, and that one task parses or indexes as a reference block, about.
-BLOCK_BYTES = 24 << 20
-PARSE_BYTES = 12 << 20
+BLOCK_BYTES = 12 << 20
+PARSE_BYTES = 8 << 20
 #: Bytes of text whose spans a task holds before it sends them on.
 INDEX_BYTES = 8 << 20
 #: Spans of one anchor that a partition sends on.
