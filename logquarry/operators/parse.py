@@ -34,13 +34,13 @@ COLUMNS = (
 )
 
 
-def _classified(lines: DataFrame, options: ParseOptions) -> DataFrame:
-    """What each line tells by itself."""
+def _classified(lines: DataFrame, options: ParseOptions, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What each line tells by itself, and the columns to ``keep``."""
     raw = F.col("plain")
     custom = usable_levels(options.custom_levels)
     source, size = split_source(raw)
     begin = raw.rlike(PEM_BEGIN) & ~raw.rlike(PEM_END)
-    df = lines.withColumn("plain", strip_ansi(F.col("raw"))).drop("raw")
+    df = lines.withColumn("plain", strip_ansi(F.col("raw")))
     df = df.withColumns({"source": source, "prefix": size})
     df = df.withColumn("rest", F.substr(raw, F.col("prefix") + 1))
     rest = F.col("rest")
@@ -60,6 +60,7 @@ def _classified(lines: DataFrame, options: ParseOptions) -> DataFrame:
         "file_idx",
         "number",
         *([CHUNK] if CHUNK in df.columns else []),
+        *keep,
         "plain",
         "text",
         "source",
@@ -76,9 +77,11 @@ def _classified(lines: DataFrame, options: ParseOptions) -> DataFrame:
     )
 
 
-def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+def parse(lines: DataFrame, options: ParseOptions = ParseOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
     """The line table of ``lines`` (file_id, file_idx, number, raw).
 
+    keep: columns of ``lines`` that the table has as well, such as raw, so that nothing is joined back to its lines.
+
     Beside what a line shows, it has the entry it belongs to: ``entry_id`` is the number of the line that starts it,
     ``timed_entry_id`` the same where lines without a time belong to the timed entry above, ``entry_time`` the last time.
     """
@@ -86,7 +89,7 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
     df = with_chunks(lines, options.chunk_lines)
     if chunked:  # A chunk's lines meet before they are read, so reading them is dealt over as many tasks as what follows.
         df = df.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", CHUNK)
-    df = _classified(df, options)
+    df = _classified(df, options, keep)
     has_keys = has_blocks = has_clocks = True
     written = []
     if chunked:  # What a log does not have is not carried along.
@@ -159,7 +162,7 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
             "timed_entry_id": F.coalesce("timed_at", "entry_id", F.lit(0)),
         }
     )
-    return df.select(*COLUMNS, *([CHUNK] if chunked else []))
+    return df.select(*COLUMNS, *keep, *([CHUNK] if chunked else []))
 
 
 def with_timed_entries(df: DataFrame) -> DataFrame:

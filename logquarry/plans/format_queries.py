@@ -162,7 +162,7 @@ def ansi_colours(spark, sf_dir):
     raw = _text("\x1b[1;31m", F.col("level"), "\x1b[0m of \x1b[4m", F.col("event_type"), "\x1b[24m end\x1b[K")
     lines = _lines(_events(spark, sf_dir), raw)
     shown = F.transform(spans.ansi_spans(F.col("raw")), lambda s: F.concat_ws(":", s["start"], s["end"], s["cls"]))
-    return parse(lines).select("number", "level", "text").join(lines.select("number", F.array_join(shown, "|").alias("spans")), "number")
+    return parse(lines, keep=("raw",)).select("number", "level", "text", F.array_join(shown, "|").alias("spans"))
 
 
 @_query("log_highlights", """WITH {EV} SELECT number, 'user<cond+match>|=' || user_id || '<cond>| k=' || k || ' <>|user<match>' AS pieces FROM ev""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logquarry.operators.parse import COLUMNS, parse
 from logquarry.options import ParseOptions
+from logquarry.plans.registry import QUERIES
 from logquarry.sources import lines as src
 
 LEVELS = [
@@ -114,3 +115,18 @@ def test_log_sniffing_labels_and_growth(spark):
     assert src.appended_text("ab\n", "ab\ncd\nef") == ("cd\n", 6)
     assert src.appended_text("ab", "ab") == ("", 2)
     assert src.appended_text("ab", "x") is None
+
+
+@pytest.mark.parametrize("chunk", [0, 2])
+def test_raw_lines_stay_with_what_was_read_from_them(spark, chunk):
+    raw = ["\x1b[31mERROR\x1b[0m a", "{", '  "level": "warn"', "}", "-----BEGIN RSA PRIVATE KEY-----", "\x1b[1mMII", "-----END RSA PRIVATE KEY-----"]
+    lines = src.from_text(spark, "\n".join(raw))
+    got = parse(lines, ParseOptions(chunk_lines=chunk), keep=("raw",)).orderBy("number").collect()
+    assert [r["raw"] for r in got] == raw and got[0]["text"] == "ERROR a" and got[1]["level"] == "WARN"
+    assert "raw" not in parse(lines, ParseOptions(chunk_lines=chunk)).columns
+
+
+def test_coloured_lines_are_not_joined_to_themselves(spark):
+    """A side made of every line looked small enough to broadcast, by the size of the compressed table."""
+    plan = QUERIES["log_ansi_colours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "props" not in plan
