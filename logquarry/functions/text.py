@@ -46,12 +46,14 @@ def strip_ansi(raw: Column) -> Column:
 def split_source(raw: Column) -> tuple[Column, Column]:
     """(source or null, length of the prefix) of a line that names its pod, container or file in front."""
     pod, compose, file = _PREFIXES
+    may = raw.startswith("[pod/"), raw.contains("|"), raw.contains("|")
+    is_pod, is_compose, is_file = (m & raw.rlike(p) for m, p in zip(may, _PREFIXES))
     source = (
-        F.when(raw.rlike(pod), F.concat(F.regexp_extract(raw, pod, 1), F.lit("/"), F.regexp_extract(raw, pod, 2)))
-        .when(raw.rlike(compose), F.regexp_extract(raw, compose, 1))
-        .when(raw.rlike(file), F.regexp_extract(raw, file, 1))
+        F.when(is_pod, F.concat(F.regexp_extract(raw, pod, 1), F.lit("/"), F.regexp_extract(raw, pod, 2)))
+        .when(is_compose, F.regexp_extract(raw, compose, 1))
+        .when(is_file, F.regexp_extract(raw, file, 1))
     )
-    size = F.coalesce(*[F.when(raw.rlike(p), F.length(F.regexp_extract(raw, p, 0))) for p in _PREFIXES], F.lit(0))
+    size = F.coalesce(*[F.when(m & raw.rlike(p), F.length(F.regexp_extract(raw, p, 0))) for m, p in zip(may, _PREFIXES)], F.lit(0))
     return source, size
 
 

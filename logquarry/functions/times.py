@@ -36,6 +36,7 @@ FORMATS = (
 # What every format has, and the commonest one.
 _ANY_TIME = r"\d\d:\d\d|\d{10}"
 _ISO = FORMATS[0][0]
+_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})\z"
 TIME_ONLY = r"^\[?(\d{2}):(\d{2}):(\d{2})(?:[.,](\d{1,3})\d*)?(?=[\s\]])"
 
 
@@ -76,18 +77,20 @@ def _value(p: Column, default_year: int) -> Column:
 def parse_timestamp(text: Column, default_year: int) -> Column:
     """The first timestamp in a line's first 80 characters, or null; no zone means UTC.
 
-    An ISO time without a zone is read by a cast; all else, and what the cast refuses, part by part.
+    An ISO time is read by a cast; all else, and what the cast refuses, part by part.
     """
 
     def parts(head: Column) -> Column:
-        found = [F.nullif(F.regexp_extract(head, regex, 0), F.lit("")) for regex, _ in FORMATS]
+        found = [F.get(F.regexp_extract_all(head, F.lit(regex), F.lit(0)), F.lit(0)) for regex, _ in FORMATS]
         return F.split(F.coalesce(*[F.regexp_replace(f, regex, by) for f, (regex, by) in zip(found, FORMATS)]), r"\|", -1)
 
+    def quick(iso: Column) -> Column:
+        return F.unix_millis(F.when(iso.rlike(_ZONE), iso).otherwise(F.concat(iso, F.lit("Z"))).try_cast("timestamp"))
+
     head = F.substring(text, 1, 80)
     iso = F.translate(F.regexp_extract(head, _ISO, 0), "/,", "-.")
-    quick = F.unix_millis(F.concat(iso, F.lit("Z")).try_cast("timestamp"))
     whole = bound(bound(head, parts), lambda p: _value(p, default_year))
-    return F.when(head.rlike(_ANY_TIME), F.coalesce(quick, whole))
+    return F.when(head.rlike(_ANY_TIME), F.coalesce(bound(iso, quick), whole))
 
 
 def time_of_day(text: Column) -> Column:

@@ -17,6 +17,8 @@ import heapq
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,8 @@ from logquarry.staging import settled
 BODY = r"\A(?:[\s}\]]|\z)"
 OPENER = r"\A\s*\{|\{\s*\z"
 MAX_BODY = 5_000
-#: Lines of a piece.
-PIECE = 10_000
+#: Lines of a piece; each is read with MAX_BODY lines of the next, so much shorter ones would be read twice.
+PIECE = 50_000
 PATCH = "file_id string, number long, in_body boolean, block_json string, block_text string, block_level string, block_time long, block_time_text string, block_level_text string"
 GOES_ON = re.compile(r"[\s}\]]|\Z", re.ASCII)
 OUT, QUOTED, ESCAPED = 0, 1, 2
@@ -91,6 +93,10 @@ class Waiting:
 
     def read(self, line: str) -> list[int]:
         """The openers that ``line`` closes."""
+        if len(self.tracks) == 1:
+            [begins] = self.tracks
+            if effect(line, begins) == (0, begins):
+                return []
         moved: dict[int, tuple[list[tuple[int, int]], int]] = {}
         closed = []
         for begins, (heap, shared) in self.tracks.items():
@@ -120,8 +126,10 @@ def ends(lines: Iterable[tuple[int, str, bool, bool]], own: int, most: int = MAX
     for place, text, may_open, goes_on in lines:
         if not goes_on:
             waiting = Waiting()
-        else:
-            out.update((i, place) for i in waiting.read(text) if place - i <= most)
+        elif waiting.tracks:
+            for i in waiting.read(text):
+                if place - i <= most:
+                    out[i] = place
         if may_open and place <= own:
             left_open, begins = opening(text)
             if left_open > 0:
@@ -174,9 +182,9 @@ def starts_run(text: Column) -> Column:
     return ~text.rlike(BODY)
 
 
-def run_events() -> dict[str, tuple[Column, bool]]:
-    """What is carried along for ``with_json_blocks``: the last line that ends all blocks, and the last opener."""
-    run = F.when(starts_run(F.col("plain")), F.col("number"))
+def _run_events() -> dict[str, tuple[Column, bool]]:
+    """What is carried along to find the lines of blocks: the last line that ends all blocks, and the last opener."""
+    run = F.when(~F.col("goes_on"), F.col("number"))
     opener = F.when(F.col("is_opener"), F.col("number"))
     return {"run": (run, True), "opener": (opener, True), "run_before": (run, False), "opener_before": (opener, False)}
 
@@ -184,11 +192,11 @@ def run_events() -> dict[str, tuple[Column, bool]]:
 def _block_lines(df: DataFrame) -> DataFrame:
     """Lines from an opener to where no block can go on, that line included, numbered in each file."""
     inside = F.col("opener") >= F.coalesce("run", F.lit(0))
-    ends_here = starts_run(F.col("plain")) & (F.col("opener_before") >= F.coalesce("run_before", F.lit(0)))
+    ends_here = ~F.col("goes_on") & (F.col("opener_before") >= F.coalesce("run_before", F.lit(0)))
     chunk = [CHUNK] if CHUNK in df.columns else []
-    rows = df.where(inside | ends_here).select(
-        "file_id", *chunk, "number", "plain",
-        (F.col("is_opener") & ~F.col("in_key")).alias("may_open"), (~starts_run(F.col("plain"))).alias("goes_on"),
+    df = df.select("file_id", *chunk, "number", "plain", "is_opener", "in_key", (~starts_run(F.col("plain"))).alias("goes_on"))
+    rows = carry(df, _run_events()).where(inside | ends_here).select(
+        "file_id", *chunk, "number", "plain", (F.col("is_opener") & ~F.col("in_key")).alias("may_open"), "goes_on",
     )
     return settled(running_count(rows, "at", F.lit(True)).withColumn("at", F.col("at").cast("long")), "block-lines")
 
@@ -237,27 +245,16 @@ def _blocks(rows: DataFrame, piece: int, most: int) -> DataFrame:
 
 def _keyed(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """Rows that stand together by their first ``width`` columns, in a sorted stream."""
-    rows = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
-    held = next(rows, None)
-    while held is not None:
-        key = held[:width]
-
-        def own(key: tuple = key) -> Iterator[tuple]:
-            nonlocal held
-            while held is not None and held[:width] == key:
-                row, held = held, next(rows, None)
-                yield row[width:]
-
-        run = own()
-        yield key, run
-        for _ in run:
-            pass
+    rows = chain.from_iterable(zip(*[pdf[c].tolist() for c in pdf.columns]) for pdf in batches)
+    for key, run in groupby(rows, itemgetter(slice(width))):
+        yield key, map(itemgetter(slice(width, None)), run)
 
 
 def _patched(rows: DataFrame, blocks: DataFrame, custom: dict[str, str]) -> DataFrame:
     """What the lines of blocks are, a row each."""
     heads = blocks.select("file_id", F.col("head_at").alias("at"), F.struct("head_at", "end_at").alias("starts"))
-    rows = carry(rows.join(heads, ["file_id", "at"], "left"), {"block": (F.col("starts"), True)}, order="at")
+    # A row a line and a row a block, which Spark would take for as small as the compressed files they were read from.
+    rows = carry(rows.join(heads.hint("merge"), ["file_id", "at"], "left"), {"block": (F.col("starts"), True)}, order="at")
     rows = rows.where(F.col("at") <= F.abs(F.col("block.end_at")))
     lower = {k.lower(): v for k, v in custom.items()}
 
@@ -283,10 +280,10 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
 
 
 def with_json_blocks(df: DataFrame, options: ParseOptions, custom: dict[str, str], piece: int = PIECE, most: int = MAX_BODY) -> DataFrame:
-    """Classified lines, with in_key and the columns of ``run_events``, in which the lines of JSON blocks are one entry."""
+    """Classified lines, with in_key, in which the lines of JSON blocks are one entry."""
     rows = _block_lines(df)
     found = _patched(rows, _blocks(rows, piece, most), custom)
-    return patched(df.drop(*run_events()).join(found, ["file_id", "number"], "left"), options, custom)
+    return patched(df.join(found.hint("merge"), ["file_id", "number"], "left"), options, custom)
 
 
 def patched(df: DataFrame, options: ParseOptions, custom: dict[str, str]) -> DataFrame:

@@ -15,7 +15,7 @@ from logquarry.functions.records import json_record
 from logquarry.functions.secrets import PEM_BEGIN, PEM_END, has_secret
 from logquarry.functions.text import split_source, strip_ansi
 from logquarry.functions.times import DAY_MS, parse_timestamp, time_of_day
-from logquarry.operators.json_blocks import OPENER, run_events, with_json_blocks
+from logquarry.operators.json_blocks import OPENER, with_json_blocks
 from logquarry.operators.ordered import CHUNK, carry, steps_down, with_chunks
 from logquarry.options import ParseOptions
 from logquarry.staging import discard, settled
@@ -39,6 +39,7 @@ def _classified(lines: DataFrame, options: ParseOptions, keep: tuple[str, ...] =
     raw = F.col("plain")
     custom = usable_levels(options.custom_levels)
     source, size = split_source(raw)
+    key = raw.contains(" KEY-----")
     begin = raw.rlike(PEM_BEGIN) & ~raw.rlike(PEM_END)
     df = lines.withColumn("plain", strip_ansi(F.col("raw")))
     df = df.withColumns({"source": source, "prefix": size})
@@ -66,9 +67,9 @@ def _classified(lines: DataFrame, options: ParseOptions, keep: tuple[str, ...] =
         "source",
         "is_json",
         F.col("record.json").alias("json"),
-        F.when(begin, True).when(raw.rlike(PEM_END), False).alias("key_marker"),
+        F.when(key, F.when(begin, True).when(raw.rlike(PEM_END), False)).alias("key_marker"),
         (~F.col("is_json") & rest.rlike(CONTINUATION)).alias("continues"),
-        (~F.col("is_json") & ~rest.rlike(CONTINUATION) & raw.contains("{") & raw.rlike(OPENER)).alias("is_opener"),
+        (~F.col("is_json") & raw.contains("{") & raw.rlike(OPENER) & ~rest.rlike(CONTINUATION)).alias("is_opener"),
         F.coalesce("record.level", detect_level(F.col("level_text"), custom)).alias("own_level"),
         F.coalesce("record.time", parse_timestamp(F.col("time_text"), options.default_year)).alias("full_time"),
         F.when(~F.col("is_json") & rest.rlike(r"\A\[?\d\d:"), time_of_day(rest)).alias("clock"),
@@ -99,14 +100,15 @@ def parse(lines: DataFrame, options: ParseOptions = ParseOptions(), keep: tuple[
             *[F.coalesce(F.bool_or(c), F.lit(False)) for c in (F.col("key_marker").isNotNull(), F.col("is_opener"), F.col("clock").isNotNull())]
         ).first()
     has_blocks &= options.json_blocks
-    if has_keys or has_blocks:
-        df = carry(df, {"in_key": (F.col("key_marker"), False)} | (run_events() if has_blocks else {}))
+    if has_keys:
+        df = carry(df, {"in_key": (F.col("key_marker"), False)})
         df = df.withColumn("in_key", F.coalesce("in_key", F.lit(False)))
     else:
         df = df.withColumn("in_key", F.lit(False))
     if has_blocks:
-        df = settled(df, "runs")
-        written.append(df)
+        if has_keys:  # Without keys the table written first is read again as it is.
+            df = settled(df, "keys")
+            written.append(df)
         df = with_json_blocks(df, options, usable_levels(options.custom_levels))
     inside = F.col("in_key")
     end = F.coalesce(~F.col("key_marker"), F.lit(False))

@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -160,3 +161,21 @@ def test_a_record_is_read_without_a_decoder_or_encoder_of_its_own(monkeypatch):
     shown, line, *_ = records.read_record(text, {})
     assert line == '2024-01-02T03:04:05Z info a ⏎ b {"2":{"é":[1,2.5,"\\""]},"10":9007199254740992}'
     assert shown.startswith('{"2":{"é":[1,2.5,"\\""]},"10":9007199254740992,"ts":')
+
+
+def test_times_with_a_zone_are_read_as_quickly_as_those_without(spark):
+    def took(ending):
+        line = F.concat(F.lit("at 2024-01-01T10:00:"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lit(ending))
+        found = spark.range(200_000).select(times.parse_timestamp(line, 2026).alias("t")).where("t >= 1704103200000")
+        began = time.time()
+        assert found.count() == 200_000
+        return time.time() - began
+
+    took(""), took("Z")
+    assert min(took("Z"), took("+00:00")) < 3 * took("") + 1
+
+
+def test_levels_in_letters_beyond_ascii(spark):
+    """Where case does not matter, a dotless i is an i and a long s an s."""
+    lines = ["(ınfo) x", "[ſevere] a", "a notıce: b", "é [W] a", "é", "prod.FINER: x", "prod.finer: x", "é level=panıc"]
+    assert on(spark, levels.detect_level, lines) == ["INFO", "ERROR", None, "WARN", None, "TRACE", None, "ERROR"]

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logquarry.operators import json_blocks as jb
+from logquarry.operators import parse as parsing
 from logquarry.operators.parse import parse
 from logquarry.options import ParseOptions
 from logquarry.sources.lines import from_text
@@ -121,3 +122,22 @@ def test_a_file_of_indented_lines_is_dealt_into_pieces(spark, piece, monkeypatch
     got = table(spark, "\n".join(lines) + "\n", 11)
     inside = {n for i, end in plain_blocks(lines, 6) for n in range(i + 1, abs(end) + 1)}
     assert [r["number"] for r in got if r["continuation"]] == sorted(inside)
+
+
+@pytest.mark.parametrize("key", [False, True])
+def test_blocks_write_the_whole_table_twice_unless_there_are_keys(spark, monkeypatch, key):
+    written, settled = [], parsing.settled
+    monkeypatch.setattr(parsing, "settled", lambda df, name: written.append(name) or settled(df, name))
+    pem = "\n-----BEGIN PRIVATE KEY-----\n{\n}\n-----END PRIVATE KEY-----" if key else ""
+    got = table(spark, RECORD + pem)
+    assert written == ["classified", *["keys"] * key, "timed"]
+    assert [r["continuation"] for r in got] == [False, False, *[True] * 8, False, *[False, True, True, True][: 4 * key]]
+
+
+def test_blocks_are_joined_without_a_broadcast(spark, monkeypatch):
+    """A table of a row a line or a row a block is no small one, however small its compressed files are."""
+    plans = []
+    monkeypatch.setattr(jb, "patched", lambda df, *rest: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.select("none"))
+    with pytest.raises(Exception, match="none"):
+        table(spark, RECORD)
+    assert plans[0].count("strategy=merge") >= 2
