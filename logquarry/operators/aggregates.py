@@ -184,7 +184,9 @@ def top_groups(groups: DataFrame, order: str = "count", limit: int = 50) -> Data
 def group_lines(df: DataFrame, groups: DataFrame) -> DataFrame:
     """The entries of error groups, with their continuation lines."""
     heads = error_entries(df).join(groups.select("key"), "key", "left_semi")
-    return df.join(heads.select("file_id", F.col("at").alias("entry_id")), ["file_id", "entry_id"], "left_semi")
+    # A row an entry, which Spark would take for as small as the compressed files it was read from.
+    entries = heads.select("file_id", F.col("at").alias("entry_id")).hint("merge")
+    return df.join(entries, ["file_id", "entry_id"], "left_semi")
 
 
 def error_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -222,7 +224,8 @@ def collapse_repeats(df: DataFrame) -> DataFrame:
     new = F.coalesce(F.col("sig") != F.col("sig_before"), F.lit(True))
     entries = carry(entries, {"run": (F.when(new, F.col("number")), True)})
     runs = entries.groupBy("file_id", "run").agg(F.count("*").alias("repeat"), F.min_by("entry", "number").alias("entry"))
-    out = df.join(runs, ["file_id", "entry"])
+    # Nearly a row an entry, which Spark would take for as small as the compressed files it was read from.
+    out = df.join(runs.hint("merge"), ["file_id", "entry"])
     repeat = F.when(F.col("number") == F.col("run"), F.col("repeat")).otherwise(1).alias("repeat")
     return out.select(*names, repeat)
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from logquarry.operators.aggregates import collapse_repeats
+from logquarry.operators.aggregates import collapse_repeats, group_lines
 from logquarry.operators.parse import parse
 from logquarry.options import ParseOptions
 from logquarry.sources.lines import from_text
@@ -25,3 +25,10 @@ def test_a_huge_entry(spark):
     entry = "ERROR boom\n" + "".join(f"\tat frame.{'abcdefg'[i % 7]}\n" for i in range(60_000))
     got = collapsed(spark, entry + entry + "INFO x\n", 10_000)
     assert len(got) == 60_002 and got[0] == (1, 2) and got[-1] == (120_003, 1)
+
+
+def test_entries_are_joined_without_a_broadcast(spark):
+    lines = parse(from_text(spark, "ERROR a 1\nERROR b 2\nERROR a 3\n"))
+    groups = spark.createDataFrame([("none",)], "key string")
+    for df in (collapse_repeats(lines), group_lines(lines, groups)):
+        assert "strategy=merge" in df._jdf.queryExecution().optimizedPlan().toString()
